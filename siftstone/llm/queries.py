@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import bpe, exact_dedup, line_dedup, token_counts, token_files
+from siftstone.llm import bpe, exact_dedup, line_dedup, near_dedup, token_counts, token_files
 from siftstone.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(docs, codec), codec))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"), size=2, similarity=80)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     codec = bpe.Codec.from_json(tokenizer_path("byte_bpe_50k.json"))
@@ -46,7 +50,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op5_exact_dedup, op6_byte_bpe, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op2_line_dedup, op5_exact_dedup, op6_byte_bpe, op8_near_dedup, op9_token_files, op10_token_counts)}
 
 
 _OP2 = r"""
@@ -75,5 +79,25 @@ FROM squeezed WINDOW w AS (PARTITION BY t)
 """
 
 
+_OP8 = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM worded
+), one AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS n, count(*) AS c FROM one a JOIN one b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT x, y FROM shared WHERE 100 * c >= 80 * (n - c)
+), reach(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT link.y, reach.root FROM reach JOIN link ON reach.doc_id = link.x
+), least AS (
+  SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2, "op5_exact_dedup": _OP5}
+    return {"op2_line_dedup": _OP2, "op5_exact_dedup": _OP5, "op8_near_dedup": _OP8}

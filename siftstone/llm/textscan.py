@@ -111,3 +111,17 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         h = mix(h * np.uint64(0x2545F4914F6CDD1D) + words[k : len(words) - size + 1 + k])
     return h
+
+
+def parts(batch: pa.RecordBatch, text: int, size: int = 4 << 20):  # noqa: ANN201
+    """Slices of a batch with about ``size`` bytes of text each, one row at least."""
+    column = batch.column(text)
+    if not len(column):
+        return
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    at = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    first = 0
+    while first < len(column):
+        last = max(int(np.searchsorted(at, at[first] + size, "right")) - 1, first + 1)
+        yield batch.slice(first, last - first)
+        first = last
