@@ -3,11 +3,11 @@
 Texts are cut into blocks of a fixed number of bytes.  The distinct blocks are sorted and numbered: equal blocks get
 one integer name, different blocks different ones.  Then the names of adjacent pairs are numbered in the same way, level
 after level, until one name is left of each document.  (level, name) is its identity: two documents have the same one
-exactly if their texts are equal, since every name stands for one sequence of blocks.  No step trusts a hash: where
-block digests bring names back to the documents, they are first shown to be free of collisions, else the blocks
-themselves are joined.
+exactly if their texts are equal, since every name stands for one sequence of blocks.  No step trusts a hash: blocks are
+sorted by a 128-bit digest only after all blocks with a repeated digest were compared byte by byte and no digest was found
+to stand for two different blocks; else the blocks themselves are sorted.
 
-Block contents are shuffled once, pre-aggregated to distinct ones in each task; all later rounds move integers.  Each
+Contents are shuffled of repeated digests alone, pre-aggregated to distinct ones in each task; all later rounds move integers.  Each
 round halves the rows, and documents leave as soon as they have one name, so the rounds number log2 of the longest
 text's blocks.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import durable
+from siftstone.llm.common import BROADCAST_BYTES, durable
 
 BLOCK = 4096
 
@@ -42,6 +42,20 @@ def _digest(block: Column) -> Column:
     return F.unhex(F.md5(block))
 
 
+def _collide(docs: DataFrame, repeated: DataFrame, block: int, digest) -> bool:  # noqa: ANN001
+    """Whether two different blocks have one digest.
+
+    Blocks with different digests differ, so only blocks of a digest that occurs again are compared.  They are picked
+    where they are read if the digests are few enough to be sent around.
+    """
+    if repeated.isEmpty():
+        return False
+    small = 64 * repeated.count() <= BROADCAST_BYTES
+    blocks = docs.select(F.explode(_cuts(lambda b: b, block)).alias("block")).select(digest(F.col("block")).alias("digest"), "block")
+    contents = blocks.join(F.broadcast(repeated) if small else repeated, "digest", "left_semi").distinct()
+    return not contents.groupBy("digest").count().where("count > 1").isEmpty()
+
+
 def identities(docs: DataFrame, block: int = BLOCK, digest=_digest) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
     """``docs`` (doc_id, data binary) as known (row, doc_id, n_bytes, sha256) and found (row, level, name).
 
@@ -50,15 +64,15 @@ def identities(docs: DataFrame, block: int = BLOCK, digest=_digest) -> tuple[Dat
     numbered = lambda df: df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "data")
     about = ["row", "doc_id", F.length("data").alias("n_bytes"), F.sha2("data", 256).alias("text_sha256")]
     known = durable(numbered(docs).select(*about, _cuts(digest, block).alias("digests")), "exact-docs")
-    contents = docs.select(F.explode(_cuts(lambda b: b, block)).alias("block")).select(digest(F.col("block")).alias("digest"), "block")
-    names = _names(contents.distinct(), ["digest", "block"], "block-names")
-    if names.groupBy("digest").count().where("count > 1").limit(1).count():  # then the blocks themselves have to be joined
+    placed = known.select("row", F.size("digests").alias("n"), F.posexplode("digests").alias("pos", "digest"))
+    counts = durable(placed.groupBy("digest").agg(F.count(F.lit(1)).alias("c")), "block-digests")
+    if _collide(docs, counts.where("c > 1").select("digest"), block, digest):  # then the blocks themselves have to be named
         whole = durable(numbered(docs), "exact-whole")
         known = durable(whole.select(*about), "exact-docs")
-        marked = whole.select("row", F.posexplode(_cuts(lambda b: b, block)).alias("pos", "block"), F.size(_cuts(F.length, block)).alias("n"))
-        active = marked.join(names, "block")
+        marked = whole.select("row", F.size(_cuts(F.length, block)).alias("n"), F.posexplode(_cuts(lambda b: b, block)).alias("pos", "block"))
+        active = marked.join(_names(marked.select("block").distinct(), ["block"], "block-names"), "block")
     else:
-        active = known.select("row", F.size("digests").alias("n"), F.posexplode("digests").alias("pos", "digest")).join(names.select("digest", "name"), "digest")
+        active = placed.join(_names(counts.select("digest"), ["digest"], "block-names"), "digest")
     active, done, level = durable(active.select("row", "pos", "n", "name"), "names-0"), [], 0
     while True:
         done.append(active.where("n = 1").select("row", F.lit(level).alias("level"), "name"))
