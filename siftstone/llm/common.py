@@ -34,7 +34,7 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)  # bounds what a writing task holds
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

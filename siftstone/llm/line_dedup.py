@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm.common import BROADCAST_BYTES, durable
-from siftstone.llm.textscan import mix
+from siftstone.llm.textscan import mix, parts
 
 _BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 SLOTS = 4
@@ -133,7 +133,7 @@ def key_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             counts.clear()
             return out
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 0)):
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 for key in set(map(digest, (text or b"").split(b"\n"))):
                     if key is not None:
@@ -204,9 +204,10 @@ class LineIndex:
             hits = _probe(sent.value[0], keys, shards)
             return hits & np.array([k not in sent.value[1] for k in keys], bool) if sent.value[1] and hits.any() else hits
 
+        at = docs.columns.index(text_col)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.schema.names.index(text_col)
+            for batch in (part for whole in batches for part in parts(whole, at)):
                 lines = [(t or b"").split(b"\n") for t in batch.column(at).cast(pa.binary()).to_pylist()]
                 keys = [digest(x) for doc in lines for x in doc]
                 present = [k for k in keys if k is not None]

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm.bpe import Codec, Memo, Worker
+from siftstone.llm.textscan import parts
 
 SAMPLE_DOCS = 1000
 TABLE = 50_000
@@ -54,7 +55,7 @@ class Counters:
         if not spec.by_pretoken:
             self.count = lambda text: len(worker.tokenizer.encode(text, add_special_tokens=False).ids)
             return
-        length = lambda pretoken: frequent.get(pretoken) or len(worker.tokenizer.encode(pretoken, add_special_tokens=False).ids)
+        length = lambda pretoken: frequent.get(pretoken) or len(worker.merged(pretoken))
         lengths, find = Memo(length), worker.find
         plain = lambda text: sum(map(lengths.__getitem__, find(text)))
 
@@ -84,7 +85,7 @@ def frequent_lengths(docs: DataFrame, codec: Codec, id_col: str, text_col: str,
     for (text,) in texts.toLocalIterator():
         seen.update(worker.find(text or ""))
     special = set(worker.special)
-    return {p: len(worker.tokenizer.encode(p, add_special_tokens=False).ids) for p, n in seen.most_common(table) if n > 1 and p not in special}
+    return {p: len(worker.merged(p)) for p, n in seen.most_common(table) if n > 1 and p not in special}
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -101,7 +102,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counters.of(*sent.value, key).count
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             n = [count(text) if text else 0 for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], [id_col, "n_bytes", "n_tokens"])
 

@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.bpe import Codec, Worker
 from siftstone.llm.common import durable
+from siftstone.llm.textscan import parts
 
 MAGIC, VERSION = b"SFTK", 1
 _HEAD = struct.Struct("<4sHHQ32s")
 
 #: Bounds of the dictionary's training: documents, bytes of each that count, dictionary size.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 1 << 14, 1 << 16
-IMAGE_BYTES = 4 << 20
+IMAGE_BYTES = 1 << 20
 #: Documents in one range of ids, and the most ranges.
 SHARD_DOCS, SHARDS = 8192, 1 << 16
 LEVEL = 3
@@ -182,7 +183,7 @@ def write(docs: DataFrame, codec: Codec, end_id: int, id_col: str = "doc_id", te
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, dictionary, borders = sent.value
         worker, compress = Worker.of(codec), dictionary.compressor().compress
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             ids = [(worker.encode(t) if t else b"") + end for t in batch.column(1).to_pylist()]
             keys = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([
@@ -217,8 +218,8 @@ def write(docs: DataFrame, codec: Codec, end_id: int, id_col: str = "doc_id", te
                 size += len(row[2])
         yield from flush()
 
-    parts = docs.mapInArrow(encoded, "shard int, doc_id bigint, n_tokens bigint, payload binary").repartition(shards, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"))
-    written = durable(parts.mapInArrow(images, "shard int, image int, n_docs bigint, n_tokens bigint, tokens_before bigint, data binary"), "token-files")
+    payloads = docs.mapInArrow(encoded, "shard int, doc_id bigint, n_tokens bigint, payload binary").repartition(shards, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"))
+    written = durable(payloads.mapInArrow(images, "shard int, image int, n_docs bigint, n_tokens bigint, tokens_before bigint, data binary"), "token-files")
     before, total = {}, 0
     for shard, n in sorted((r.shard, r.n) for r in written.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()):
         before[shard] = total
