@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import bpe, exact_dedup, line_dedup, near_dedup, token_counts, token_files
+from siftstone.llm import bpe, exact_dedup, line_dedup, near_dedup, token_counts, token_files, toxicity
 from siftstone.llm.common import table
 
 
@@ -34,6 +34,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(docs, codec), codec))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(toxicity.learnable())
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    held_out = F.coalesce(~toxicity.learnable(), F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"), size=2, similarity=80)
 
@@ -50,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op5_exact_dedup, op6_byte_bpe, op8_near_dedup, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op2_line_dedup, op5_exact_dedup, op6_byte_bpe, op7_toxicity, op8_near_dedup, op9_token_files, op10_token_counts)}
 
 
 _OP2 = r"""
