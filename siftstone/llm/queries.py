@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import bpe, exact_dedup, line_dedup, near_dedup, token_counts, token_files, toxicity
+from siftstone.llm import bpe, exact_dedup, line_dedup, near_dedup, sharding, token_counts, token_files, toxicity
 from siftstone.llm.common import table
 
 
@@ -18,6 +18,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.reshard(spark, f"{sf_dir}/documents.parquet", shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     kept = line_dedup.drop_repeated_lines(docs, min_docs=10)
@@ -58,7 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op5_exact_dedup, op6_byte_bpe, op7_toxicity, op8_near_dedup, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op5_exact_dedup, op6_byte_bpe, op7_toxicity, op8_near_dedup, op9_token_files, op10_token_counts)}
 
 
 _OP2 = r"""
