@@ -257,7 +257,7 @@ def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str
 
 
 def decode(tokens: DataFrame, codec: Codec, id_col: str = "doc_id") -> DataFrame:
-    """From packed ids: id, n_tokens, ids_text (decimal ids joined by one space), decoded binary.
+    """From packed ids: id, ids, n_tokens, ids_text (decimal ids joined by one space), decoded binary.
 
     Bytes are joined before anything reads them as UTF-8, so characters that two or more tokens share come back whole.
     """
@@ -274,9 +274,9 @@ def decode(tokens: DataFrame, codec: Codec, id_col: str = "doc_id") -> DataFrame
                 n.append(len(ids))
                 text.append(" ".join(map(spelled.__getitem__, ids)))
                 data.append(b"".join(map(table.__getitem__, ids)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(text, pa.string()), pa.array(data, pa.binary())], [id_col, "n_tokens", "ids_text", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(text, pa.string()), pa.array(data, pa.binary())], [id_col, "ids", "n_tokens", "ids_text", "decoded"])
 
-    return tokens.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_text string, decoded binary")
+    return tokens.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_tokens bigint, ids_text string, decoded binary")
 
 
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

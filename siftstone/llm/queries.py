@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import bpe, exact_dedup, line_dedup, near_dedup, sharding, token_counts, token_files, toxicity
+from siftstone.llm import bpe, decontamination, exact_dedup, line_dedup, lm_scoring, near_dedup, sharding, token_counts, token_files, toxicity
 from siftstone.llm.common import table
 
 
@@ -29,6 +29,17 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontamination.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    target = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic").where("quality = 1 and toxic = 0").select("doc_id")
+    return lm_scoring.cross_entropy_difference(docs, target)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -63,7 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op5_exact_dedup, op6_byte_bpe, op7_toxicity, op8_near_dedup, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_decontamination, op4_lm_scoring, op5_exact_dedup, op6_byte_bpe, op7_toxicity, op8_near_dedup, op9_token_files, op10_token_counts)}
 
 
 _OP2 = r"""
