@@ -2,18 +2,15 @@
 
 1. One scan gives each text's set of word shingles (64-bit fingerprints), the set's 128-bit digest, its one-permutation
    MinHash of ``bins`` bins (an empty bin borrows from a bin that a hash sequence of its own picks: optimal densification)
-   and from it ``bins / rows`` band keys and a sketch of one byte per bin.  Equal sets become one class, so exact
-   copies never meet as pairs.
+   and from it ``bins / rows`` band keys.  Equal sets become one class, so exact copies never meet as pairs.
 2. Classes that share a band key meet in a bucket.  Each bucket has a hub, the member whose buckets are the largest in sum,
    and only the edges from hub to members become candidates: as many as the bucket has members, whatever its size.  Candidates
    are confirmed on the full sets.
-3. A star alone can lose a link between two members that the hub has no link with.  So, in buckets that hold more than
-   one component after step 2, members of different components are compared by their sketches, in blocks of a fixed
-   number of members (large buckets become many pairs of blocks), and pairs that may reach the threshold are confirmed
-   on the full sets too.  No bucket is capped.
+3. A star alone can lose a link between two members that the hub has no link with.  So the members of buckets that still
+   hold more than one component are compared on their full sets, within tasks of two blocks each; what leaves a task is no
+   pair list but the few links that join its components.  No bucket is capped.
 
-With 200 bins in bands of 5, two sets of similarity 0.8 share no bucket with a probability of about 10**-7; the sketch test
-(at least 60 % equal bytes for 0.8) errs with less than 10**-10.
+With 200 bins in bands of 5, two sets of similarity 0.8 share no bucket with a probability of about 10**-7.
 """
 
 from __future__ import annotations
@@ -32,8 +29,8 @@ from siftstone.llm.components import components
 from siftstone.llm.textscan import mix, parts, shingles, words
 
 BINS, ROWS = 200, 5
-#: Members in a block of a large bucket.
-BLOCK = 256
+#: Members in a block, and the largest region that is compared as one.
+BLOCK, REGION = 256, 20_000
 
 
 @functools.lru_cache
@@ -74,7 +71,7 @@ def _sets(batch: pa.RecordBatch, text: int, size: int) -> Iterator[tuple[pa.Reco
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bins: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, bands, sketch) of each row; a set without shingles has null for the last three."""
+    """(doc_id, n_shingles, set_id, bands) of each row; a set without shingles has null for the last two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,11 +81,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bins: int
                     part.column(0), pa.array(list(map(len, sets)), pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([None if m is None else band_keys(m, rows) for m in minima], pa.list_(pa.int64())),
-                    pa.array([None if m is None else (m & np.uint64(255)).astype(np.uint8).tobytes() for m in minima], pa.binary()),
-                ], ["doc_id", "n_shingles", "set_id", "bands", "sketch"])
+                ], ["doc_id", "n_shingles", "set_id", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_id binary, bands array<bigint>, sketch binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_id binary, bands array<bigint>")
 
 
 class _Sets:
@@ -138,33 +134,71 @@ def _near_size(similarity: int) -> F.Column:
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity
 
 
-def _rest(multi: DataFrame, roots: DataFrame, classes: DataFrame, similarity: int, bins: int) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that may be similar enough."""
+def _links_in_block(left: list[np.ndarray], right: list[np.ndarray], same: bool, labels: list[int], similarity: int) -> list[tuple[int, int]]:
+    """Links (x, y) between a left and a right set of different labels, as many as join the labels; ``labels`` is of left, then right.
+
+    The left sets' fingerprints in order are an index; one look-up of a right set gives its intersections with all of them.
+    """
+    parent = {r: r for r in labels}
+
+    def root(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    sizes = np.array(list(map(len, left)))
+    values, owner = np.concatenate(left), np.repeat(np.arange(len(left)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    found = []
+    for y, own in enumerate(right):
+        first, last = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        n = last - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(left))
+        near = np.flatnonzero(100 * shared >= similarity * (sizes + len(own) - shared))
+        for x in near.tolist():
+            if same and x >= y:
+                continue
+            p, q = root(labels[x]), root(labels[y if same else len(left) + y])
+            if p != q:
+                parent[p] = q
+                found.append((x, y))
+    return found
+
+
+def _open_links(sets: _Sets, multi: DataFrame, roots: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) between different components whose members meet in a bucket.
+
+    Classes that meet directly or over others in such buckets form a region; its members are compared within it, in pairs of
+    blocks, each set sent once for each block of its region.  A region of more than ``REGION`` classes is dealt out by its buckets.
+    """
     labelled = multi.where("c > 2").join(roots, "node", "left").select("bucket", "c", "node", F.coalesce("root", "node").alias("root"))
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    open_ = labelled.join(mixed, "bucket").join(classes.select("node", "n_shingles", "sketch"), "node")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    dealt = open_.withColumn("own", own).withColumn("other", other).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    least = 0.75 * similarity / 100 * bins
+    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("hub")).where("low <> high")
+    open_ = durable(labelled.join(mixed.select("bucket", "hub"), "bucket"), "near-open")
+    regions = components(open_.select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "region")
+    sized = regions.join(regions.groupBy("region").agg(F.count(F.lit(1)).alias("m")), "region")
+    placed = durable(open_.join(sized, "node"), "near-regions")
+    whole = placed.where(F.col("m") <= REGION).select(F.lit(0).alias("kind"), F.col("region").alias("g"), "m", "node", "root").distinct()
+    large = placed.where(F.col("m") > REGION).select(F.lit(1).alias("kind"), F.col("bucket").alias("g"), F.col("c").alias("m"), "node", "root")
+    found = durable(sets.of(placed.select("node").distinct()), "near-open-sets")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = whole.unionByName(large).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("kind", "g", "i", "j", "own", "node", "root").join(found, "node")
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        node, root, n = (group.column(c).to_numpy() for c in ("node", "root", "n_shingles"))
-        side = group.column("own").to_numpy() == key[1].as_py()
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-        left, right = (np.flatnonzero(side), np.flatnonzero(~side)) if key[1].as_py() != key[2].as_py() else (np.arange(len(node)),) * 2
-        found = []
-        for x in left.tolist():
-            y = right[(root[right] != root[x]) & (100 * np.minimum(n[right], n[x]) >= similarity * np.maximum(n[right], n[x]))]
-            if len(left) and key[1].as_py() == key[2].as_py():
-                y = y[y > x]
-            if len(y):
-                y = y[(sketch[y] == sketch[x]).sum(axis=1) >= least]
-                found += [(min(node[x], z), max(node[x], z)) for z in node[y].tolist()]
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+        i, j = key[2].as_py(), key[3].as_py()
+        node, root, own = (group.column(c).to_numpy() for c in ("node", "root", "own"))
+        data = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        links = []
+        if len(left) and len(right):
+            labels = [*root[left].tolist(), *(root[right].tolist() if i != j else ())]
+            links = _links_in_block([data[k] for k in left], [data[k] for k in right], i == j, labels, similarity)
+        return pa.table({"a": pa.array([node[left[x]] for x, _ in links], pa.int64()), "b": pa.array([node[right[y]] for _, y in links], pa.int64())})
+
+    return durable(dealt.groupBy("kind", "g", "i", "j").applyInArrow(run, "a bigint, b bigint"), "near-open-links")
 
 
 def near_groups(docs: DataFrame, size: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, rows: int = ROWS) -> DataFrame:
@@ -180,7 +214,7 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: int = 80, id_col: st
     first = F.struct("doc_id", "row")
     heads = found.where(linked).groupBy("set_id").agg(F.min(first).alias("first"))
     heads = heads.select("set_id", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("node"))
-    classes = durable(heads.join(found.select(F.col("row").alias("node"), "n_shingles", "bands", "sketch"), "node"), "near-classes")
+    classes = durable(heads.join(found.select(F.col("row").alias("node"), "n_shingles", "bands"), "node"), "near-classes")
 
     members = classes.select(F.explode("bands").alias("bucket"), "node")
     several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -194,8 +228,7 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: int = 80, id_col: st
     sets = _Sets(docs, classes, id_col, text_col, size)
     links = sets.confirmed(edges, similarity)
     roots = durable(components(links), "near-roots")
-    rest = durable(_rest(multi, roots, classes, similarity, bins).join(edges, ["a", "b"], "left_anti"), "near-rest")
-    more = sets.confirmed(rest, similarity)
+    more = _open_links(sets, multi, roots, similarity)
     if not more.isEmpty():
         roots = durable(components(links.unionByName(more)), "near-roots")
 
