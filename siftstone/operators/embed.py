@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import random
 import re
 import time
@@ -34,17 +36,36 @@ def normalise(vector: Column) -> Column:
     return F.when(norm == 0, vector).otherwise(F.transform(vector, lambda x: x / norm))
 
 
-def hash_embedding(text: Column, dim: int = 64, unit: bool = True) -> Column:
-    """Feature hashing as an expression: counts of lower-cased words by bucket, to unit length."""
-    buckets = hash_buckets(T.tokens(F.lower(text)), dim)
-    counts = F.aggregate(
-        buckets, F.array_repeat(F.lit(0.0), dim), lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1).otherwise(x))
-    ) if dim <= 8 else F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    return normalise(counts) if unit else counts
+class HashingEmbedder:
+    """The offline embedder: counts of lower-cased words by bucket, to unit length; a text without words is the zero vector."""
+
+    def __init__(self, dim: int = 64, unit: bool = True) -> None:
+        self.dim, self.unit = dim, unit
+        self.bucket = functools.lru_cache(maxsize=200_000)(lambda token: int(hashlib.md5(token.encode()).hexdigest()[:7], 16) % dim)
+
+    def embed_documents(self, texts: Sequence[str]) -> list[list[float]]:
+        out = np.zeros((len(texts), self.dim))
+        for row, text in enumerate(texts):
+            for token in (text or "").lower().split():
+                out[row, self.bucket(token)] += 1
+        norms = np.linalg.norm(out, axis=1, keepdims=True)
+        return (np.divide(out, norms, out=out, where=norms > 0) if self.unit else out).tolist()
+
+
+def by_batch(make: Callable[[], Embedder]) -> Callable[[Column], Column]:
+    """An embedder as a function of a text column, made once in each task, a call for each Arrow batch."""
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        embedder = make()
+        for texts in batches:
+            yield pd.Series(embedder.embed_documents(texts.fillna("").tolist()), dtype=object)
+
+    return run
 
 
 def hash_vectors(docs: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
-    """The same embedding for long texts and many rows: (id, vector), counted by bucket before vectors are put together."""
+    """The offline embedding in the JVM: (id, vector), words counted by bucket before vectors are put together."""
     counts = docs.select(id_col, F.explode(hash_buckets(T.tokens(F.lower(text_col)), dim)).alias("b")).groupBy(id_col).pivot("b", list(range(dim))).count()
     raw = F.array(*(F.coalesce(F.col(str(i)), F.lit(0)).cast("double") for i in range(dim)))
     zero = F.array_repeat(F.lit(0.0), dim)

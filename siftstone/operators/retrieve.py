@@ -41,11 +41,18 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":
+        return np.sqrt(((a - b) ** 2).sum(axis=1))
+    norms = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+    return 1 - np.divide((a * b).sum(axis=1), norms, out=np.zeros(len(a)), where=norms > 0)
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", not_itself: bool = False) -> DataFrame:
     """(qid, id, distance, rank): the ``k`` nearest of ``vectors`` (id long, vector) to each of ``queries`` (qid long, vector).
 
     The question side is sent to all tasks in blocks of a bounded size; each Arrow batch is one matrix product and hands on
-    its own k best for each question only.  Distances are rounded to 9 places before they rank.  metric: l2 or cosine.
+    its own k best for each question, ranked by exact distances.  Distances are rounded to 9 places before they rank.  metric: l2 or cosine.
     """
     spark, found, number = vectors.sparkSession, [], queries.count()
     base = vectors.select(F.col("id").cast("bigint"), "vector").where("id is not null and vector is not null")
@@ -66,20 +73,18 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", not_
                 ids, v = batch.column(0).to_numpy(), _vectors(batch.column(1))
                 for first in range(0, len(qid), 512):
                     some = q[first : first + 512]
-                    if metric == "l2":
-                        d = np.sqrt(np.maximum((some**2).sum(1)[:, None] - 2 * some @ v.T + (v**2).sum(1), 0))
-                    else:
-                        norms = np.linalg.norm(some, axis=1)[:, None] * np.linalg.norm(v, axis=1)
-                        d = 1 - np.divide(some @ v.T, norms, out=np.zeros(norms.shape), where=norms > 0)
-                    d = np.round(d, 9)
+                    rough = (v**2).sum(1) - 2 * some @ v.T if metric == "l2" else -(some @ v.T) * np.divide(1, norms := np.linalg.norm(v, axis=1), out=np.zeros(len(v)), where=norms > 0)
                     if not_itself:
-                        d[qid[first : first + 512, None] == ids] = np.inf
-                    best = np.lexsort((np.broadcast_to(ids, d.shape), d))[:, :k]
-                    rows = np.repeat(np.arange(len(some)), best.shape[1])
-                    at = best.ravel()
-                    finite = np.isfinite(d[rows, at])
-                    rows, at = rows[finite], at[finite]
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[first + rows]), pa.array(ids[at]), pa.array(d[rows, at])], ["qid", "id", "distance"])
+                        rough[qid[first : first + 512, None] == ids] = np.inf
+                    # what the rounding of a matrix product may have put in another order is ranked by exact distances
+                    edge = np.partition(rough, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
+                    rows, at = np.nonzero((rough <= edge[:, None] + 1e-6) & np.isfinite(rough))
+                    d = np.round(_distance(some[rows], v[at], metric), 9)
+                    order = np.lexsort((ids[at], d, rows))
+                    rows, at, d = rows[order], at[order], d[order]
+                    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+                    rows, at, d = rows[keep], at[keep], d[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[first + rows]), pa.array(ids[at]), pa.array(d)], ["qid", "id", "distance"])
 
         found.append(base.mapInArrow(run, "qid bigint, id bigint, distance double"))
     if not found:
