@@ -39,7 +39,7 @@ SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 1 << 14, 1 << 16
 IMAGE_BYTES = 1 << 20
 #: Documents in one range of ids, and the most ranges.
 SHARD_DOCS, SHARDS = 8192, 1 << 16
-LEVEL = 3
+LEVEL = 1
 
 
 @dataclass(frozen=True)
