@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.llm import bpe, decontamination, line_dedup, near_dedup, toxicity
-from siftstone.llm.common import BROADCAST_BYTES, durable, table
+from siftstone.llm.common import BROADCAST_BYTES, durable, settle, table
 from siftstone.llm.queries import tokenizer_path
 
 #: SQL cannot express the classifier, the templates or the merges; the stages are tested against brute force.
@@ -35,6 +35,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     plain, doc_id, text = _plain(docs)
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(toxicity.learnable())
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
@@ -42,22 +43,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     plain, _, text = _plain(docs)
     kept = line_dedup.drop_repeated_lines(plain, min_docs=10, text_col=text).drop("n_lines", "n_dropped").toDF(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     groups = near_dedup.near_groups(docs.select("doc_id", "text"), size=5, similarity=80)
     return _without(docs, groups.where("not kept").select("doc_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     found = decontamination.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
     return _without(docs, found.select("doc_id"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     codec = bpe.Codec.from_ranks(tokenizer_path("byte_bpe_50k.tiktoken"))
     decoded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), codec), codec)
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

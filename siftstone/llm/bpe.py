@@ -31,7 +31,7 @@ from siftstone.llm.textscan import parts
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Pre-tokens in one generation of a worker's cache; bounds memory, never the result.
-CACHE = 250_000
+CACHE = 120_000
 
 
 def byte_characters() -> list[str]:

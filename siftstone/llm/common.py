@@ -5,15 +5,27 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: Bounds of one Arrow batch: what the JVM and a worker hold of a table at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def settle(spark: SparkSession) -> None:
+    """Session settings that the operators rely on: small Arrow batches, and unions that concatenate partitions.
+
+    Zipping the partitions of equally partitioned sides fails where adaptive execution coalesces them differently.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; a local session without it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,6 +45,7 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     numbered on the way (row ids, hubs) keeps its value.  The files go when the program ends.
     """
     spark = df.sparkSession
+    settle(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", 32 << 20).parquet(path)  # bounds what a writing task holds
     _written.append((spark, path))
@@ -51,20 +64,10 @@ def _tidy() -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of an input table; other columns, whatever their names, are not read."""
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``function`` over each Arrow batch of ``df``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if (out := function(batch)) is not None:
-                yield out
-
-    return df.mapInArrow(run, schema)
-
-
 def crc32(text: Column) -> Column:
     """Unsigned CRC-32 of the UTF-8 bytes."""
     return F.crc32(F.encode(text, "utf-8"))

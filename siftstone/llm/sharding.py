@@ -98,6 +98,8 @@ class Block:
 
 def solve(blocks: list[Block], shards: int) -> list[Transfer]:
     """The transfers of all rows of the blocks; those that stay at home (old shard number = new) come with them."""
+    if not blocks:
+        return []
     total = sum(b.rows for b in blocks)
     net, leaving = FlowNetwork(), {}
     rows: dict[int, int] = {}
