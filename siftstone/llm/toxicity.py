@@ -102,8 +102,9 @@ class LabelModel:
 
 
 def fit_label_model(votes: np.ndarray, start: np.ndarray, row_weight: np.ndarray, rounds: int = 25) -> LabelModel:
-    """Expectation maximisation from the posteriors ``start``; rows count by ``row_weight``."""
+    """Expectation maximisation from the posteriors ``start``, whose class shares hold; rows count by ``row_weight``."""
     posterior = start
+    share = (row_weight @ start) / row_weight.sum()
     for _ in range(rounds):
         by_class = np.stack([row_weight * (1 - posterior), row_weight * posterior])
         mass = by_class.sum(axis=1) + 1e-9
@@ -114,7 +115,7 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, row_weight: np.ndarray
         scale = np.sqrt(np.maximum(np.diag(covariance), 1e-12))
         correlation = covariance / np.outer(scale, scale)
         np.fill_diagonal(correlation, 0)
-        model = LabelModel(table, mass / mass.sum(), 1 / (1 + np.clip(correlation, 0, None).sum(axis=1)), correlation)
+        model = LabelModel(table, np.array([1 - share, share]), 1 / (1 + np.clip(correlation, 0, None).sum(axis=1)), correlation)
         new = model.posterior(votes)
         if np.abs(new - posterior).max() < 1e-4:
             break
