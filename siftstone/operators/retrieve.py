@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from siftstone.functions import text as T
 
 #: Questions whose vectors one task holds at once.
-MOST_QUERIES = 20_000
+MOST_QUERIES = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -60,10 +60,10 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", not_
     blocks = max(1, -(-number // MOST_QUERIES))
     for block in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block) if blocks > 1 else asked
-        rows = own.collect()
-        if not rows:
+        rows = own.toArrow()
+        if not rows.num_rows:
             continue
-        sent = spark.sparkContext.broadcast((np.array([r.qid for r in rows]), np.array([r.vector for r in rows], np.float64)))
+        sent = spark.sparkContext.broadcast((rows.column(0).to_numpy(), _vectors(rows.column(1).combine_chunks())))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             qid, q = sent.value
