@@ -194,7 +194,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hashes = windows_of_items.select("hash").distinct()
     known = None
     if 8 * hashes.count() <= broadcast_bytes:
-        known = np.sort(np.array([r.hash for r in hashes.collect()], np.int64).view(np.uint64))
+        known = np.sort(hashes.toArrow().column(0).to_numpy().view(np.uint64))
     found = _document_windows(rows, sizes if known is None or len(known) else [], known)
     hits = found.join(windows_of_items.withColumnRenamed("slots", "own"), "hash")
     kind = docs.schema[id_col].dataType.simpleString()

@@ -31,6 +31,8 @@ _BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 SLOTS = 4
 #: Distinct keys that a task holds before it hands partial counts on.
 PARTIAL = 200_000
+#: Frequent keys of a shard, about.
+SHARD_KEYS = 200_000
 
 
 def digest(line: bytes) -> bytes | None:
@@ -160,8 +162,10 @@ class LineIndex:
     shards: int = 16
 
     @classmethod
-    def build(cls, docs: DataFrame, min_docs: int = 10, shards: int = 16, text_col: str = "text") -> LineIndex:
+    def build(cls, docs: DataFrame, min_docs: int = 10, shards: int | None = None, text_col: str = "text") -> LineIndex:
+        """``shards``: by default one for each SHARD_KEYS frequent keys, 16 at least; a task builds one shard's filter."""
         counts = durable(key_counts(docs, text_col), "line-counts")
+        shards = shards or max(16, -(-counts.where(F.col("n") >= min_docs).count() // SHARD_KEYS))
         return cls(counts, durable(_changed_filters(counts.where(F.col("n") >= min_docs).select("key", F.lit(True).alias("added")), None, counts, min_docs, shards), "line-filters"), min_docs, shards)
 
     def _after(self, delta: DataFrame) -> LineIndex:
@@ -306,6 +310,6 @@ def _changed_filters(crossed: DataFrame, old: DataFrame | None, counts: DataFram
     return made.where(F.length("filter") > 0).unionByName(_changed_filters(again, None, counts, min_docs, shards))
 
 
-def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, text_col: str = "text", shards: int = 16) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, text_col: str = "text", shards: int | None = None) -> DataFrame:
     """``docs`` without the lines whose key at least ``min_docs`` of them have, and n_lines, n_dropped."""
     return LineIndex.build(docs, min_docs, shards, text_col).apply(docs, text_col)

@@ -126,11 +126,12 @@ class Models:
 
 def _collected(df: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """gram, n, t of at most ``most`` rows, in order of gram."""
-    got = df.toPandas()
-    if len(got) > most:
+    got = df.select("gram", "n", "t").toArrow()
+    if got.num_rows > most:
         raise ValueError("more entries than their share of the tokens allows")
-    got = got.sort_values("gram")
-    return got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.int64), got["t"].to_numpy(np.int64)
+    gram, n, t = (c.to_numpy() for c in got.columns)
+    order = np.argsort(gram)
+    return gram[order], n[order], t[order]
 
 
 def fit(docs: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Models:
