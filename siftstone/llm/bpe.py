@@ -221,6 +221,10 @@ class Worker:
             spelling = pretoken.encode().decode("latin-1").translate(_SPELLING)
         return [t.id for t in self.merge(spelling)]
 
+    def rest(self) -> None:
+        """After a task: the old generation goes, as the process stays for other work."""
+        self.cache.old = {}
+
     def byte_table(self) -> list[bytes]:
         """The bytes of each id."""
         code = {c: b for b, c in enumerate(byte_characters())}
@@ -264,6 +268,7 @@ def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str
                 both = [character_offsets((t or "").encode(), lengths[np.frombuffer(i, spec.value.dtype)]) for t, i in zip(batch.column(1).to_pylist(), ids, strict=True)]
                 columns += [pa.array([x[k].astype(np.int32) for x in both], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids", "starts", "ends"][: len(columns)])
+        worker.rest()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -279,7 +284,7 @@ def decode(tokens: DataFrame, codec: Codec, id_col: str = "doc_id") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Worker.of(spec.value).byte_table()
         spelled = [str(i) for i in range(len(table))]
-        for batch in (part for whole in batches for part in parts(whole, 1, 1 << 20)):
+        for batch in (part for whole in batches for part in parts(whole, 1, 1 << 19)):
             n, text, data = [], [], []
             for packed in batch.column(1).to_pylist():
                 ids = np.frombuffer(packed or b"", spec.value.dtype).tolist()

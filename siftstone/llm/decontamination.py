@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm.common import BROADCAST_BYTES, durable
-from siftstone.llm.textscan import _powers, fingerprints, mix, parts, text_bytes
+from siftstone.llm.textscan import PIECE, _powers, fingerprints, mix, parts, text_bytes
 
 WINDOW, COVER, SHORTEST = 8, 0.5, 3
 
@@ -97,7 +97,7 @@ def windows(found: Tokens, size: int, template: bool) -> tuple[np.ndarray, np.nd
     values, n = found.template if template else found.words, len(found.words)
     if n < size:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    up, down = _powers(1 << max(n, 1 << 20).bit_length())
+    up, down = _powers(max(PIECE, 1 << (n - 1).bit_length()))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(values * up[:n])])
     at = np.arange(n - size + 1)
     hashes = mix((sums[size:] - sums[:-size]) * down[at] + np.uint64(2 * size + template))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes scanned at once; working arrays take about 40 times as much.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -113,7 +113,7 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def parts(batch: pa.RecordBatch, text: int, size: int = 4 << 20):  # noqa: ANN201
+def parts(batch: pa.RecordBatch, text: int, size: int = 1 << 20):  # noqa: ANN201
     """Slices of a batch with about ``size`` bytes of text each, one row at least."""
     column = batch.column(text)
     if not len(column):
