@@ -184,7 +184,11 @@ class LineIndex:
         return self._after(key_counts(docs, text_col).withColumn("n", -F.col("n")))
 
     def apply(self, docs: DataFrame, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-        """``docs`` with the text's frequent lines taken out, and n_lines (before), n_dropped; other columns stay."""
+        """``docs`` with the text's frequent lines taken out, and n_lines (before), n_dropped; other columns stay.
+
+        Input columns of those two names give way.  A null text comes back empty.
+        """
+        docs = docs.drop("n_lines", "n_dropped")
         size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
         if size <= broadcast_bytes:
             return self._by_filters(docs, text_col)
@@ -249,8 +253,6 @@ class LineIndex:
 
 
 def _result_schema(docs: DataFrame, text_col: str) -> str:
-    if clash := {"n_lines", "n_dropped"} & set(docs.columns):
-        raise ValueError(f"the input has a column that the result needs: {sorted(clash)}")
     return ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema) + ", n_lines bigint, n_dropped bigint"
 
 

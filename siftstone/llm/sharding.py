@@ -151,31 +151,31 @@ def assign(rows: DataFrame, shards: int) -> DataFrame:
     """``rows`` (old int, pos long: position in the old shard, size long, more columns) with shard int and slot long.
 
     Row counts of the new shards are at most one apart, slots gapless from 0.  ``rows`` is read several times: give a
-    written table.  An empty table gives an empty result; old shards beyond the new ones move as a whole.
+    written table.  An empty table gives an empty result; old shards beyond the new ones move as a whole.  Input columns named
+    shard or slot give way to the result's.
     """
-    spark = rows.sparkSession
-    if clash := {"size_class", "run", "rank", "start", "end", "first", "shard", "slot"} & set(rows.columns):
-        raise ValueError(f"the input has a column that the work needs: {sorted(clash)}")
-    rows = rows.withColumn("size_class", F.floor(4 * F.log2("size")).cast("int")).withColumn("run", F.expr(f"pos div {RUN}"))
-    runs = rows.groupBy("old", "size_class", "run").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-    blocks = runs.groupBy("old", "size_class").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    transfers = solve([Block(r.old, r.size_class, r.n, r.bytes) for r in blocks.collect()], shards)
-    plan = spark.createDataFrame([(t.old, t.size_class, t.start, t.end, t.shard, t.slot) for t in transfers], "old int, size_class int, start long, end long, shard int, first long")
-    earlier = Window.partitionBy("old", "size_class").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = runs.select("old", "size_class", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("old", "size_class", "run").orderBy("pos")) - 1
-    ranked = rows.withColumn("within", within).join(starts, ["old", "size_class", "run"]).withColumn("rank", F.col("before") + F.col("within"))
+    spark, given = rows.sparkSession, [c for c in rows.columns if c not in ("shard", "slot")]
+    size_class, run, rank = "__class", "__run", "__rank"
+    rows = rows.select(*given, F.floor(4 * F.log2("size")).cast("int").alias(size_class), F.expr(f"pos div {RUN}").alias(run))
+    runs = rows.groupBy("old", size_class, run).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    blocks = runs.groupBy("old", size_class).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    transfers = solve([Block(r.old, r[size_class], r.n, r.bytes) for r in blocks.collect()], shards)
+    plan = spark.createDataFrame([(t.old, t.size_class, t.start, t.end, t.shard, t.slot) for t in transfers], f"old int, {size_class} int, __start long, __end long, shard int, __first long")
+    earlier = Window.partitionBy("old", size_class).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select("old", size_class, run, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("old", size_class, run).orderBy("pos")) - 1
+    ranked = rows.withColumn("__within", within).join(starts, ["old", size_class, run]).withColumn(rank, F.col("__before") + F.col("__within"))
     # the plan has a row for each block and at most one more for each new shard
-    placed = ranked.join(F.broadcast(plan), ["old", "size_class"]).where("rank >= start and rank < end")
-    return placed.withColumn("slot", F.col("first") + F.col("rank") - F.col("start")).drop("size_class", "run", "within", "before", "rank", "start", "end", "first")
+    placed = ranked.join(F.broadcast(plan), ["old", size_class]).where("__rank >= __start and __rank < __end")
+    return placed.select(*given, "shard", (F.col("__first") + F.col(rank) - F.col("__start")).alias("slot"))
 
 
 def read_sharded(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """A Parquet table with its files as old shards: the columns, old int (files in order of their names), pos long."""
-    rows = spark.read.parquet(path).select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("pos"))
-    files = sorted(r.file for r in rows.select("file").distinct().collect())
-    numbers = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "file string, old int")
-    return rows.join(F.broadcast(numbers), "file").drop("file")
+    """A Parquet table with its files as old shards: the columns, __old int (files in order of their names), __pos long."""
+    rows = spark.read.parquet(path).select(*columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__pos"))
+    files = sorted(r[0] for r in rows.select("__file").distinct().collect())
+    numbers = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "__file string, __old int")
+    return rows.join(F.broadcast(numbers), "__file").drop("__file")
 
 
 def reshard(spark: SparkSession, path: str, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,21 +185,25 @@ def reshard(spark: SparkSession, path: str, shards: int, id_col: str = "doc_id",
     """
     text = F.col(text_col)
     rows = read_sharded(spark, path, id_col, text_col)
-    rows = rows.select(F.col(id_col).alias("doc_id"), text_size(text).alias("size"), crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), "old", "pos")
+    rows = rows.select(F.col(id_col).alias("doc_id"), text_size(text).alias("size"), crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.col("__old").alias("old"), F.col("__pos").alias("pos"))
     return assign(durable(rows, "shard-rows"), shards)
 
 
 def rewrite(spark: SparkSession, path: str, placed: DataFrame, folder: str) -> list[int]:
-    """Writes the new shards that differ from the old file of their number, as ``folder``/shard=N; returns their numbers.
+    """Writes the new shards that differ from the old file of their number, as ``folder``/shard=N (``shard_`` if that is a column); returns their numbers.
 
     A shard whose rows all stay and that takes none in is not rewritten: its old file goes on serving.
     """
     moved = placed.withColumn("moves", F.col("shard") != F.col("old"))
     changed = moved.where("moves").select(F.explode(F.array("shard", "old")).alias("shard")).distinct()
     affected = sorted(r.shard for r in changed.join(placed.select("shard").distinct(), "shard", "left_semi").collect())  # at most the new shards
-    columns = [c for c in spark.read.parquet(path).columns if c not in ("old", "pos", "shard", "slot")]
-    keys = placed.where(F.col("shard").isin(affected)).select("old", "pos", "shard", "slot")
-    rows = read_sharded(spark, path, *columns).join(keys, ["old", "pos"]).drop("old", "pos")
-    pieces = F.expr(f"slot div {16 * RUN}")
-    rows.repartition("shard", pieces).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    columns = spark.read.parquet(path).columns
+    shard = "shard"
+    while shard in columns:
+        shard += "_"
+    keys = placed.where(F.col("shard").isin(affected)).select(F.col("old").alias("__old"), F.col("pos").alias("__pos"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    rows = read_sharded(spark, path, *columns).join(keys, ["__old", "__pos"])
+    pieces = F.expr(f"__slot div {16 * RUN}")
+    ordered = rows.repartition("__shard", pieces).sortWithinPartitions("__shard", "__slot")
+    ordered.select(*columns, F.col("__shard").alias(shard)).write.partitionBy(shard).parquet(folder)
     return affected

@@ -244,12 +244,11 @@ def present_in(sent):  # noqa: ANN001, ANN201  a broadcast of sorted fingerprint
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1, higher for likelier toxic; other columns stay.
+    """``docs`` with a score from 0 to 1, higher for likelier toxic; other columns stay, one of the score's name gives way.
 
     A null text scores as an empty one.  A model that had no toxic or no clean label to learn from scores everything 0.
     """
-    if score_col in docs.columns:
-        raise ValueError(f"the input has a column {score_col}")
+    docs = docs.drop(score_col)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{score_col}` double"
 

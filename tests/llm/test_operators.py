@@ -113,7 +113,7 @@ def test_flow_is_cheapest():
 def test_shards_are_even_gapless_and_rewritten(spark, tmp_path):
     rows = corpus(2)
     path = str(tmp_path / "t.parquet")
-    spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], SCHEMA + ", size int").repartition(5).write.parquet(path)
+    spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], SCHEMA + ", shard int").repartition(5).write.parquet(path)
     placed = sharding.reshard(spark, path, 4).persist()
     got = placed.collect()
     assert len(got) == len(rows)
@@ -127,7 +127,8 @@ def test_shards_are_even_gapless_and_rewritten(spark, tmp_path):
     out = str(tmp_path / "new")
     affected = sharding.rewrite(spark, path, placed, out)
     back = spark.read.parquet(out)
-    assert set(affected) == {r.shard for r in back.select("shard").distinct().collect()}
+    assert back.columns == ["doc_id", "text", "shard", "shard_"]
+    assert set(affected) == {r.shard_ for r in back.select("shard_").distinct().collect()}
     assert back.count() == sum(len(by[s]) for s in affected)
 
 
@@ -187,6 +188,13 @@ def test_wrongly_accepted_keys_are_exceptions(spark, monkeypatch):
     assert index.filters.count() > 0
 
 
+def test_clashing_columns_give_way(spark):
+    rows = spark.createDataFrame([(1, "a\nb", 9, 0.5)], SCHEMA + ", n_lines int, score double")
+    assert rows_of(line_dedup.drop_repeated_lines(rows, 1)) == [(1, "", 0.5, 2, 2)]
+    model = toxicity.fit(rows, spark.createDataFrame([], "doc_id bigint, toxic int"))
+    assert rows_of(toxicity.score(rows, model)) == [(1, "a\nb", 9, 0.0)]
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.drop_repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
