@@ -103,6 +103,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known, found = identities(docs.select(F.col(id_col).alias("doc_id"), F.encode(squeezed(F.col(text_col)), "utf-8").alias("data")), block)
     named = durable(known.select("row", "doc_id", "text_sha256").join(found, "row"), "exact-identities")
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
-    groups = named.groupBy("level", "name").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    groups = durable(named.groupBy("level", "name").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
     joined = named.join(groups, ["level", "name"])
     return joined.select("doc_id", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")

@@ -175,10 +175,12 @@ def _open_links(sets: _Sets, multi: DataFrame, roots: DataFrame, similarity: int
     blocks, each set sent once for each block of its region.  A region of more than ``REGION`` classes is dealt out by its buckets.
     """
     labelled = multi.where("c > 2").join(roots, "node", "left").select("bucket", "c", "node", F.coalesce("root", "node").alias("root"))
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("hub")).where("low <> high")
+    labelled = durable(labelled, "near-labelled")
+    mixed = durable(labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("hub")).where("low <> high"), "near-mixed")
     open_ = durable(labelled.join(mixed.select("bucket", "hub"), "bucket"), "near-open")
     regions = components(open_.select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "region")
-    sized = regions.join(regions.groupBy("region").agg(F.count(F.lit(1)).alias("m")), "region")
+    regions = durable(regions, "near-regions")
+    sized = regions.join(durable(regions.groupBy("region").agg(F.count(F.lit(1)).alias("m")), "near-region-sizes"), "region")
     placed = durable(open_.join(sized, "node"), "near-regions")
     whole = placed.where(F.col("m") <= REGION).select(F.lit(0).alias("kind"), F.col("region").alias("g"), "m", "node", "root").distinct()
     large = placed.where(F.col("m") > REGION).select(F.lit(1).alias("kind"), F.col("bucket").alias("g"), F.col("c").alias("m"), "node", "root")
@@ -217,10 +219,11 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: int = 80, id_col: st
     classes = durable(heads.join(found.select(F.col("row").alias("node"), "n_shingles", "bands"), "node"), "near-classes")
 
     members = classes.select(F.explode("bands").alias("bucket"), "node")
-    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # aggregates are written before they are joined: then a hot key's rows come from plain exchanges, which adaptive execution splits
+    several = durable(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-several")
     multi = durable(members.join(several, "bucket").join(classes.select("node", "n_shingles"), "node"), "near-buckets")
     weight = multi.groupBy("node").agg(F.sum("c").alias("w"))
-    hubs = multi.join(weight, "node").groupBy("bucket").agg(F.max(F.struct(F.col("w"), (-F.col("node")).alias("node"), F.col("n_shingles").alias("n"))).alias("hub"))
+    hubs = durable(multi.join(weight, "node").groupBy("bucket").agg(F.max(F.struct(F.col("w"), (-F.col("node")).alias("node"), F.col("n_shingles").alias("n"))).alias("hub")), "near-hubs")
     star = multi.join(hubs, "bucket").select((-F.col("hub.node")).alias("h"), F.col("hub.n").alias("na"), "node", F.col("n_shingles").alias("nb"))
     star = star.where(F.col("h") != F.col("node")).where(_near_size(similarity))
     edges = durable(star.select(F.least("h", "node").alias("a"), F.greatest("h", "node").alias("b")).distinct(), "near-star")
@@ -232,8 +235,8 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: int = 80, id_col: st
     if not more.isEmpty():
         roots = durable(components(links.unionByName(more)), "near-roots")
 
-    rooted = classes.select("node", "set_id", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    rooted = durable(classes.select("node", "set_id", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
+    least = durable(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "near-least")
     named = rooted.join(least, "root").select("set_id", "component_id")
     result = found.select("doc_id", "n_shingles", F.when(linked, F.col("set_id")).alias("set_id")).join(named, "set_id", "left")
     component = F.coalesce("component_id", "doc_id")
