@@ -64,7 +64,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     settle(spark)
     codec = bpe.Codec.from_ranks(tokenizer_path("byte_bpe_50k.tiktoken"))
-    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), codec), codec)
+    decoded = bpe.round_trip(docs.select("doc_id", "text"), codec)
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

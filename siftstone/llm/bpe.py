@@ -273,27 +273,55 @@ def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def decode(tokens: DataFrame, codec: Codec, id_col: str = "doc_id") -> DataFrame:
-    """From packed ids: id, ids, n_tokens, ids_text (decimal ids joined by one space), decoded binary.
+class _Decoder:
+    """Packed ids to (number, decimal ids joined by one space, bytes).
 
     Bytes are joined before anything reads them as UTF-8, so characters that two or more tokens share come back whole.
     """
+
+    def __init__(self, worker: Worker) -> None:
+        self.dtype, self.table = worker.codec.dtype, worker.byte_table()
+        self.spelled = [str(i) for i in range(len(self.table))]
+
+    def columns(self, packed: list[bytes | None]) -> list[pa.Array]:
+        n, text, data = [], [], []
+        for ids in (np.frombuffer(p or b"", self.dtype).tolist() for p in packed):
+            n.append(len(ids))
+            text.append(" ".join(map(self.spelled.__getitem__, ids)))
+            data.append(b"".join(map(self.table.__getitem__, ids)))
+        return [pa.array(n, pa.int64()), pa.array(text, pa.string()), pa.array(data, pa.binary())]
+
+
+_DECODED = "ids binary, n_tokens bigint, ids_text string, decoded binary"
+
+
+def decode(tokens: DataFrame, codec: Codec, id_col: str = "doc_id") -> DataFrame:
+    """From packed ids: id, ids, n_tokens, ids_text (decimal ids joined by one space), decoded binary."""
     spec = tokens.sparkSession.sparkContext.broadcast(codec)
     kind = tokens.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Worker.of(spec.value).byte_table()
-        spelled = [str(i) for i in range(len(table))]
-        for batch in (part for whole in batches for part in parts(whole, 1, 1 << 19)):
-            n, text, data = [], [], []
-            for packed in batch.column(1).to_pylist():
-                ids = np.frombuffer(packed or b"", spec.value.dtype).tolist()
-                n.append(len(ids))
-                text.append(" ".join(map(spelled.__getitem__, ids)))
-                data.append(b"".join(map(table.__getitem__, ids)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(text, pa.string()), pa.array(data, pa.binary())], [id_col, "ids", "n_tokens", "ids_text", "decoded"])
-
-    return tokens.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_tokens bigint, ids_text string, decoded binary")
+        decoder = _Decoder(Worker.of(spec.value))
+        for batch in (part for whole in batches for part in parts(whole, 1)):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *decoder.columns(batch.column(1).to_pylist())], [id_col, "ids", "n_tokens", "ids_text", "decoded"])
+
+    return tokens.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, {_DECODED}")
+
+
+def round_trip(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one worker a task, the decoder seeing the packed ids alone."""
+    spec = docs.sparkSession.sparkContext.broadcast(codec)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker = Worker.of(spec.value)
+        decoder = _Decoder(worker)
+        for batch in (part for whole in batches for part in parts(whole, 1)):
+            ids = [worker.encode(text) if text else b"" for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), *decoder.columns(ids)], [id_col, "ids", "n_tokens", "ids_text", "decoded"])
+        worker.rest()
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {_DECODED}")
 
 
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -290,21 +290,21 @@ def _changed_filters(crossed: DataFrame, old: DataFrame | None, counts: DataFram
     kept = old if old is not None else spark.createDataFrame([], "shard int, filter binary")
     changes = crossed.withColumn("shard", _shard(shards)).groupBy("shard")
 
-    def run(key: tuple, changed, was):  # noqa: ANN001, ANN202  pandas frames
-        import pandas as pd
-
-        data = bytes(was["filter"].iloc[0]) if len(was) else None
-        added = sorted(bytes(k) for k in changed["key"][changed["added"].astype(bool)]) if len(changed) else []
-        gone = sorted(bytes(k) for k in changed["key"][~changed["added"].astype(bool)]) if len(changed) else []
+    def run(key: tuple, changed: pa.Table, was: pa.Table) -> pa.Table:
+        data = was.column("filter")[0].as_py() if was.num_rows else None
+        sides = {True: [], False: []}
+        for k, added in zip(changed.column("key").to_pylist(), changed.column("added").to_pylist(), strict=True):
+            sides[added].append(k)
+        added, gone = sorted(sides[True]), sorted(sides[False])
         if data is None:
             data = CuckooFilter.build(added).to_bytes()
         elif added or gone:
             made = CuckooFilter.from_bytes(data)
             made.delete(gone)
             data = made.to_bytes() if made.insert(added) else b""
-        return pd.DataFrame({"shard": [int(key[0])], "filter": [data]})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([data], pa.binary())})
 
-    made = durable(changes.cogroup(kept.groupBy("shard")).applyInPandas(run, "shard int, filter binary"), "line-filters")
+    made = durable(changes.cogroup(kept.groupBy("shard")).applyInArrow(run, "shard int, filter binary"), "line-filters")
     full = [r.shard for r in made.where(F.length("filter") == 0).select("shard").collect()]
     if not full:
         return made

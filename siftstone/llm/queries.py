@@ -47,7 +47,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     codec = bpe.Codec.from_ranks(tokenizer_path("byte_bpe_50k.tiktoken"))
-    return bpe.digests(bpe.decode(bpe.encode(docs, codec), codec))
+    return bpe.digests(bpe.round_trip(docs, codec))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

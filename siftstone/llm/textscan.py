@@ -113,7 +113,7 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def parts(batch: pa.RecordBatch, text: int, size: int = 1 << 20):  # noqa: ANN201
+def parts(batch: pa.RecordBatch, text: int, size: int = 1 << 18):  # noqa: ANN201
     """Slices of a batch with about ``size`` bytes of text each, one row at least."""
     column = batch.column(text)
     if not len(column):
