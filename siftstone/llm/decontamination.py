@@ -27,6 +27,8 @@ from siftstone.llm.common import BROADCAST_BYTES, durable
 from siftstone.llm.textscan import PIECE, _powers, fingerprints, mix, parts, text_bytes
 
 WINDOW, COVER, SHORTEST = 8, 0.5, 3
+#: Words put in or left out that one occurrence may have.
+DRIFT = 3
 
 #: Units that make a placeholder after a number.
 UNITS = "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonne tonnes lb lbs pound pounds oz ounce ounces ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years hz khz mhz ghz w kw mw v kv a ma j kj cal kcal kb mb gb tb mph kmh percent dollar dollars euro euros cent cents usd eur gbp degree degrees celsius fahrenheit".split()
@@ -167,19 +169,18 @@ def _document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | Non
     return docs.mapInArrow(run, f"row bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, hash bigint, spot int, slots binary")
 
 
-def _judge(spot: np.ndarray, place: np.ndarray, slots: list[bytes], own: list[bytes]) -> tuple[int, bool]:
-    """The most places of an item matched in order, one occurrence in the document at a time, and whether its slots are consistent."""
-    best, clean = 0, True
-    shift = spot - place
+def _judge(spot: np.ndarray, place: np.ndarray, slots: list[bytes], own: list[bytes]) -> int:
+    """The most places of an item matched in order by one occurrence in the document whose slots are consistent."""
+    order = np.argsort(spot - place, kind="stable")
+    shift, best = (spot - place)[order], 0
     for s in np.unique(shift):
-        near = np.flatnonzero(np.abs(shift - s) <= 3)  # a few words put in or left out
+        near = order[np.searchsorted(shift, s - DRIFT, "left") : np.searchsorted(shift, s + DRIFT, "right")]
         count = len(np.unique(place[near]))
         if count > best:
             pairs = {(int(a), int(b)) for k in near.tolist() for a, b in zip(np.frombuffer(own[k], np.uint64), np.frombuffer(slots[k], np.uint64), strict=True)}
-            ok = len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
-            if ok or not clean or best == 0:
-                best, clean = (count, ok) if ok or best == 0 else (best, clean)
-    return best, clean
+            if len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}):
+                best = count
+    return best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, cover: float = COVER, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -201,9 +202,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def run(group: pa.Table) -> pa.Table:
         spot, place = group.column("spot").to_numpy(), group.column("place").to_numpy()
-        best, clean = _judge(spot, place, group.column("slots").to_pylist(), group.column("own").to_pylist())
+        best = _judge(spot, place, group.column("slots").to_pylist(), group.column("own").to_pylist())
         share = best / group.column("places")[0].as_py()
-        keep = share >= cover and clean
+        keep = share >= cover
         one = lambda name: group.column(name).combine_chunks().slice(0, int(keep))
         kinds = np.where(one("template").to_numpy(zero_copy_only=False), "template", "words").tolist()
         return pa.table({"doc_id": one("doc_id"), "item_id": one("item_id"), "row": one("row"), "cover": pa.array([share] * keep, pa.float64()), "kind": pa.array(kinds, pa.string())})
