@@ -1,167 +1,162 @@
 """Cross-entropy difference: matched target and background bigram models over one vocabulary.
 
 Counts cover all documents (the background) and, beside them, those of the target domain.  The shared vocabulary
-holds every word with at least ``WORD_SHARE`` of all tokens (others are one unknown word), the models every pair with at least
-``PAIR_SHARE`` of them, other pairs back off to single words.  A relative cut-off works alike at every size and proves a bound:
-no more than 1 / share entries can reach it, so vocabulary (8 MB) and pair table (64 MB at most) may be sent to every task.
+holds every word that occurs ``LEAST`` times (others are one unknown word), the models every pair that does, other pairs back off to
+single words.  The cut-off is a count, so vocabulary and pairs grow with the input; callers may raise it to a share of all tokens.
 
 Both models use the same pairs and absolute discounting: P(w|h) = max(c(h,w) - D, 0) / c(h) + rest(h) P(w), where rest(h)
 is what the discounted pairs leave, and P(w) has add-one smoothing.  A document's score is the mean over its tokens of
 background loss minus target loss, in nats: the higher, the more like the target.
 
-Partial counts are added up over ``CHUNK`` tokens in each task before they are shuffled.
+No table is sent to all tasks.  Texts become chunks of about ``CHUNK`` bytes; a chunk asks for its distinct words, later for its
+distinct pairs and their histories, once each, and questions meet the entries in buckets by hash (``_look_up``).  Words are
+known by 64-bit fingerprints, pairs by a 64-bit hash of both.
+
+Partial counts are added up over ``HELD`` entries in each task before they are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm.common import BROADCAST_BYTES, durable
-from siftstone.llm.textscan import parts, words
+from siftstone.llm.textscan import mix, parts, words
 
-WORD_SHARE, PAIR_SHARE, LEAST = 1e-6, 2.5e-7, 2
+WORD_SHARE, PAIR_SHARE, LEAST = 0.0, 0.0, 2
 DISCOUNT = 0.75
-CHUNK = 3_000_000
+#: Bytes of text in a chunk, entries added up in a task, tokens for each bucket.
+CHUNK, HELD, BUCKET = 1 << 19, 1_500_000, 4_000_000
 
+#: Fingerprints of the unknown word and the start of a text; what makes a history's fingerprint the key of its counts and of its rest.
+_UNKNOWN, _START = np.uint64(1), np.uint64(2)
+_SEEN, _REST = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 
-@dataclass(frozen=True)
-class Vocabulary:
-    """Sorted fingerprints; a word's id is its place, then come the unknown word and the start of a text."""
 
-    words: np.ndarray
+def _chunks(docs: DataFrame) -> DataFrame:
+    """Chunks of ``docs`` (id, text, target): distinct words, each token's place among them, row offsets, ids, target rows."""
+    kind = docs.schema[0].dataType.simpleString()
 
-    @property
-    def unknown(self) -> int:
-        return len(self.words)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in (part for whole in batches for part in parts(whole, 1, CHUNK)):
+            found, at = words(batch.column(1))
+            values, place = np.unique(found, return_inverse=True)
+            ids = pa.ListArray.from_arrays(pa.array([0, len(at) - 1], pa.int32()), batch.column(0))
+            target = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            data = [pa.array([x.tobytes()], pa.binary()) for x in (values, place.astype(np.int32), at.astype(np.int64), target)]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), *data, ids], ["chunk", "names", "place", "at", "target", "ids"])
+            chunk += 1
 
-    @property
-    def start(self) -> int:
-        return len(self.words) + 1
+    return docs.mapInArrow(run, f"chunk bigint, names binary, place binary, at binary, target binary, ids array<{kind}>")
 
-    def ids(self, found: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(found), np.int64)
-        at = np.minimum(np.searchsorted(self.words, found), len(self.words) - 1)
-        return np.where(self.words[at] == found, at, self.unknown)
 
-    def pairs(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Each token of the texts as history * 2**32 + word, and the row offsets."""
-        found, at = words(column)
-        ids = self.ids(found)
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[at[:-1][at[:-1] < at[1:]]] = self.start
-        return before << 32 | ids, at
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names, places, offsets, and for each token whether it is of a target text."""
+    at = np.frombuffer(row["at"], np.int64)
+    return np.frombuffer(row["names"], np.uint64), np.frombuffer(row["place"], np.int32), at, np.repeat(np.frombuffer(row["target"], bool), np.diff(at))
 
 
-def _counts(docs: DataFrame, vocabulary: Vocabulary | None) -> DataFrame:
-    """(gram, n, t): tokens in all documents and in target documents, of words or, with a vocabulary, of pairs.
+def _pairs(names: np.ndarray, place: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a chunk's distinct pairs, places of their histories and words, and each token's pair.  The last name is the start."""
+    before = np.empty(len(place), np.int64)
+    before[1:] = place[:-1]
+    before[at[:-1][at[:-1] < at[1:]]] = len(names) - 1
+    code, where = np.unique(before * len(names) + place, return_inverse=True)
+    of, to = code // len(names), code % len(names)
+    return mix(mix(names[of]) + names[to]), of, to, where
 
-    ``docs``: text, target boolean.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+def _word_counts(row: dict) -> tuple[np.ndarray, ...]:
+    names, place, _, target = _read(row)
+    return names, names, np.bincount(place, minlength=len(names)), np.bincount(place, target, len(names))
+
+
+def _pair_counts(row: dict) -> tuple[np.ndarray, ...]:
+    names, place, at, target = _read(row)
+    keys, of, _, where = _pairs(names, place, at)
+    return keys, names[of], np.bincount(where, minlength=len(keys)), np.bincount(where, target, len(keys))
+
+
+def _counts(chunks: DataFrame, count: Callable[[dict], tuple[np.ndarray, ...]]) -> DataFrame:
+    """(gram, history, n, t): tokens in all documents and in target documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        marks: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            grams, marked = np.concatenate(held), np.concatenate(marks)
+            gram, history, n, t = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            marks.clear()
-            values, where = np.unique(grams, return_inverse=True)
-            n = np.bincount(where, minlength=len(values))
-            t = np.bincount(where, weights=marked, minlength=len(values))
-            return pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64)), pa.array(t.astype(np.int64))], ["gram", "n", "t"])
+            values, first, where = np.unique(gram, return_index=True, return_inverse=True)
+            columns = [values.view(np.int64), history[first].view(np.int64), *(np.bincount(where, x, len(values)).astype(np.int64) for x in (n, t))]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["gram", "history", "n", "t"])
 
         size = 0
-        for batch in (part for whole in batches for part in parts(whole, 0)):
-            grams, at = words(batch.column(0)) if sent.value is None else sent.value.pairs(batch.column(0))
-            held.append(grams.view(np.int64))
-            marks.append(np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(at)))
-            size += len(grams)
-            if size >= CHUNK:
+        for row in (row for batch in batches for row in batch.to_pylist()):
+            held.append(count(row))
+            size += len(held[-1][0])
+            if size >= HELD:
                 yield flush()
                 size = 0
         if size:
             yield flush()
 
-    return docs.mapInArrow(run, "gram bigint, n bigint, t bigint").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-@dataclass(frozen=True)
-class Models:
-    """Log-probabilities of both models (row 0: background, row 1: target): of kept pairs, of words, and left to a history."""
-
-    vocabulary: Vocabulary
-    pairs: np.ndarray
-    pair: np.ndarray
-    word: np.ndarray
-    rest: np.ndarray
-
-    def losses(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Mean loss per token of each text under both models (2 x rows), and the numbers of tokens."""
-        keys, at = self.vocabulary.pairs(column)
-        if len(self.pairs):
-            where = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            kept = self.pairs[where] == keys
-        else:
-            where, kept = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        n = np.diff(at)
-        out = np.zeros((2, len(n)))
-        for m in (0, 1):
-            value = self.rest[m][keys >> 32] + self.word[m][keys & 0xFFFFFFFF]
-            if len(self.pairs):
-                value = np.where(kept, self.pair[m][where], value)
-            sums = np.concatenate([[0.0], np.cumsum(value.astype(np.float64))])
-            out[m] = -(sums[at[1:]] - sums[at[:-1]]) / np.maximum(n, 1)
-        return out, n
-
-
-def _collected(df: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """gram, n, t of at most ``most`` rows, in order of gram."""
-    got = df.select("gram", "n", "t").toArrow()
-    if got.num_rows > most:
-        raise ValueError("more entries than their share of the tokens allows")
-    gram, n, t = (c.to_numpy() for c in got.columns)
-    order = np.argsort(gram)
-    return gram[order], n[order], t[order]
-
-
-def fit(docs: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Models:
-    """Both models from ``docs`` (text, target boolean)."""
-    unigrams = durable(_counts(docs, None), "word-counts")
-    totals = unigrams.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
-    tokens = np.array([totals.n or 0, totals.t or 0])
-    least = max(LEAST, int(np.ceil(word_share * tokens[0])))
-    gram, n, t = _collected(unigrams.where(F.col("n") >= least), int(1 / word_share))
-    order = np.argsort(gram.view(np.uint64))
-    vocabulary = Vocabulary(gram.view(np.uint64)[order])
-    counts = np.stack([n[order], t[order]]).astype(np.float64)
-    counts = np.concatenate([counts, np.maximum(tokens - counts.sum(axis=1), 0)[:, None]], axis=1)
-    word = np.log((counts + 1) / (tokens[:, None] + counts.shape[1]))
-
-    bigrams = durable(_counts(docs, vocabulary), "pair-counts")
-    least = max(LEAST, int(np.ceil(pair_share * tokens[0])))
-    pairs, n, t = _collected(bigrams.where(F.col("n") >= least), int(1 / pair_share))
-    history = bigrams.groupBy(F.shiftright("gram", 32).alias("gram")).agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    h, hn, ht = _collected(history, int(1 / word_share) + 2)
-    seen = np.zeros((2, vocabulary.start + 1))
-    seen[0, h], seen[1, h] = hn, ht
-    of, to = pairs >> 32, pairs & 0xFFFFFFFF
-    pair, rest = [], []
-    for m, c in enumerate((n, t)):
-        share = np.maximum(c - DISCOUNT, 0) / np.maximum(seen[m, of], 1)
-        left = np.where(seen[m] > 0, 1 - np.bincount(of, weights=share, minlength=seen.shape[1]), 1.0)
-        rest.append(np.log(np.maximum(left, 1e-9)).astype(np.float32))
-        pair.append(np.log(share + left[of] * np.exp(word[m, to])).astype(np.float32))
-    return Models(vocabulary, pairs, np.stack(pair), word.astype(np.float32), np.stack(rest))
+    found = chunks.select("names", "place", "at", "target").mapInArrow(run, "gram bigint, history bigint, n bigint, t bigint")
+    return found.groupBy("gram").agg(F.min("history").alias("history"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``keys`` by bucket, and where each bucket begins."""
+    bucket = keys.view(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _look_up(chunks: DataFrame, keys: Callable[[dict], np.ndarray], entries: DataFrame, buckets: int, then: Callable[[dict, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """``then`` of each chunk and the two numbers that ``entries`` (gram, a, b) has for each of its ``keys``, NaN where it has none."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (row for batch in batches for row in batch.to_pylist()):
+            asked = keys(row)
+            order, edge = _dealt(asked, buckets)
+            there, asked = np.flatnonzero(np.diff(edge)), asked[order]
+            data = [asked[edge[b] : edge[b + 1]].tobytes() for b in there]
+            yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array([row["chunk"]] * len(there), pa.int64()), pa.array(data, pa.binary())], ["bucket", "chunk", "data"])
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        gram, a, b = (known.column(x).to_numpy() for x in ("gram", "a", "b"))
+        order = np.argsort(gram)
+        gram, value = gram[order], np.stack([a, b], axis=1)[order]
+        out = []
+        for data in asked.column("data").to_pylist():
+            wanted = np.frombuffer(data, np.int64)
+            got = np.full((len(wanted), 2), np.nan, np.float32)
+            if len(gram):
+                at = np.minimum(np.searchsorted(gram, wanted), len(gram) - 1)
+                hit = gram[at] == wanted
+                got[hit] = value[at[hit]]
+            out.append(got.tobytes())
+        return pa.table({"bucket": asked.column("bucket"), "chunk": asked.column("chunk"), "data": pa.array(out, pa.binary())})
+
+    def gather(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        (row,) = chunk.to_pylist()
+        asked = keys(row)
+        order, edge = _dealt(asked, buckets)
+        found = np.full((len(asked), 2), np.nan, np.float32)
+        for b, data in zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True):
+            found[order[edge[b] : edge[b + 1]]] = np.frombuffer(data, np.float32).reshape(-1, 2)
+        return then(row, found)
+
+    columns = "bucket int, chunk bigint, data binary"
+    asked = chunks.select("chunk", "names", "place", "at").mapInArrow(ask, columns)
+    known = entries.select(F.pmod("gram", F.lit(buckets)).cast("int").alias("bucket"), "gram", F.col("a").cast("float").alias("a"), F.col("b").cast("float").alias("b"))
+    answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, columns)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(gather, schema)
 
 
 def with_target(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -171,23 +166,89 @@ def with_target(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id")
     return docs.join(F.broadcast(ids) if small else ids, id_col, "left").withColumn("target", F.coalesce("target", F.lit(False)))
 
 
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: id, n_tokens, background_loss, target_loss, score.
+def _in_vocabulary(chunks: DataFrame, counts: DataFrame, least: int, totals: np.ndarray, buckets: int) -> DataFrame:
+    """``chunks`` with unknown words as one, then the unknown word and the start among their names, and logs: log P(w) of both models."""
+    known = counts.where(F.col("n") >= least)
+    inside = known.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("t").alias("t")).first()
+    below = [int(x) + inside.k + 1 for x in totals]
+    rest = np.log([(totals[0] - (inside.n or 0) + 1) / below[0], (totals[1] - (inside.t or 0) + 1) / below[1]])
+    entries = known.select("gram", F.log((F.col("n") + 1) / below[0]).alias("a"), F.log((F.col("t") + 1) / below[1]).alias("b"))
 
-    A text without words, a null one too, has no tokens and 0 for the rest.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(models)
-    kind = docs.schema[id_col].dataType.simpleString()
+    def keys(row: dict) -> np.ndarray:
+        return np.frombuffer(row["names"], np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in parts(whole, 1)):
-            (background, target), n = sent.value.losses(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (n.astype(np.int64), background, target, background - target))], [id_col, "n_tokens", "background_loss", "target_loss", "score"])
+    def then(row: dict, found: np.ndarray) -> pa.Table:
+        names, place, _, _ = _read(row)
+        there = ~np.isnan(found[:, 0])
+        new = np.where(there, np.cumsum(there) - 1, there.sum())
+        row["names"] = np.concatenate([names[there], [_UNKNOWN, _START]]).tobytes()
+        row["place"] = new[place].astype(np.int32).tobytes()
+        row["logs"] = np.concatenate([found[there], [rest, [0, 0]]]).astype(np.float32).tobytes()
+        return pa.Table.from_pylist([row], schema=shape)
+
+    shape = pa.schema([("chunk", pa.int64()), *((x, pa.binary()) for x in ("names", "place", "at", "target")), ("ids", _arrow(chunks)), ("logs", pa.binary())])
+    return _look_up(chunks, keys, entries, buckets, then, f"chunk bigint, names binary, place binary, at binary, target binary, ids {chunks.schema['ids'].dataType.simpleString()}, logs binary")
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, background_loss double, target_loss double, score double")
+
+def _arrow(chunks: DataFrame) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(chunks.schema["ids"].dataType)
+
+
+def _entries(pairs: DataFrame, least: int) -> DataFrame:
+    """(gram, a, b) of kept pairs and of histories: counts of both models, and what the kept pairs leave of a history."""
+    kept = F.col("n") >= least
+    sums = [F.sum(F.when(kept, F.greatest(F.col(x) - DISCOUNT, F.lit(0.0))).otherwise(0.0)).alias(f"k{x}") for x in "nt"]
+    history = durable(pairs.groupBy("history").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), *sums), "histories")
+    left = [F.when(F.col(x) > 0, F.greatest(1 - F.col(f"k{x}") / F.col(x), F.lit(0.0))).otherwise(1.0).alias(y) for x, y in zip("nt", "ab", strict=True)]
+    key = lambda by: F.col("history").bitwiseXOR(F.lit(by)).alias("gram")
+    return pairs.where(kept).selectExpr("gram", "double(n) AS a", "double(t) AS b").unionAll(history.select(key(_SEEN), F.col("n").cast("double"), F.col("t").cast("double"))).unionAll(history.select(key(_REST), *left))
+
+
+def _asked(row: dict) -> np.ndarray:
+    names, place, at = np.frombuffer(row["names"], np.uint64), np.frombuffer(row["place"], np.int32), np.frombuffer(row["at"], np.int64)
+    keys, of, _, _ = _pairs(names, place, at)
+    histories = names[np.unique(of)]
+    return np.concatenate([keys, histories ^ np.uint64(_SEEN), histories ^ np.uint64(_REST)])
+
+
+def _losses(row: dict, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean loss per token of each text under both models (2 x rows), and the numbers of tokens."""
+    names, place, at, _ = _read(row)
+    keys, of, to, where = _pairs(names, place, at)
+    spot = np.unique(of, return_inverse=True)[1]
+    found = found.astype(np.float64)
+    count, seen, left = np.split(found, [len(keys), (len(found) + len(keys)) // 2])
+    word = np.frombuffer(row["logs"], np.float32).reshape(-1, 2).astype(np.float64)[to]
+    seen, left = seen[spot], left[spot]
+    share = np.maximum(np.nan_to_num(count) - DISCOUNT, 0) / np.maximum(seen, 1)
+    backed = np.log(np.maximum(left, 1e-9)) + word
+    value = np.where(np.isnan(count), backed, np.log(np.maximum(share + left * np.exp(word), 1e-300)))
+    n = np.diff(at)
+    sums = np.concatenate([np.zeros((1, 2)), np.cumsum(value[where], axis=0)])
+    return -((sums[at[1:]] - sums[at[:-1]]) / np.maximum(n, 1)[:, None]).T, n
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> DataFrame:
-    """Fits both models on ``docs``, the target one on those with an id in ``target_ids``, and scores every document."""
-    marked = with_target(docs.select(id_col, text_col), target_ids, id_col).select(F.col(text_col).alias("text"), "target")
-    return score(docs, fit(marked, word_share, pair_share), id_col, text_col)
+    """Fits both models on ``docs``, the target one on those with an id in ``target_ids``, and scores every document.
+
+    One row for each row of ``docs``: id, n_tokens, background_loss, target_loss, score.  A text without words, a null one too, has no
+    tokens and 0 for the rest.
+    """
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chunks = durable(_chunks(with_target(plain, target_ids, "id").select("id", "text", "target")), "text-chunks")
+    unigrams = durable(_counts(chunks, _word_counts), "word-counts")
+    sums = unigrams.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
+    totals = np.array([sums.n or 0, sums.t or 0])
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(totals[0]) // BUCKET))
+    least = lambda share: max(LEAST, int(np.ceil(share * totals[0])))
+    chunks = durable(_in_vocabulary(chunks, unigrams, least(word_share), totals, buckets), "known-chunks")
+    pairs = durable(_counts(chunks, _pair_counts), "pair-counts")
+
+    def then(row: dict, found: np.ndarray) -> pa.Table:
+        (background, target), n = _losses(row, found)
+        return pa.table([pa.array(row["ids"], kind), *map(pa.array, (n.astype(np.int64), background, target, background - target))], [id_col, "n_tokens", "background_loss", "target_loss", "score"])
+
+    kind = _arrow(chunks).value_type
+    return _look_up(chunks, _asked, _entries(pairs, least(pair_share)), buckets, then, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens bigint, background_loss double, target_loss double, score double")

@@ -300,6 +300,17 @@ def test_cross_entropy_difference_matches_brute_force(spark):
         assert (background, aim, score) == pytest.approx((loss(0, text), loss(1, text), loss(0, text) - loss(1, text)), abs=1e-4)
 
 
+def test_pairs_seen_twice_count_beside_any_number_of_tokens(spark):
+    rows = [(i, "filler words come here " * 2500) for i in range(1000)] + [(2000, "quark gluon"), (2001, "quark gluon")]
+    got = lm_scoring.cross_entropy_difference(frame(spark, rows), spark.createDataFrame([(2000,), (2001,)], "x bigint"))
+    scored = {r.doc_id: r for r in got.collect()}
+    total = 10_000_004 + 6 + 1
+    start = np.log((2 - 0.75) / 1002 + 2 * 0.75 / 1002 * 3 / total)
+    after = np.log((2 - 0.75) / 2 + 0.75 / 2 * 3 / total)
+    assert len(scored) == len(rows)
+    assert scored[2000].background_loss == pytest.approx(-(start + after) / 2, abs=1e-4)
+
+
 def test_scores_of_odd_rows_and_nothing(spark):
     none = spark.createDataFrame([], "doc_id bigint")
     got = lm_scoring.cross_entropy_difference(frame(spark, ODD), none)
