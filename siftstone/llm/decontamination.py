@@ -5,8 +5,8 @@ units (a fixed list, after a number) are typed placeholders; other words are fol
 template tokens are joined by hash with the windows of the benchmark's templates, and windows of the folded words
 themselves with theirs, so that copies with changed case are found as well as questions with other numbers and names.
 
-An item counts as found in a document if windows on at least ``COVER`` of its places occur there in the item's order.  For
-template windows the slots must be consistent too: along the match, one value of the item always
+An item counts as found in a document if windows, literal or template, on at least ``COVER`` of its places occur there in the item's
+order.  The slots of the template windows must be consistent too: along the match, one value of the item always
 stands for one value of the document and the other way round.  An item shorter than a window is one window of its own length.
 
 The benchmark's windows are sent to all tasks while they are few enough (measured); beyond that both sides' windows
@@ -169,22 +169,32 @@ def _document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | Non
     return docs.mapInArrow(run, f"row bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, hash bigint, spot int, slots binary")
 
 
-def _judge(spot: np.ndarray, place: np.ndarray, slots: list[bytes], own: list[bytes]) -> int:
-    """The most places of an item matched in order by one occurrence in the document whose slots are consistent."""
+def _judge(spot: np.ndarray, place: np.ndarray, template: np.ndarray, slots: list[bytes], own: list[bytes]) -> tuple[int, bool]:
+    """The most places of an item matched by one occurrence in the document, and whether literal windows alone do so.
+
+    Literal and template windows count together where the slots of the template ones are consistent.
+    """
     order = np.argsort(spot - place, kind="stable")
-    shift, best = (spot - place)[order], 0
+    shift, best, literal = (spot - place)[order], 0, 0
     for s in np.unique(shift):
         near = order[np.searchsorted(shift, s - DRIFT, "left") : np.searchsorted(shift, s + DRIFT, "right")]
+        literal = max(literal, len(np.unique(place[near][~template[near]])))
         count = len(np.unique(place[near]))
-        if count > best:
-            pairs = {(int(a), int(b)) for k in near.tolist() for a, b in zip(np.frombuffer(own[k], np.uint64), np.frombuffer(slots[k], np.uint64), strict=True)}
-            if len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}):
-                best = count
-    return best
+        if count > best and _consistent(near[template[near]], slots, own):
+            best = count
+    return max(best, literal), literal >= best
+
+
+def _consistent(hits: np.ndarray, slots: list[bytes], own: list[bytes]) -> bool:
+    """Whether one value of the item always stands for one value of the document and the other way round."""
+    pairs = {(int(a), int(b)) for k in hits.tolist() for a, b in zip(np.frombuffer(own[k], np.uint64), np.frombuffer(slots[k], np.uint64), strict=True)}
+    return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, cover: float = COVER, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row for each document and item found in it: doc_id, item_id, cover (share of the item's places), kind (words, template).
+    """One row for each document and item found in it: doc_id, item_id, cover (share of the item's places), kind.
+
+    The kind is words if literal windows alone have as many places, else template.
 
     Null texts and ids: a null text holds nothing; rows with a null id are judged like others; items without an id are left out.
     Repeated rows give repeated results.  Other columns are not read.
@@ -202,13 +212,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def run(group: pa.Table) -> pa.Table:
         spot, place = group.column("spot").to_numpy(), group.column("place").to_numpy()
-        best = _judge(spot, place, group.column("slots").to_pylist(), group.column("own").to_pylist())
+        template = group.column("template").to_numpy()
+        best, literal = _judge(spot, place, template, group.column("slots").to_pylist(), group.column("own").to_pylist())
         share = best / group.column("places")[0].as_py()
         keep = share >= cover
         one = lambda name: group.column(name).combine_chunks().slice(0, int(keep))
-        kinds = np.where(one("template").to_numpy(zero_copy_only=False), "template", "words").tolist()
-        return pa.table({"doc_id": one("doc_id"), "item_id": one("item_id"), "row": one("row"), "cover": pa.array([share] * keep, pa.float64()), "kind": pa.array(kinds, pa.string())})
+        return pa.table({"doc_id": one("doc_id"), "item_id": one("item_id"), "cover": pa.array([share] * keep, pa.float64()), "kind": pa.array(["words" if literal else "template"] * keep, pa.string())})
 
-    judged = hits.groupBy("row", "item_id", "template").applyInArrow(run, f"doc_id {kind}, item_id bigint, row bigint, cover double, kind string")
-    best = judged.groupBy("row", "item_id").agg(F.max(F.struct("cover", F.col("kind"), "doc_id")).alias("b"))
-    return best.select("b.doc_id", "item_id", "b.cover", "b.kind")
+    return hits.groupBy("row", "item_id").applyInArrow(run, f"doc_id {kind}, item_id bigint, cover double, kind string")

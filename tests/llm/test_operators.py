@@ -255,6 +255,18 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and want
 
 
+def found_in(spark, item, *texts):
+    got = decontamination.contaminated(frame(spark, list(enumerate(texts))), frame(spark, [(1, item)], "item_id bigint, text string"))
+    return {r.doc_id: r for r in got.collect()}
+
+
+def test_literal_and_template_windows_count_together(spark):
+    item = "Sara walks 3 km to school every day and on the way she always meets her two best friends. Sara then runs 4 km back to the house of her uncle Bob where 5 dogs wait."
+    other = "Lena walks 6 km to school every day and on the way she always meets her two best friends. Lena then runs 8 km back to the house of her uncle Max where 9 dogs wait."
+    got = found_in(spark, item, other, clean_words(60))
+    assert set(got) == {0} and got[0].kind == "template" and got[0].cover == pytest.approx(20 / 29)  # 8 places by words, 12 more by template
+
+
 def test_decontamination_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     items = frame(spark, ITEMS, "item_id bigint, text string")
