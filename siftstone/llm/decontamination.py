@@ -94,20 +94,34 @@ def tokens(column: pa.Array) -> Tokens:
     return Tokens(word, template, number | name | unit, row, np.searchsorted(row, np.arange(len(offsets))))
 
 
-def windows(found: Tokens, size: int, template: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of ``size`` tokens inside one row, and their first tokens; of templates, those with at most half slots."""
+def windows(found: Tokens, size: int, template: bool, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of ``size`` tokens inside one row, and their first tokens; of templates, those with slots.
+
+    A template window of slots only says little, so it is longer: to the next literal word, and once more from the one before.
+    If not ``whole``, for items shorter than a window, templates with more slots than words are left out.
+    """
     values, n = found.template if template else found.words, len(found.words)
     if n < size:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     up, down = _powers(max(PIECE, 1 << (n - 1).bit_length()))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(values * up[:n])])
     at = np.arange(n - size + 1)
-    hashes = mix((sums[size:] - sums[:-size]) * down[at] + np.uint64(2 * size + template))
-    good = found.row[at] == found.row[at + size - 1]
+    first, last = at, at + size
+    good = found.row[at] == found.row[last - 1]
     if template:
         slots = np.concatenate([[0], np.cumsum(found.slot)])
         inside = slots[size:] - slots[:-size]
-        good &= (2 * inside <= size) & (inside > 0)
+        good &= (inside > 0) & (inside < size if whole else 2 * inside <= size)
+        literal = np.flatnonzero(~found.slot)
+        if whole and len(literal):
+            full = np.flatnonzero(inside == size)
+            right, left = np.searchsorted(literal, full + size), np.searchsorted(literal, full) - 1
+            starts = np.concatenate([full[right < len(literal)], literal[left[left >= 0]]])
+            ends = np.concatenate([literal[right[right < len(literal)]] + 1, full[left >= 0] + size])
+            spots = np.concatenate([full[right < len(literal)], full[left >= 0]])
+            first, last, at = (np.concatenate([x[good], y]) for x, y in ((first, starts), (last, ends), (at, spots)))
+            good = found.row[first] == found.row[last - 1]
+    hashes = mix((sums[last] - sums[first]) * down[first] + (2 * (last - first) + template).astype(np.uint64))
     return hashes[good], at[good]
 
 
@@ -130,7 +144,7 @@ def index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
                 size = min(window, len(found.words))
                 for template in (False, True):
                     if size >= SHORTEST:
-                        hashes, at = windows(found, size, template)
+                        hashes, at = windows(found, size, template, size == window)
                         out += [(h, item, p, size, len(found.words) - size + 1, template, _slots(found, p, size) if template else b"") for h, p in zip(hashes.view(np.int64).tolist(), at.tolist(), strict=True)]
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], [c.split()[0] for c in _INDEX.split(", ")])
@@ -139,7 +153,7 @@ def index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
     return items.mapInArrow(run, _INDEX)
 
 
-def _document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | None) -> DataFrame:
+def _document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | None, window: int) -> DataFrame:
     """(row, doc_id, hash, spot, slots) of the windows of ``docs`` (row, doc_id, text) whose hash is known, or of all."""
     gate = np.zeros(1 << 20, bool)
     if known is not None:
@@ -152,7 +166,7 @@ def _document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | Non
             found = tokens(batch.column(2))
             for size in sizes:
                 for template in (False, True):
-                    hashes, at = windows(found, size, template)
+                    hashes, at = windows(found, size, template, size == window)
                     if known is not None:
                         maybe = gate[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)]
                         hashes, at = hashes[maybe], at[maybe]
@@ -206,7 +220,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     known = None
     if 8 * hashes.count() <= broadcast_bytes:
         known = np.sort(hashes.toArrow().column(0).to_numpy().view(np.uint64))
-    found = _document_windows(rows, sizes if known is None or len(known) else [], known)
+    found = _document_windows(rows, sizes if known is None or len(known) else [], known, window)
     hits = found.join(windows_of_items.withColumnRenamed("slots", "own"), "hash")
     kind = docs.schema[id_col].dataType.simpleString()
 

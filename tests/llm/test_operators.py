@@ -267,6 +267,15 @@ def test_literal_and_template_windows_count_together(spark):
     assert set(got) == {0} and got[0].kind == "template" and got[0].cover == pytest.approx(20 / 29)  # 8 places by words, 12 more by template
 
 
+def test_questions_dense_in_numbers_are_found(spark):
+    mix = ("Mix 2 kg flour, 3 kg sugar, 5 kg butter, 7 kg salt and 11 kg rice.", "Mix 4 kg flour, 6 kg sugar, 8 kg butter, 1 kg salt and 9 kg rice.")
+    add = ("Add 12 kg, 7 kg, 5 kg, 9 kg, 31 kg and 8 kg together.", "Add 1 kg, 2 kg, 3 kg, 4 kg, 50 kg and 6 kg together.")
+    table = " ".join(map(str, range(100, 160))) + " and 7 more numbers"
+    for item, copy in (mix, add):
+        got = found_in(spark, item, f"intro words. {copy} The end.", copy.replace("6", "8").replace("2 kg", "3 kg"), table)
+        assert set(got) == {0} and got[0].kind == "template" and got[0].cover == 1
+
+
 def test_decontamination_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     items = frame(spark, ITEMS, "item_id bigint, text string")
