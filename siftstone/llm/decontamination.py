@@ -6,7 +6,7 @@ template tokens are joined by hash with the windows of the benchmark's templates
 themselves with theirs, so that copies with changed case are found as well as questions with other numbers and names.
 
 An item counts as found in a document if windows, literal or template, on at least ``COVER`` of its places occur there in the item's
-order.  The slots of the template windows must be consistent too: along the match, one value of the item always
+order, with fewer tokens put in or left out than the item has.  The slots of the template windows must be consistent too: along the match, one value of the item always
 stands for one value of the document and the other way round.  An item shorter than a window is one window of its own length.
 
 The benchmark's windows are sent to all tasks while they are few enough (measured); beyond that both sides' windows
@@ -27,8 +27,6 @@ from siftstone.llm.common import BROADCAST_BYTES, durable
 from siftstone.llm.textscan import PIECE, _powers, fingerprints, mix, parts, text_bytes
 
 WINDOW, COVER, SHORTEST = 8, 0.5, 3
-#: Words put in or left out that one occurrence may have.
-DRIFT = 3
 
 #: Units that make a placeholder after a number.
 UNITS = "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonne tonnes lb lbs pound pounds oz ounce ounces ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years hz khz mhz ghz w kw mw v kv a ma j kj cal kcal kb mb gb tb mph kmh percent dollar dollars euro euros cent cents usd eur gbp degree degrees celsius fahrenheit".split()
@@ -183,26 +181,64 @@ def _document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | Non
     return docs.mapInArrow(run, f"row bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, hash bigint, spot int, slots binary")
 
 
-def _judge(spot: np.ndarray, place: np.ndarray, template: np.ndarray, slots: list[bytes], own: list[bytes]) -> tuple[int, bool]:
-    """The most places of an item matched by one occurrence in the document, and whether literal windows alone do so.
-
-    Literal and template windows count together where the slots of the template ones are consistent.
+def _chain(spot: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The longest chain of hits whose spots and places both grow, of those the one that stays longest on one shift; hits are in order of place."""
+    n, shift = len(spot), spot - place
+    if (shift == shift[0]).all():
+        return np.arange(n)
+    rank, turn = np.unique(spot, return_inverse=True)[1], np.unique(shift, return_inverse=True)[1]
+    top = np.full(rank.max() + 2, -1)  # by spot: a chain's score and last hit; score: n + 1 a hit, 1 a step on the same shift
+    on, last, before = np.zeros(turn.max() + 1, np.int64), np.full(turn.max() + 1, -1), np.full(n, -1)
+    edges = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]]))
+    for k, end in zip(edges[:-1], edges[1:], strict=True):
+        hits = np.arange(k, end)
+        jump, same = np.maximum.accumulate(top)[rank[hits]], on[turn[hits]]
+        stay = (last[turn[hits]] >= 0) & (same + 1 >= jump // n)
+        before[hits] = np.where(stay, last[turn[hits]], np.where(jump >= 0, jump % n, -1))
+        score = n + 1 + np.where(stay, same + 1, np.maximum(jump // n, 0))
+        on[turn[hits]], last[turn[hits]] = score, hits
+        np.maximum.at(top, rank[hits] + 1, score * n + hits)
+    out = [int(top.max() % n)]
+    while before[out[-1]] >= 0:
+        out.append(int(before[out[-1]]))
+    return np.array(out[::-1])
+
+
+def _agreed(chain: np.ndarray, shift: np.ndarray, literal: np.ndarray, pairs: list[frozenset]) -> int:
+    """Hits of a chain that are literal or lie on a shift whose slots are consistent with those of the longer stretches."""
+    count, known = int(literal[chain].sum()), frozenset()
+    stretches = [chain[shift[chain] == s] for s in np.unique(shift[chain])]
+    for stretch in sorted(stretches, key=len, reverse=True):
+        more = known.union(*(pairs[k] for k in stretch.tolist()))
+        if len(more) == len({a for a, _ in more}) == len({b for _, b in more}):
+            count, known = count + int((~literal[stretch]).sum()), more
+    return count
+
+
+def _judge(spot: np.ndarray, place: np.ndarray, template: np.ndarray, slots: list[bytes], own: list[bytes], length: int) -> tuple[int, bool]:
+    """The most places of an item of ``length`` tokens matched in order by one occurrence, and whether literal windows alone do so.
+
+    Literal and template windows count together where the slots of the template ones are consistent: one value of the item always
+    stands for one value of the document and the other way round.
     """
-    order = np.argsort(spot - place, kind="stable")
-    shift, best, literal = (spot - place)[order], 0, 0
+    at, where = np.unique(place.astype(np.int64) << 32 | spot, return_inverse=True)
+    spot, place = at & 0xFFFFFFFF, at >> 32
+    literal = np.zeros(len(at), bool)
+    literal[where[~template]] = True
+    pairs: list[frozenset] = [frozenset()] * len(at)
+    for k in np.flatnonzero(template).tolist():
+        pairs[where[k]] = frozenset(zip(np.frombuffer(own[k], np.uint64).tolist(), np.frombuffer(slots[k], np.uint64).tolist(), strict=True))
+    shift, best, words = spot - place, 0, 0
+    order = np.argsort(shift, kind="stable")
     for s in np.unique(shift):
-        near = order[np.searchsorted(shift, s - DRIFT, "left") : np.searchsorted(shift, s + DRIFT, "right")]
-        literal = max(literal, len(np.unique(place[near][~template[near]])))
-        count = len(np.unique(place[near]))
-        if count > best and _consistent(near[template[near]], slots, own):
-            best = count
-    return max(best, literal), literal >= best
-
-
-def _consistent(hits: np.ndarray, slots: list[bytes], own: list[bytes]) -> bool:
-    """Whether one value of the item always stands for one value of the document and the other way round."""
-    pairs = {(int(a), int(b)) for k in hits.tolist() for a, b in zip(np.frombuffer(own[k], np.uint64), np.frombuffer(slots[k], np.uint64), strict=True)}
-    return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+        first, after, last = np.searchsorted(shift[order], [s, s + 1, s + length])
+        near = np.sort(order[first:last])
+        if len(np.unique(place[near][literal[near]])) > words:
+            some = near[literal[near]]
+            words = max(words, len(_chain(spot[some], place[some])))
+        if len(np.unique(place[near])) > best:
+            best = max(best, _agreed(np.sort(order[first:after]), shift, literal, pairs), _agreed(near[_chain(spot[near], place[near])], shift, literal, pairs))
+    return max(best, words), words >= best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, cover: float = COVER, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -227,8 +263,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def run(group: pa.Table) -> pa.Table:
         spot, place = group.column("spot").to_numpy(), group.column("place").to_numpy()
         template = group.column("template").to_numpy()
-        best, literal = _judge(spot, place, template, group.column("slots").to_pylist(), group.column("own").to_pylist())
-        share = best / group.column("places")[0].as_py()
+        places, size = group.column("places")[0].as_py(), group.column("size")[0].as_py()
+        best, literal = _judge(spot, place, template, group.column("slots").to_pylist(), group.column("own").to_pylist(), places + size - 1)
+        share = best / places
         keep = share >= cover
         one = lambda name: group.column(name).combine_chunks().slice(0, int(keep))
         return pa.table({"doc_id": one("doc_id"), "item_id": one("item_id"), "cover": pa.array([share] * keep, pa.float64()), "kind": pa.array(["words" if literal else "template"] * keep, pa.string())})

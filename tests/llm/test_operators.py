@@ -276,6 +276,33 @@ def test_questions_dense_in_numbers_are_found(spark):
         assert set(got) == {0} and got[0].kind == "template" and got[0].cover == 1
 
 
+def test_copies_with_words_put_in_are_chained(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    put_in = " ".join([*words[:20], "four", "more", "words", "here", *words[20:]])
+    left_out = " ".join([*words[:18], *words[23:]])
+    turned = " ".join([*words[20:], *words[:20]])
+    got = found_in(spark, " ".join(words), put_in, left_out, turned, f"{clean_words(50)} {put_in}")
+    assert {d: r.cover for d, r in got.items()} == {0: pytest.approx(26 / 33), 1: pytest.approx(21 / 33), 3: pytest.approx(26 / 33)}
+
+
+def test_items_that_repeat_their_template_are_found(spark):
+    pens = lambda *n: ", ".join(f"{k} red pens" for k in n)
+    got = found_in(spark, pens(3, 4, 5, 6, 7, 8), pens(13, 24, 35, 46, 57, 68), pens(9, 9, 9, 9, 9, 9), "so " + pens(*range(50, 61)))
+    assert set(got) == {0, 2} and got[0].cover == 1
+
+
+def test_longest_chain_matches_brute_force():
+    rng = random.Random(5)
+    for _ in range(200):
+        hits = sorted({(rng.randrange(8), rng.randrange(8)) for _ in range(rng.randint(1, 20))})
+        place, spot = (np.array(x) for x in zip(*hits, strict=True))
+        chain = decontamination._chain(spot, place)
+        longest = [1] * len(hits)
+        for j, (p, q) in enumerate(hits):
+            longest[j] += max((longest[i] for i, (a, b) in enumerate(hits[:j]) if a < p and b < q), default=0)
+        assert len(chain) == max(longest) and (np.diff(place[chain]) > 0).all() and (np.diff(spot[chain]) > 0).all()
+
+
 def test_decontamination_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     items = frame(spark, ITEMS, "item_id bigint, text string")
