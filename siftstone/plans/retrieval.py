@@ -395,7 +395,7 @@ def q40_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = turns.where("role = 'assistant'").select("answer_id", "conv_id", F.col("text").alias("answer"))
     others = turns.select("conv_id", F.col("answer_id").alias("other"), F.col("text").alias("content"))
     own = answers.join(others, "conv_id").where("answer_id <> other")
-    passages = own.withColumn("n", F.row_number().over(Window.partitionBy("answer_id").orderBy("other"))).where("n <= 5")
+    passages = own.withColumn("n", F.row_number().over(Window.partitionBy("answer_id").orderBy("other")))
     return attribution.attribute(answers.select("answer_id", "answer"), passages.select("answer_id", "n", "content"), embed.by_batch(lambda: embed.HashingEmbedder(DIM)))
 
 

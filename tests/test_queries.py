@@ -40,3 +40,11 @@ def test_entry(spark):
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
     assert entry.entry(spark).count() == 1
+
+
+def test_attribution_cites_the_last_of_many_turns(spark, tmp_path):
+    said = "The harbour bridge opened to traffic in the spring of that year"
+    turns = [(1, k, "user", f"filler number {k} about nothing much") for k in range(7)] + [(1, 7, "user", said), (1, 8, "assistant", f"{said}.")]
+    spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    (row,) = entry.queries()["q40_attribution"](spark, str(tmp_path)).collect()
+    assert row.cited == f"{said} [8]."
