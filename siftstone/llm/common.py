@@ -5,11 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+#: Tables that ``durable`` wrote and nobody has freed, by path.
+_written: dict[str, SparkSession] = {}
 
 
 #: Bounds of one Arrow batch: what the JVM and a worker hold of a table at once.
@@ -38,26 +41,55 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def _set(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Session settings (with _ for .) that hold inside alone."""
+    names = {key: key.replace("_", ".") for key in settings}
+    before = {key: spark.conf.get(name) for key, name in names.items()}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(names[key], value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(names[key], value)
+
+
+def durable(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows of ``df``, written once as Parquet into the shared folder and read again from there.
 
     This cuts the lineage: a lost executor costs the rows of its running tasks only, and what was drawn or
-    numbered on the way (row ids, hubs) keeps its value.  The files go when the program ends.
+    numbered on the way (row ids, hubs) keeps its value.  Shuffle files of the plan go when it is written.  The table's files go
+    with ``free`` or when the program ends.
     """
     spark = df.sparkSession
     settle(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", 32 << 20).parquet(path)  # bounds what a writing task holds
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    with _set(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true"):
+        df.write.option("parquet.block.size", 32 << 20).option("compression", compression).parquet(path)  # bounds what a writing task holds
+    made = spark.read.schema(df.schema).parquet(path)
+    made._durable_at = path
+    return made
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables that ``durable`` wrote and that nothing reads any more."""
+    for made in tables:
+        path = made._durable_at
+        _delete(_written.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @atexit.register
 def _tidy() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone; then the folder's owner tidies
             return
 
@@ -73,5 +105,18 @@ def crc32(text: Column) -> Column:
     return F.crc32(F.encode(text, "utf-8"))
 
 
-#: Where one row of a small, checked table may stand in memory of every task.
+#: Bytes of a table that may stand in memory of every task.
 BROADCAST_BYTES = 64 << 20
+#: What a hashed row takes there beside its values: its header, its place in the map, its key once more.
+ROW_BYTES = 64
+
+
+def held_bytes(table: DataFrame) -> int:
+    """About the bytes that a hashed copy of ``table`` takes: each value's own, and ROW_BYTES a row."""
+    wide = [2 * F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(16) for c, kind in table.dtypes]
+    return int(table.agg(F.sum(sum(wide, F.lit(ROW_BYTES)).cast("bigint"))).first()[0] or 0)
+
+
+def fits(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table, measured in bytes, is small enough to be sent to all tasks."""
+    return held_bytes(table) <= limit

@@ -8,11 +8,12 @@ Both models use the same pairs and absolute discounting: P(w|h) = max(c(h,w) - D
 is what the discounted pairs leave, and P(w) has add-one smoothing.  A document's score is the mean over its tokens of
 background loss minus target loss, in nats: the higher, the more like the target.
 
-No table is sent to all tasks.  Texts become chunks of about ``CHUNK`` bytes; a chunk asks for its distinct words, later for its
-distinct pairs and their histories, once each, and questions meet the entries in buckets by hash (``_look_up``).  Words are
-known by 64-bit fingerprints, pairs by a 64-bit hash of both.
+No table is sent to all tasks.  Texts become chunks of about ``CHUNK`` bytes; a chunk asks once for each of its distinct words and
+pairs, and questions meet the entries in buckets, which are ranges of the hash (``_look_up``).  Words are known by 64-bit
+fingerprints, pairs by a 64-bit hash of both.  Partial counts are added up over ``HELD`` entries in each task before they are shuffled.
 
-Partial counts are added up over ``HELD`` entries in each task before they are shuffled.
+The second look-up goes in ``SLICES`` slices of the chunks, one after the other, so that its questions and answers, the largest
+of all data here, never lie on disk at once.  Keys travel in ascending order as byte planes, whose upper planes compress.
 """
 
 from __future__ import annotations
@@ -25,17 +26,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import BROADCAST_BYTES, durable
+from siftstone.llm.common import durable, fits, free
 from siftstone.llm.textscan import mix, parts, words
 
 WORD_SHARE, PAIR_SHARE, LEAST = 0.0, 0.0, 2
 DISCOUNT = 0.75
-#: Bytes of text in a chunk, entries added up in a task, tokens for each bucket.
-CHUNK, HELD, BUCKET = 1 << 19, 1_500_000, 4_000_000
+#: Bytes of text in a chunk, entries added up in a task, tokens for each bucket, slices of the chunks.
+CHUNK, HELD, BUCKET, SLICES = 1 << 21, 1_500_000, 4_000_000, 4
 
-#: Fingerprints of the unknown word and the start of a text; what makes a history's fingerprint the key of its counts and of its rest.
+#: Fingerprints of the unknown word and the start of a text.
 _UNKNOWN, _START = np.uint64(1), np.uint64(2)
-_SEEN, _REST = 0x5851F42D4C957F2D, 0x14057B7EF767814F
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of an array, all first ones, then all second ones, and so on."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _values(data: bytes, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -44,150 +54,181 @@ def _chunks(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
-        for batch in (part for whole in batches for part in parts(whole, 1, CHUNK)):
+        for batch in _larger(batches):
             found, at = words(batch.column(1))
             values, place = np.unique(found, return_inverse=True)
             ids = pa.ListArray.from_arrays(pa.array([0, len(at) - 1], pa.int32()), batch.column(0))
             target = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            data = [pa.array([x.tobytes()], pa.binary()) for x in (values, place.astype(np.int32), at.astype(np.int64), target)]
+            data = [pa.array([x], pa.binary()) for x in (_planes(values), _planes(place.astype(np.int32)), at.astype(np.int64).tobytes(), target.tobytes())]
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), *data, ids], ["chunk", "names", "place", "at", "target", "ids"])
             chunk += 1
 
     return docs.mapInArrow(run, f"chunk bigint, names binary, place binary, at binary, target binary, ids array<{kind}>")
 
 
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about CHUNK bytes of text, cut or put together."""
+    held, size = [], 0
+
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for part in (part for batch in batches for part in parts(batch, 1, CHUNK)):
+        held.append(part)
+        size += part.column(1).nbytes
+        if size >= CHUNK:
+            yield whole()
+            held, size = [], 0
+    if held:
+        yield whole()
+
+
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Names, places, offsets, and for each token whether it is of a target text."""
     at = np.frombuffer(row["at"], np.int64)
-    return np.frombuffer(row["names"], np.uint64), np.frombuffer(row["place"], np.int32), at, np.repeat(np.frombuffer(row["target"], bool), np.diff(at))
+    return _values(row["names"], np.uint64), _values(row["place"], np.int32), at, np.repeat(np.frombuffer(row["target"], bool), np.diff(at))
 
 
 def _pairs(names: np.ndarray, place: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of a chunk's distinct pairs, places of their histories and words, and each token's pair.  The last name is the start."""
+    """A chunk's distinct pairs: keys in ascending order, places of their histories and words, and each token's pair.  The second name is the start."""
     before = np.empty(len(place), np.int64)
     before[1:] = place[:-1]
-    before[at[:-1][at[:-1] < at[1:]]] = len(names) - 1
+    before[at[:-1][at[:-1] < at[1:]]] = 1
     code, where = np.unique(before * len(names) + place, return_inverse=True)
     of, to = code // len(names), code % len(names)
-    return mix(mix(names[of]) + names[to]), of, to, where
+    keys = mix(mix(names[of]) + names[to])
+    order = np.argsort(keys)
+    moved = np.empty(len(order), np.int64)
+    moved[order] = np.arange(len(order))
+    return keys[order], of[order], to[order], moved[where]
+
+
+_Counted = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _word_counts(row: dict) -> tuple[np.ndarray, ...]:
+def _word_counts(row: dict) -> list[_Counted]:
     names, place, _, target = _read(row)
-    return names, names, np.bincount(place, minlength=len(names)), np.bincount(place, target, len(names))
+    return [(names, names, np.bincount(place, minlength=len(names)), np.bincount(place, target, len(names)))]
 
 
-def _pair_counts(row: dict) -> tuple[np.ndarray, ...]:
+def _pair_counts(row: dict) -> list[_Counted]:
+    """Pairs, and histories as pairs of a word with itself alone (gram 0)."""
     names, place, at, target = _read(row)
     keys, of, _, where = _pairs(names, place, at)
-    return keys, names[of], np.bincount(where, minlength=len(keys)), np.bincount(where, target, len(keys))
+    n, t = np.bincount(where, minlength=len(keys)), np.bincount(where, target, len(keys))
+    own = np.unique(of)
+    return [(keys, names[of], n, t), (np.zeros(len(own), np.uint64), names[own], np.bincount(of, n, len(names))[own], np.bincount(of, t, len(names))[own])]
 
 
-def _counts(chunks: DataFrame, count: Callable[[dict], tuple[np.ndarray, ...]]) -> DataFrame:
+def _counts(chunks: DataFrame, count: Callable[[dict], list[_Counted]]) -> DataFrame:
     """(gram, history, n, t): tokens in all documents and in target documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[_Counted] = []
 
         def flush() -> pa.RecordBatch:
             gram, history, n, t = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            values, first, where = np.unique(gram, return_index=True, return_inverse=True)
-            columns = [values.view(np.int64), history[first].view(np.int64), *(np.bincount(where, x, len(values)).astype(np.int64) for x in (n, t))]
+            order = np.lexsort((history, gram))
+            gram, history = gram[order], history[order]
+            new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (history[1:] != history[:-1])]))
+            columns = [gram[new].view(np.int64), history[new].view(np.int64), *(np.add.reduceat(x[order], new).astype(np.int64) for x in (n, t))]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["gram", "history", "n", "t"])
 
         size = 0
         for row in (row for batch in batches for row in batch.to_pylist()):
-            held.append(count(row))
-            size += len(held[-1][0])
+            held += (x for x in count(row) if len(x[0]))
+            size = sum(len(x[0]) for x in held)
             if size >= HELD:
                 yield flush()
-                size = 0
-        if size:
+        if held:
             yield flush()
 
     found = chunks.select("names", "place", "at", "target").mapInArrow(run, "gram bigint, history bigint, n bigint, t bigint")
-    return found.groupBy("gram").agg(F.min("history").alias("history"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+    return found.groupBy("gram", "history").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
-def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of ``keys`` by bucket, and where each bucket begins."""
-    bucket = keys.view(np.int64) % buckets
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of the hash: the upper 32 bits, scaled."""
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def _look_up(chunks: DataFrame, keys: Callable[[dict], np.ndarray], entries: DataFrame, buckets: int, then: Callable[[dict, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """``then`` of each chunk and the two numbers that ``entries`` (gram, a, b) has for each of its ``keys``, NaN where it has none."""
+def _look_up(chunks: DataFrame, keys: Callable[[dict], dict[str, np.ndarray]], entries: dict[str, DataFrame], buckets: int, then: Callable[[dict, dict[str, np.ndarray]], pa.Table], schema: str) -> DataFrame:
+    """``then`` of each chunk and what ``entries`` have for its ``keys``: for each kind, which keys are there and their values, row by row.
+
+    ``keys``: by kind, ascending fingerprints.  ``entries``: by kind, (gram, float columns).
+    """
+    kinds, names = {name: k for k, name in enumerate(entries)}, list(entries)
+    width = {name: len(df.columns) - 1 for name, df in entries.items()}
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (row for batch in batches for row in batch.to_pylist()):
-            asked = keys(row)
-            order, edge = _dealt(asked, buckets)
-            there, asked = np.flatnonzero(np.diff(edge)), asked[order]
-            data = [asked[edge[b] : edge[b + 1]].tobytes() for b in there]
-            yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array([row["chunk"]] * len(there), pa.int64()), pa.array(data, pa.binary())], ["bucket", "chunk", "data"])
-
-    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        gram, a, b = (known.column(x).to_numpy() for x in ("gram", "a", "b"))
+            out = []
+            for name, asked in keys(row).items():
+                edge = np.searchsorted(_bucket(asked, buckets), np.arange(buckets + 1))
+                out += [(kinds[name], b, _planes(asked[edge[b] : edge[b + 1]])) for b in np.flatnonzero(np.diff(edge)).tolist()]
+            kind, bucket, data = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array([row["chunk"]] * len(out), pa.int64()), pa.array(data, pa.binary())], ["kind", "bucket", "chunk", "data"])
+
+    def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
+        gram = known.column("gram").to_numpy().view(np.uint64)
         order = np.argsort(gram)
-        gram, value = gram[order], np.stack([a, b], axis=1)[order]
+        gram = gram[order]
+        value = known.column("v").combine_chunks().flatten().to_numpy().reshape(len(gram), -1)[order] if len(gram) and width[names[key[0].as_py()]] else np.zeros((len(gram), 0), np.float32)
         out = []
         for data in asked.column("data").to_pylist():
-            wanted = np.frombuffer(data, np.int64)
-            got = np.full((len(wanted), 2), np.nan, np.float32)
-            if len(gram):
-                at = np.minimum(np.searchsorted(gram, wanted), len(gram) - 1)
-                hit = gram[at] == wanted
-                got[hit] = value[at[hit]]
-            out.append(got.tobytes())
-        return pa.table({"bucket": asked.column("bucket"), "chunk": asked.column("chunk"), "data": pa.array(out, pa.binary())})
+            wanted = _values(data, np.uint64)
+            at = np.minimum(np.searchsorted(gram, wanted), max(len(gram) - 1, 0))
+            hit = gram[at] == wanted if len(gram) else np.zeros(len(wanted), bool)
+            out.append(np.packbits(hit).tobytes() + _planes(value[at[hit]].reshape(-1)))
+        return pa.table({**{x: asked.column(x) for x in ("kind", "bucket", "chunk")}, "data": pa.array(out, pa.binary())})
 
     def gather(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         (row,) = chunk.to_pylist()
         asked = keys(row)
-        order, edge = _dealt(asked, buckets)
-        found = np.full((len(asked), 2), np.nan, np.float32)
-        for b, data in zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True):
-            found[order[edge[b] : edge[b + 1]]] = np.frombuffer(data, np.float32).reshape(-1, 2)
+        edges = {kinds[name]: np.searchsorted(_bucket(x, buckets), np.arange(buckets + 1)) for name, x in asked.items()}
+        found = {name: (np.zeros(len(x), bool), np.zeros((len(x), width[name]), np.float32)) for name, x in asked.items()}
+        for kind, b, data in zip(*(answers.column(x).to_pylist() for x in ("kind", "bucket", "data")), strict=True):
+            first, last = edges[kind][b], edges[kind][b + 1]
+            bits = (last - first + 7) // 8
+            there, value = found[names[kind]]
+            hit = np.unpackbits(np.frombuffer(data, np.uint8, bits), count=last - first).astype(bool)
+            there[first:last] = hit
+            value[first:last][hit] = _values(data[bits:], np.float32).reshape(int(hit.sum()), width[names[kind]])
         return then(row, found)
 
-    columns = "bucket int, chunk bigint, data binary"
+    columns = "kind int, bucket int, chunk bigint, data binary"
     asked = chunks.select("chunk", "names", "place", "at").mapInArrow(ask, columns)
-    known = entries.select(F.pmod("gram", F.lit(buckets)).cast("int").alias("bucket"), "gram", F.col("a").cast("float").alias("a"), F.col("b").cast("float").alias("b"))
-    answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, columns)
+    upper = F.shiftrightunsigned("gram", 32)
+    known = None
+    for name, df in entries.items():
+        part = df.select(F.lit(kinds[name]).alias("kind"), F.shiftrightunsigned(upper * buckets, 32).cast("int").alias("bucket"), "gram", F.array(*(F.col(x).cast("float") for x in df.columns if x != "gram")).cast("array<float>").alias("v"))
+        known = part if known is None else known.unionAll(part)
+    answers = asked.groupBy("kind", "bucket").cogroup(known.groupBy("kind", "bucket")).applyInArrow(answer, columns)
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(gather, schema)
 
 
 def with_target(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with target boolean: whether the id is among ``target_ids`` (one column).  Null ids are no target."""
-    ids = target_ids.toDF(id_col).where(F.col(id_col).isNotNull()).distinct().withColumn("target", F.lit(True))
-    small = 32 * ids.count() <= BROADCAST_BYTES
-    return docs.join(F.broadcast(ids) if small else ids, id_col, "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    ids = durable(target_ids.toDF(id_col).where(F.col(id_col).isNotNull()).distinct().withColumn("target", F.lit(True)), "target-ids")
+    return docs.join(F.broadcast(ids) if fits(ids) else ids, id_col, "left").withColumn("target", F.coalesce("target", F.lit(False)))
 
 
-def _in_vocabulary(chunks: DataFrame, counts: DataFrame, least: int, totals: np.ndarray, buckets: int) -> DataFrame:
-    """``chunks`` with unknown words as one, then the unknown word and the start among their names, and logs: log P(w) of both models."""
-    known = counts.where(F.col("n") >= least)
-    inside = known.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("t").alias("t")).first()
-    below = [int(x) + inside.k + 1 for x in totals]
-    rest = np.log([(totals[0] - (inside.n or 0) + 1) / below[0], (totals[1] - (inside.t or 0) + 1) / below[1]])
-    entries = known.select("gram", F.log((F.col("n") + 1) / below[0]).alias("a"), F.log((F.col("t") + 1) / below[1]).alias("b"))
-
-    def keys(row: dict) -> np.ndarray:
-        return np.frombuffer(row["names"], np.uint64)
-
-    def then(row: dict, found: np.ndarray) -> pa.Table:
-        names, place, _, _ = _read(row)
-        there = ~np.isnan(found[:, 0])
-        new = np.where(there, np.cumsum(there) - 1, there.sum())
-        row["names"] = np.concatenate([names[there], [_UNKNOWN, _START]]).tobytes()
-        row["place"] = new[place].astype(np.int32).tobytes()
-        row["logs"] = np.concatenate([found[there], [rest, [0, 0]]]).astype(np.float32).tobytes()
+def _in_vocabulary(chunks: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
+    """``chunks`` with the unknown word and the start before their names, and words that are not ``known`` (gram) as the unknown one."""
+
+    def keys(row: dict) -> dict[str, np.ndarray]:
+        return {"known": _values(row["names"], np.uint64)}
+
+    def then(row: dict, found: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+        there, names = found["known"][0], _values(row["names"], np.uint64)
+        new = np.where(there, np.cumsum(there) + 1, 0)
+        row["names"] = _planes(np.concatenate([[_UNKNOWN, _START], names[there]]))
+        row["place"] = _planes(new[_values(row["place"], np.int32)].astype(np.int32))
         return pa.Table.from_pylist([row], schema=shape)
 
-    shape = pa.schema([("chunk", pa.int64()), *((x, pa.binary()) for x in ("names", "place", "at", "target")), ("ids", _arrow(chunks)), ("logs", pa.binary())])
-    return _look_up(chunks, keys, entries, buckets, then, f"chunk bigint, names binary, place binary, at binary, target binary, ids {chunks.schema['ids'].dataType.simpleString()}, logs binary")
+    shape = pa.schema([("chunk", pa.int64()), *((x, pa.binary()) for x in ("names", "place", "at", "target")), ("ids", _arrow(chunks))])
+    return _look_up(chunks, keys, {"known": known.select("gram")}, buckets, then, f"chunk bigint, names binary, place binary, at binary, target binary, ids {chunks.schema['ids'].dataType.simpleString()}")
 
 
 def _arrow(chunks: DataFrame) -> pa.DataType:
@@ -196,35 +237,35 @@ def _arrow(chunks: DataFrame) -> pa.DataType:
     return to_arrow_type(chunks.schema["ids"].dataType)
 
 
-def _entries(pairs: DataFrame, least: int) -> DataFrame:
-    """(gram, a, b) of kept pairs and of histories: counts of both models, and what the kept pairs leave of a history."""
-    kept = F.col("n") >= least
-    sums = [F.sum(F.when(kept, F.greatest(F.col(x) - DISCOUNT, F.lit(0.0))).otherwise(0.0)).alias(f"k{x}") for x in "nt"]
-    history = durable(pairs.groupBy("history").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), *sums), "histories")
-    left = [F.when(F.col(x) > 0, F.greatest(1 - F.col(f"k{x}") / F.col(x), F.lit(0.0))).otherwise(1.0).alias(y) for x, y in zip("nt", "ab", strict=True)]
-    key = lambda by: F.col("history").bitwiseXOR(F.lit(by)).alias("gram")
-    return pairs.where(kept).selectExpr("gram", "double(n) AS a", "double(t) AS b").unionAll(history.select(key(_SEEN), F.col("n").cast("double"), F.col("t").cast("double"))).unionAll(history.select(key(_REST), *left))
+def _word_entries(known: DataFrame, pairs: DataFrame, totals: np.ndarray) -> DataFrame:
+    """(gram, ...) of words, the unknown one and the start: log P(w) in both models, counts as a history, what the kept pairs leave of it."""
+    inside = known.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("t").alias("t")).first()
+    below = [int(x) + inside.k + 1 for x in totals]
+    rest = [float(np.log((total - (seen or 0) + 1) / b)) for total, seen, b in zip(totals, (inside.n, inside.t), below, strict=True)]
+    special = known.sparkSession.createDataFrame([(int(_UNKNOWN), *rest), (int(_START), 0.0, 0.0)], "gram bigint, a double, b double")
+    words = known.select("gram", F.log((F.col("n") + 1) / below[0]).alias("a"), F.log((F.col("t") + 1) / below[1]).alias("b")).unionAll(special)
+    own = F.col("gram") == 0
+    sums = [F.sum(F.when(own, F.col(x))).alias(x) for x in "nt"] + [F.sum(F.when(own, 0.0).otherwise(F.greatest(F.col(x) - DISCOUNT, F.lit(0.0)))).alias(f"k{x}") for x in "nt"]
+    history = pairs.groupBy(F.col("history").alias("gram")).agg(*sums)
+    left = [F.when(F.col(x) > 0, F.greatest(1 - F.col(f"k{x}") / F.col(x), F.lit(0.0))).otherwise(1.0).alias(f"left_{x}") for x in "nt"]
+    return words.join(history, "gram", "left").select("gram", "a", "b", *(F.coalesce(x, F.lit(0)).alias(x) for x in "nt"), *left)
 
 
-def _asked(row: dict) -> np.ndarray:
-    names, place, at = np.frombuffer(row["names"], np.uint64), np.frombuffer(row["place"], np.int32), np.frombuffer(row["at"], np.int64)
-    keys, of, _, _ = _pairs(names, place, at)
-    histories = names[np.unique(of)]
-    return np.concatenate([keys, histories ^ np.uint64(_SEEN), histories ^ np.uint64(_REST)])
+def _asked(row: dict) -> dict[str, np.ndarray]:
+    names, place, at = _values(row["names"], np.uint64), _values(row["place"], np.int32), np.frombuffer(row["at"], np.int64)
+    return {"words": names, "pairs": _pairs(names, place, at)[0]}
 
 
-def _losses(row: dict, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _losses(row: dict, found: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Mean loss per token of each text under both models (2 x rows), and the numbers of tokens."""
     names, place, at, _ = _read(row)
-    keys, of, to, where = _pairs(names, place, at)
-    spot = np.unique(of, return_inverse=True)[1]
-    found = found.astype(np.float64)
-    count, seen, left = np.split(found, [len(keys), (len(found) + len(keys)) // 2])
-    word = np.frombuffer(row["logs"], np.float32).reshape(-1, 2).astype(np.float64)[to]
-    seen, left = seen[spot], left[spot]
-    share = np.maximum(np.nan_to_num(count) - DISCOUNT, 0) / np.maximum(seen, 1)
+    _, of, to, where = _pairs(names, place, at)
+    there, count = found["pairs"]
+    word, seen, left = np.split(found["words"][1].astype(np.float64), 3, axis=1)
+    word, seen, left = word[to], seen[of], left[of]
+    share = np.maximum(count.astype(np.float64) - DISCOUNT, 0) / np.maximum(seen, 1)
     backed = np.log(np.maximum(left, 1e-9)) + word
-    value = np.where(np.isnan(count), backed, np.log(np.maximum(share + left * np.exp(word), 1e-300)))
+    value = np.where(there[:, None], np.log(np.maximum(share + left * np.exp(word), 1e-300)), backed)
     n = np.diff(at)
     sums = np.concatenate([np.zeros((1, 2)), np.cumsum(value[where], axis=0)])
     return -((sums[at[1:]] - sums[at[:-1]]) / np.maximum(n, 1)[:, None]).T, n
@@ -234,21 +275,34 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     """Fits both models on ``docs``, the target one on those with an id in ``target_ids``, and scores every document.
 
     One row for each row of ``docs``: id, n_tokens, background_loss, target_loss, score.  A text without words, a null one too, has no
-    tokens and 0 for the rest.
+    tokens and 0 for the rest.  Rows that share an id are scored each with its own text, and are target rows together.  A very long
+    text is a chunk of its own, read whole.  Other columns, whatever their names, are not read; an empty table gives an empty result,
+    an empty target a target model of no counts.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chunks = durable(_chunks(with_target(plain, target_ids, "id").select("id", "text", "target")), "text-chunks")
-    unigrams = durable(_counts(chunks, _word_counts), "word-counts")
+    texts = durable(_chunks(with_target(plain, target_ids, "id").select("id", "text", "target")), "text-chunks", "zstd")
+    unigrams = durable(_counts(texts, _word_counts), "word-counts")
     sums = unigrams.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
     totals = np.array([sums.n or 0, sums.t or 0])
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(totals[0]) // BUCKET))
     least = lambda share: max(LEAST, int(np.ceil(share * totals[0])))
-    chunks = durable(_in_vocabulary(chunks, unigrams, least(word_share), totals, buckets), "known-chunks")
-    pairs = durable(_counts(chunks, _pair_counts), "pair-counts")
-
-    def then(row: dict, found: np.ndarray) -> pa.Table:
+    known = unigrams.where(F.col("n") >= least(word_share)).select(F.col("history").alias("gram"), "n", "t")
+    chunks = durable(_in_vocabulary(texts, known, buckets), "known-chunks", "zstd")
+    free(texts)
+    pairs = durable(_counts(chunks, _pair_counts).where((F.col("gram") == 0) | (F.col("n") >= least(pair_share))), "pair-counts")
+    entries = {"words": durable(_word_entries(known, pairs, totals), "word-entries"), "pairs": pairs.where("gram <> 0").select("gram", "n", "t")}
+    free(unigrams)
+
+    def then(row: dict, found: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
         (background, target), n = _losses(row, found)
         return pa.table([pa.array(row["ids"], kind), *map(pa.array, (n.astype(np.int64), background, target, background - target))], [id_col, "n_tokens", "background_loss", "target_loss", "score"])
 
     kind = _arrow(chunks).value_type
-    return _look_up(chunks, _asked, _entries(pairs, least(pair_share)), buckets, then, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens bigint, background_loss double, target_loss double, score double")
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens bigint, background_loss double, target_loss double, score double"
+    slices, scores = max(1, min(SLICES, -(-int(totals[0]) // BUCKET))), None
+    for k in range(slices):
+        some = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(slices)) == k)
+        part = durable(_look_up(some, _asked, entries, buckets, then, schema), "scores")
+        scores = part if scores is None else scores.unionAll(part)
+    free(chunks, pairs, entries["words"])
+    return scores

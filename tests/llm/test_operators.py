@@ -359,6 +359,17 @@ def test_pairs_seen_twice_count_beside_any_number_of_tokens(spark):
     assert scored[2000].background_loss == pytest.approx(-(start + after) / 2, abs=1e-4)
 
 
+def test_slices_and_chunks_change_no_score(spark, monkeypatch):
+    rows, target = corpus(7), spark.createDataFrame([(i,) for i in range(0, 60, 3)], "x bigint")
+    found = []
+    for chunk, bucket, held in ((1 << 21, 4_000_000, 1_500_000), (500, 300, 100)):
+        for name, value in (("CHUNK", chunk), ("BUCKET", bucket), ("HELD", held)):
+            monkeypatch.setattr(lm_scoring, name, value)
+        got = lm_scoring.cross_entropy_difference(frame(spark, rows), target)
+        found.append(sorted((str(r.doc_id), r.n_tokens, round(r.background_loss, 4), round(r.target_loss, 4)) for r in got.collect()))
+    assert found[0] == found[1]
+
+
 def test_scores_of_odd_rows_and_nothing(spark):
     none = spark.createDataFrame([], "doc_id bigint")
     got = lm_scoring.cross_entropy_difference(frame(spark, ODD), none)
