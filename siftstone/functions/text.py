@@ -14,6 +14,8 @@ SUFFIXES = (".pdf", ".md", ".markdown", ".txt", ".rst", ".html", ".htm", ".docx"
 
 #: What marks a retriable error, in lower case.  Fixed values.
 RETRIABLE = ("rate", "429", "quota", "resource_exhausted", "timeout", "503", "unavailable")
+#: What marks the end of a quota.  Fixed values.
+QUOTA = ("quota", "429")
 
 PASSAGE_SEPARATOR = "\n\n---\n\n"
 
@@ -118,12 +120,13 @@ def history_line(role: Column, content: Column) -> Column:
     return F.concat(capitalise(F.coalesce(role, F.lit("user"))), F.lit(": "), F.coalesce(content, F.lit("")))
 
 
+#: How providers word the seconds to wait.  Fixed values.
+RETRY_HINTS = (r"(?i)retry in ([0-9.]+)s", r"(?i)'retryDelay': '([0-9]+)s'")
+
+
 def retry_hint(message: Column) -> Column:
     """Seconds that an error message asks to wait, or null."""
-    found = F.coalesce(
-        blank_to_null(F.regexp_extract(message, r"(?i)retry in ([0-9.]+)s", 1)),
-        blank_to_null(F.regexp_extract(message, r"(?i)'retryDelay': '([0-9]+)s'", 1)),
-    )
+    found = F.coalesce(*(blank_to_null(F.regexp_extract(message, pattern, 1)) for pattern in RETRY_HINTS))
     return found.try_cast("double")
 
 
@@ -140,6 +143,10 @@ def already_cited(text: Column) -> Column:
     return text.rlike(r"\[\d+\]")
 
 
+#: A run of other than white space, spelt out as the JVM's Unicode classes have it, for Python's engine.
+TOKEN = "[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+
+
 def tokens(text: Column) -> Column:
     """Runs of other than white space, case kept."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
@@ -154,6 +161,8 @@ def fixed_windows(text: Column, size: int, overlap: int = 0) -> Column:
 
 # --- documentation pages ---------------------------------------------------------------------------------------
 
+# The patterns of directives, fences and anchors below are fixed values: they are the markup's syntax.
+
 #: An include directive on a line of its own: target, then modifiers like hl[2] or title["a.py"].
 INCLUDE = r"(?mdU)^\{\*\s*(\S+?)\s*((?:\w+\[[^\]]*\]\s*)*)\*\}\s*$"
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import random
 import re
 import time
-from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +25,20 @@ class Embedder(Protocol):
     def embed_documents(self, texts: Sequence[str]) -> list[list[float]]: ...
 
 
-def hash_buckets(tokens: Column, dim: int) -> Column:
-    """The bucket of each token, from the first 28 bits of its MD5."""
-    return F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("bigint") % dim).cast("int"))
+class _Buckets(dict):
+    """Token to bucket, from the first 28 bits of its MD5; at ``MOST`` tokens it begins anew."""
 
+    MOST = 500_000
 
-def normalise(vector: Column) -> Column:
-    """To unit length; a zero vector stays."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm == 0, vector).otherwise(F.transform(vector, lambda x: x / norm))
+    def __init__(self, dim: int) -> None:
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[token] = bucket = int(hashlib.md5(token.encode()).hexdigest()[:7], 16) % self.dim
+        return bucket
 
 
 class HashingEmbedder:
@@ -41,13 +46,13 @@ class HashingEmbedder:
 
     def __init__(self, dim: int = 64, unit: bool = True) -> None:
         self.dim, self.unit = dim, unit
-        self.bucket = functools.lru_cache(maxsize=200_000)(lambda token: int(hashlib.md5(token.encode()).hexdigest()[:7], 16) % dim)
+        self.bucket = _Buckets(dim)
 
     def embed_documents(self, texts: Sequence[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dim))
         for row, text in enumerate(texts):
             for token in (text or "").lower().split():
-                out[row, self.bucket(token)] += 1
+                out[row, self.bucket[token]] += 1
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return (np.divide(out, norms, out=out, where=norms > 0) if self.unit else out).tolist()
 
@@ -64,73 +69,124 @@ def by_batch(make: Callable[[], Embedder]) -> Callable[[Column], Column]:
     return run
 
 
-def hash_vectors(docs: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
-    """The offline embedding in the JVM: (id, vector), words counted by bucket before vectors are put together."""
-    counts = docs.select(id_col, F.explode(hash_buckets(T.tokens(F.lower(text_col)), dim)).alias("b")).groupBy(id_col).pivot("b", list(range(dim))).count()
-    raw = F.array(*(F.coalesce(F.col(str(i)), F.lit(0)).cast("double") for i in range(dim)))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    made = counts.select(id_col, normalise(raw).alias("vector"))
-    return docs.select(id_col).join(made, id_col, "left").select(id_col, F.coalesce("vector", zero).alias("vector"))
+def hash_vectors(docs: DataFrame, id_col: str, text_col: str, dim: int = 64, unit: bool = True) -> DataFrame:
+    """The offline embedding, (id, vector), a row at a time: no shuffle, whatever the length of a text.
+
+    Each distinct token is hashed once in a worker; a batch's buckets are counted by one numpy call.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, tokens = _Buckets(dim).__getitem__, re.compile(T.TOKEN).findall
+        for batch in batches:
+            lists = [list(map(bucket, tokens(text))) for text in batch.column(1).to_pylist()]
+            row = np.repeat(np.arange(len(lists)), list(map(len, lists)))
+            counts = np.bincount(row * dim + np.array([b for one in lists for b in one], np.int64), minlength=len(lists) * dim).reshape(-1, dim).astype(np.float64)
+            norms = np.linalg.norm(counts, axis=1, keepdims=True)
+            vectors = np.divide(counts, norms, out=counts, where=norms > 0) if unit else counts
+            at = pa.array(np.arange(len(lists) + 1) * dim, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(vectors.reshape(-1)))], [id_col, "vector"])
+
+    lowered = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.select(F.col(id_col), lowered).mapInArrow(run, f"`{id_col}` {kind}, vector array<double>")
 
 
-def retry_hint(message: str) -> float | None:
-    found = re.search(r"retry in ([0-9.]+)s|'retryDelay': '([0-9]+)s'", message, re.IGNORECASE)
-    return float(found[1] or found[2]) if found else None
+class Pacer:
+    """Departure times of requests, so that no ``WINDOW`` seconds hold more than ``ceiling`` units (0: no ceiling).
 
+    A ledger of (time, units) says when the next request may leave: the wait is computed once, from the entries that have
+    to grow old first.  A request larger than the ceiling leaves when the ledger is empty.
+    """
 
-class RateLimiter:
-    """Keeps the units of any 60 seconds at or below a ceiling.  A request larger than the ceiling passes when nothing else is in the window."""
+    WINDOW, MARGIN = 60.0, 0.05
 
-    def __init__(self, per_minute: int, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
-        self.per_minute, self.clock, self.sleep = per_minute, clock, sleep
-        self.times: deque[float] = deque()
+    def __init__(self, ceiling: int, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.ceiling, self.clock, self.sleep = ceiling, clock, sleep
+        self.ledger: list[tuple[float, int]] = []
 
-    def acquire(self, units: int) -> None:
-        while self.per_minute > 0:
-            oldest = self.clock() - 60
-            while self.times and self.times[0] < oldest:
-                self.times.popleft()
-            if not self.times or len(self.times) + units <= self.per_minute:
-                break
-            self.sleep(max(0.1, self.times[0] - oldest + 0.05))
-        self.times.extend([self.clock()] * units)
+    def departure(self, units: int, now: float) -> float:
+        """The earliest time from ``now`` on at which ``units`` fit beside what is in the ledger then."""
+        if not self.ceiling:
+            return now
+        recent = [(at, n) for at, n in self.ledger if at + self.WINDOW >= now]
+        loads = [sum(n for _, n in recent[k:]) for k in range(len(recent))]
+        old = next((k for k, load in enumerate(loads) if load + units <= self.ceiling), len(recent))
+        self.ledger = recent[old:]
+        return max(now, recent[old - 1][0] + self.WINDOW + self.MARGIN) if old else now
+
+    def admit(self, units: int) -> None:
+        """Returns when ``units`` may leave, and enters them."""
+        now = self.clock()
+        at = self.departure(units, now)
+        if at > now:
+            self.sleep(at - now)
+        self.ledger.append((at, units))
 
 
 class QuotaExhausted(RuntimeError):
     """The provider's quota is used up, and retries gave up."""
 
 
-def embed_with_retry(embedder: Embedder, batch: Sequence[str], limiter: RateLimiter | None = None, attempts: int = 8, sleep: Callable[[float], None] = time.sleep) -> list[list[float]]:
-    """Paced and retried; waits as long as the server hints, else twice as long each time, from 2 to 60 seconds."""
-    wait = 2.0
-    for attempt in range(1, attempts + 1):
-        if limiter:
-            limiter.acquire(len(batch))
+@dataclass(frozen=True)
+class Refusal:
+    """What a provider's error message says: worth another try or not, the quota's end or not, seconds it asks to wait."""
+
+    retriable: bool
+    quota: bool
+    hint: float | None
+
+    @staticmethod
+    def of(error: Exception) -> Refusal:
+        message = str(error)
+        says = lambda *tokens: any(t in message.lower() for t in tokens)
+        hints = [float(x) for pattern in T.RETRY_HINTS for x in re.findall(pattern, message)[:1] if x.strip(".")]
+        return Refusal(says(*T.RETRIABLE), says(*T.QUOTA), next(iter(hints), None))
+
+
+#: Pauses between attempts where the provider gives no hint: the first, the longest, and the most that is added at random.
+FIRST_PAUSE, LONGEST_PAUSE, JITTER = 2.0, 60.0, 1.0
+
+
+def pauses(attempts: int) -> list[float]:
+    """The pause after each attempt but the last, each twice as long as the one before up to the longest."""
+    return [min(FIRST_PAUSE * 2**k, LONGEST_PAUSE) for k in range(attempts - 1)]
+
+
+def embed_with_retry(embedder: Embedder, batch: Sequence[str], pacer: Pacer | None = None, attempts: int = 8, sleep: Callable[[float], None] = time.sleep) -> list[list[float]]:
+    """The vectors of one batch, with at most ``attempts`` paced attempts; what can't be retried is raised at once."""
+    for pause in (*pauses(attempts), None):
+        if pacer:
+            pacer.admit(len(batch))
         try:
             return embedder.embed_documents(batch)
         except Exception as error:  # noqa: BLE001  providers raise what they like
-            message = str(error).lower()
-            if attempt == attempts or not any(t in message for t in T.RETRIABLE):
-                if "quota" in message or "429" in message:
-                    raise QuotaExhausted(f"embedding quota exhausted; lower embed_rpm, wait or change the provider: {error}") from error
-                raise
-            sleep((retry_hint(str(error)) or wait) + random.uniform(0, 1))
-            wait = min(2 * wait, 60.0)
-    raise AssertionError("no attempt was allowed")
+            met, last = Refusal.of(error), error
+        if pause is None or not met.retriable:
+            break
+        sleep((met.hint or pause) + random.uniform(0, JITTER))
+    if met.quota:
+        raise QuotaExhausted(f"the embedding quota is used up; a lower embed_rpm, a later run or another provider may help: {last}") from last
+    raise last
 
 
 def embed_texts(texts: DataFrame, make: Callable[[], Embedder], batch_size: int = 64, per_minute: int = 0, attempts: int = 8) -> DataFrame:
-    """``texts`` (k, text) as (k, v array<float>), batch by batch in each task.  A ceiling holds for each task: divide by the parallelism."""
+    """``texts`` (k, text) as (k, v array<float>), batch by batch in each task.
+
+    A ceiling holds for the whole job: the texts go through so many lanes, each one task with its share of the ceiling, that a
+    batch fits into a lane's share.
+    """
+    lanes = max(1, min(texts.sparkSession.sparkContext.defaultParallelism, per_minute // batch_size))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        embedder, limiter = make(), RateLimiter(per_minute) if per_minute else None
+        embedder, pacer = make(), Pacer(max(1, per_minute // lanes)) if per_minute else None
         for frame in frames:
             for first in range(0, len(frame), batch_size):
                 part = frame.iloc[first : first + batch_size]
-                vectors = embed_with_retry(embedder, part["text"].tolist(), limiter, attempts)
+                vectors = embed_with_retry(embedder, part["text"].tolist(), pacer, attempts)
                 yield pd.DataFrame({"k": part["k"].to_numpy(), "v": [np.asarray(v, np.float32) for v in vectors]})
 
-    return texts.select("k", "text").mapInPandas(run, "k string, v array<float>")
+    asked = texts.select("k", "text")
+    return (asked.repartition(lanes) if per_minute else asked).mapInPandas(run, "k string, v array<float>")
 
 
 def newest(cache: DataFrame) -> DataFrame:

@@ -161,17 +161,45 @@ def test_retries():
         embed.embed_with_retry(Flaky(*["quota"] * 3), ["a"], attempts=3, sleep=waits.append)
 
 
-def test_rate_limiter():
+def test_what_cannot_be_retried_is_raised_at_once():
+    waits = []
+    with pytest.raises(RuntimeError, match="denied"):
+        embed.embed_with_retry(Flaky("denied", "denied"), ["a"], attempts=5, sleep=waits.append)
+    assert waits == [] and embed.pauses(8) == [2, 4, 8, 16, 32, 60, 60] and embed.pauses(1) == []
+
+
+def test_pacer():
     now = [0.0]
-    limiter = embed.RateLimiter(10, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
-    limiter.acquire(25)  # larger than the ceiling, but nothing else is there
-    limiter.acquire(1)
+    pacer = embed.Pacer(10, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    pacer.admit(25)  # larger than the ceiling, but nothing else is there
+    pacer.admit(1)
     assert 60 < now[0] < 61
     for _ in range(9):
-        limiter.acquire(1)
+        pacer.admit(1)
     assert now[0] < 61
 
 
+def test_pacer_never_exceeds_its_ceiling():
+    rng, now, left = random.Random(3), [0.0], []
+    pacer = embed.Pacer(20, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    for _ in range(200):
+        now[0] += rng.choice([0, 0, 1, 7, 30])
+        units = rng.randint(1, 12)
+        pacer.admit(units)
+        left.append((now[0], units))
+        assert sum(n for at, n in left if now[0] - 60 <= at) <= 20
+    unlimited = embed.Pacer(0, lambda: now[0], lambda s: pytest.fail("waits"))
+    for _ in range(5):
+        unlimited.admit(1000)
+
+
+def test_a_ceiling_holds_for_the_whole_job(spark):
+    texts = spark.createDataFrame([(str(i), "x" * i) for i in range(40)], "k string, text string").repartition(8)
+    got = embed.embed_texts(texts, lambda: embed.HashingEmbedder(8), batch_size=8, per_minute=100_000)
+    assert got.count() == 40 and got.rdd.getNumPartitions() == 8
+    assert embed.embed_texts(texts, lambda: embed.HashingEmbedder(8), batch_size=8, per_minute=17).rdd.getNumPartitions() == 2
+
+
 def test_rolling_count(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice("ab"), rng.randrange(0, 400)) for i in range(200)] + [(900, "c", 0), (901, "c", 60), (902, "c", 121)]
