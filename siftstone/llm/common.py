@@ -73,6 +73,25 @@ def durable(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return made
 
 
+def ranked(rows: DataFrame, order: list[Column], name: str, column: str, first: int = 0) -> DataFrame:
+    """``rows``, written, with ``column``: each row's rank in ``order``, from ``first`` on.
+
+    Ranges of the order are sorted and numbered in their tasks, then the sizes of the ranges before are added.  The ranks depend on
+    the rows alone, not on partitions or settings, if ``order`` leaves no ties.
+    """
+    spark, number = rows.sparkSession, F.monotonically_increasing_id()
+    written = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", number), name)
+    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, total = [], first
+    for number, n in sorted(tuple(r) for r in written.groupBy(part).agg(F.count(F.lit(1))).collect()):  # one row a partition
+        before.append((number, total))
+        total += n
+    offsets = spark.createDataFrame(before, "__part bigint, __before bigint")
+    made = written.join(F.broadcast(offsets), part == F.col("__part")).select(*rows.columns, (F.col("__before") + inside).alias(column))
+    made._durable_at = written._durable_at
+    return made
+
+
 def free(*tables: DataFrame) -> None:
     """Deletes tables that ``durable`` wrote and that nothing reads any more."""
     for made in tables:

@@ -8,12 +8,14 @@ Both models use the same pairs and absolute discounting: P(w|h) = max(c(h,w) - D
 is what the discounted pairs leave, and P(w) has add-one smoothing.  A document's score is the mean over its tokens of
 background loss minus target loss, in nats: the higher, the more like the target.
 
-No table is sent to all tasks.  Texts become chunks of about ``CHUNK`` bytes; a chunk asks once for each of its distinct words and
-pairs, and questions meet the entries in buckets, which are ranges of the hash (``_look_up``).  Words are known by 64-bit
-fingerprints, pairs by a 64-bit hash of both.  Partial counts are added up over ``HELD`` entries in each task before they are shuffled.
-
-The second look-up goes in ``SLICES`` slices of the chunks, one after the other, so that its questions and answers, the largest
-of all data here, never lie on disk at once.  Keys travel in ascending order as byte planes, whose upper planes compress.
+No table is sent to all tasks.  Texts become chunks of about ``CHUNK`` bytes.  A first look-up turns each chunk's distinct words,
+64-bit fingerprints, into their numbers in the vocabulary; a pair is then one 64-bit integer.  A second one fetches what the models
+know of the chunk's distinct words and pairs.  Questions and entries meet in buckets of the keys' hash, so a word that all
+texts have is asked for once a chunk and no bucket is larger than others.
+
+Keys travel in blocks: ascending, as byte planes, whose upper planes compress, with their values.  Partial counts are added up over
+``HELD`` entries in each task before they are shuffled.  The second look-up goes in ``SLICES`` slices of the chunks, one
+after the other, so that its questions and answers never lie on disk all at once.
 """
 
 from __future__ import annotations
@@ -26,16 +28,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import durable, fits, free
+from siftstone.llm.common import durable, fits, free, ranked
 from siftstone.llm.textscan import mix, parts, words
 
 WORD_SHARE, PAIR_SHARE, LEAST = 0.0, 0.0, 2
 DISCOUNT = 0.75
 #: Bytes of text in a chunk, entries added up in a task, tokens for each bucket, slices of the chunks.
-CHUNK, HELD, BUCKET, SLICES = 1 << 21, 1_500_000, 4_000_000, 4
+CHUNK, HELD, BUCKET, SLICES = 1 << 21, 1_500_000, 1_000_000, 4
+
+#: Numbers of the unknown word and the start of a text; those of the vocabulary begin after them.
+_UNKNOWN, _START, _SPECIAL = 0, 1, 2
+#: In a pair's place of the second word: the history alone.
+_ALONE = np.uint64(0xFFFFFFFF)
+
 
-#: Fingerprints of the unknown word and the start of a text.
-_UNKNOWN, _START = np.uint64(1), np.uint64(2)
+# --- blocks ------------------------------------------------------------------------------------------------------------
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -43,27 +50,101 @@ def _planes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
 
 
-def _values(data: bytes, dtype: type) -> np.ndarray:
+def _values(data: bytes | memoryview, dtype: type) -> np.ndarray:
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """Chunks of ``docs`` (id, text, target): distinct words, each token's place among them, row offsets, ids, target rows."""
-    kind = docs.schema[0].dataType.simpleString()
+def _block(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Ascending 64-bit keys and a row of values for each."""
+    return np.int64(len(keys)).tobytes() + _planes(keys) + _planes(values.T.reshape(-1))
+
+
+def _opened(data: bytes, width: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    return _values(memoryview(data)[8 : 8 + 8 * n], np.uint64), _values(memoryview(data)[8 + 8 * n :], dtype).reshape(width, n).T
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (((mix(keys) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ascending ``keys`` by bucket, ascending inside it, and where each bucket begins."""
+    bucket = _bucket(keys, buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[new], np.add.reduceat(values[order], new, axis=0)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        yield from batch.to_pylist()
+
+
+_BLOCKS = "bucket int, data binary"
+
+
+def _batch(bucket: list[int], data: list[bytes], **more: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "data": pa.array(data, pa.binary()), **more})
+
+
+def _counts(chunks: DataFrame, count: Callable[[dict], tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
+    """Blocks of the counts (in all documents, in target documents) that ``count`` finds in a chunk, added up in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
-        for batch in _larger(batches):
-            found, at = words(batch.column(1))
-            values, place = np.unique(found, return_inverse=True)
-            ids = pa.ListArray.from_arrays(pa.array([0, len(at) - 1], pa.int32()), batch.column(0))
-            target = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            data = [pa.array([x], pa.binary()) for x in (_planes(values), _planes(place.astype(np.int32)), at.astype(np.int64).tobytes(), target.tobytes())]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), *data, ids], ["chunk", "names", "place", "at", "target", "ids"])
-            chunk += 1
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    return docs.mapInArrow(run, f"chunk bigint, names binary, place binary, at binary, target binary, ids array<{kind}>")
+        def flush() -> pa.RecordBatch:
+            keys, values = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            order, edge = _dealt(keys, buckets)
+            there = np.flatnonzero(np.diff(edge)).tolist()
+            return _batch(there, [_block(keys[order[edge[b] : edge[b + 1]]], values[order[edge[b] : edge[b + 1]]].astype(np.uint32)) for b in there])
+
+        for row in _rows(batches):
+            held.append(count(row))
+            if sum(len(keys) for keys, _ in held) >= HELD:
+                yield flush()
+        if sum(len(keys) for keys, _ in held):
+            yield flush()
+
+    return chunks.select("names", "place", "at", "target").mapInArrow(run, _BLOCKS)
+
+
+def _all_of(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of all counts of a bucket."""
+    keys, values = zip(*(_opened(data, 2, np.uint32) for data in blocks.column("data").to_pylist()), strict=True)
+    return _summed(np.concatenate(keys), np.concatenate(values).astype(np.int64))
+
+
+def _packed(entries: DataFrame, buckets: int, dtype: type) -> DataFrame:
+    """``entries`` (key bigint, then values) as one block for each bucket."""
+    names, width = entries.columns, len(entries.columns) - 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket(keys, buckets).astype(np.int32)), *batch.columns], ["bucket", *names])
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        keys = rows.column(names[0]).to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        values = np.stack([rows.column(c).to_numpy().astype(dtype) for c in names[1:]], axis=1)
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([_block(keys[order], values[order].reshape(-1, width))], pa.binary())})
+
+    kinds = ", ".join(f"{c} {kind}" for c, kind in entries.dtypes)
+    return entries.mapInArrow(deal, f"bucket int, {kinds}").groupBy("bucket").applyInArrow(pack, _BLOCKS)
+
+
+# --- chunks ------------------------------------------------------------------------------------------------------------
 
 
 def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,128 +164,102 @@ def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield whole()
 
 
+def _chunks(docs: DataFrame) -> DataFrame:
+    """Chunks of ``docs`` (id, text, target): distinct words, each token's place among them, row offsets, ids, target rows."""
+    kind = docs.schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in _larger(batches):
+            found, at = words(batch.column(1))
+            values, place = np.unique(found, return_inverse=True)
+            ids = pa.ListArray.from_arrays(pa.array([0, len(at) - 1], pa.int32()), batch.column(0))
+            target = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            data = [pa.array([x], pa.binary()) for x in (_planes(values), _planes(place.astype(np.int32)), at.astype(np.int64).tobytes(), target.tobytes())]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), *data, ids], ["chunk", "names", "place", "at", "target", "ids"])
+            chunk += 1
+
+    return docs.mapInArrow(run, f"chunk bigint, names binary, place binary, at binary, target binary, ids array<{kind}>")
+
+
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Names, places, offsets, and for each token whether it is of a target text."""
+    """Names in ascending order, places, offsets, and for each token whether it is of a target text."""
     at = np.frombuffer(row["at"], np.int64)
     return _values(row["names"], np.uint64), _values(row["place"], np.int32), at, np.repeat(np.frombuffer(row["target"], bool), np.diff(at))
 
 
 def _pairs(names: np.ndarray, place: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's distinct pairs: keys in ascending order, places of their histories and words, and each token's pair.  The second name is the start."""
+    """A chunk's distinct pairs in ascending order, places of their histories and words, and each token's pair."""
     before = np.empty(len(place), np.int64)
     before[1:] = place[:-1]
-    before[at[:-1][at[:-1] < at[1:]]] = 1
+    before[at[:-1][at[:-1] < at[1:]]] = _START
     code, where = np.unique(before * len(names) + place, return_inverse=True)
     of, to = code // len(names), code % len(names)
-    keys = mix(mix(names[of]) + names[to])
-    order = np.argsort(keys)
-    moved = np.empty(len(order), np.int64)
-    moved[order] = np.arange(len(order))
-    return keys[order], of[order], to[order], moved[where]
-
+    return names[of] << np.uint64(32) | names[to], of, to, where
 
-_Counted = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-
-def _word_counts(row: dict) -> list[_Counted]:
+def _word_counts(row: dict) -> tuple[np.ndarray, np.ndarray]:
     names, place, _, target = _read(row)
-    return [(names, names, np.bincount(place, minlength=len(names)), np.bincount(place, target, len(names)))]
+    return names, np.stack([np.bincount(place, weights, len(names)) for weights in (None, target)], axis=1)
 
 
-def _pair_counts(row: dict) -> list[_Counted]:
-    """Pairs, and histories as pairs of a word with itself alone (gram 0)."""
+def _pair_counts(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs, and of histories."""
     names, place, at, target = _read(row)
     keys, of, _, where = _pairs(names, place, at)
-    n, t = np.bincount(where, minlength=len(keys)), np.bincount(where, target, len(keys))
+    n = np.stack([np.bincount(where, weights, len(keys)) for weights in (None, target)], axis=1)
     own = np.unique(of)
-    return [(keys, names[of], n, t), (np.zeros(len(own), np.uint64), names[own], np.bincount(of, n, len(names))[own], np.bincount(of, t, len(names))[own])]
-
+    alone = np.stack([np.bincount(of, n[:, k], len(names))[own] for k in (0, 1)], axis=1)
+    return np.concatenate([keys, names[own] << np.uint64(32) | _ALONE]), np.concatenate([n, alone])
 
-def _counts(chunks: DataFrame, count: Callable[[dict], list[_Counted]]) -> DataFrame:
-    """(gram, history, n, t): tokens in all documents and in target documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[_Counted] = []
-
-        def flush() -> pa.RecordBatch:
-            gram, history, n, t = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.lexsort((history, gram))
-            gram, history = gram[order], history[order]
-            new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (history[1:] != history[:-1])]))
-            columns = [gram[new].view(np.int64), history[new].view(np.int64), *(np.add.reduceat(x[order], new).astype(np.int64) for x in (n, t))]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["gram", "history", "n", "t"])
-
-        size = 0
-        for row in (row for batch in batches for row in batch.to_pylist()):
-            held += (x for x in count(row) if len(x[0]))
-            size = sum(len(x[0]) for x in held)
-            if size >= HELD:
-                yield flush()
-        if held:
-            yield flush()
-
-    found = chunks.select("names", "place", "at", "target").mapInArrow(run, "gram bigint, history bigint, n bigint, t bigint")
-    return found.groupBy("gram", "history").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Ranges of the hash: the upper 32 bits, scaled."""
-    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-
-
-def _look_up(chunks: DataFrame, keys: Callable[[dict], dict[str, np.ndarray]], entries: dict[str, DataFrame], buckets: int, then: Callable[[dict, dict[str, np.ndarray]], pa.Table], schema: str) -> DataFrame:
-    """``then`` of each chunk and what ``entries`` have for its ``keys``: for each kind, which keys are there and their values, row by row.
+def _look_up(chunks: DataFrame, keys: Callable[[dict], dict[str, np.ndarray]], entries: dict[str, DataFrame], width: dict[str, int], dtype: type, buckets: int, then: Callable[[dict, dict], pa.Table], schema: str) -> DataFrame:
+    """``then`` of each chunk and what ``entries`` have for its ``keys``: for each kind, which keys are there, and their values.
 
-    ``keys``: by kind, ascending fingerprints.  ``entries``: by kind, (gram, float columns).
+    ``keys``: by kind, ascending.  ``entries``: by kind, one block of ``width`` values for each bucket.
     """
     kinds, names = {name: k for k, name in enumerate(entries)}, list(entries)
-    width = {name: len(df.columns) - 1 for name, df in entries.items()}
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (row for batch in batches for row in batch.to_pylist()):
+        for row in _rows(batches):
             out = []
             for name, asked in keys(row).items():
-                edge = np.searchsorted(_bucket(asked, buckets), np.arange(buckets + 1))
-                out += [(kinds[name], b, _planes(asked[edge[b] : edge[b + 1]])) for b in np.flatnonzero(np.diff(edge)).tolist()]
+                order, edge = _dealt(asked, buckets)
+                out += [(kinds[name], b, _planes(asked[order[edge[b] : edge[b + 1]]])) for b in np.flatnonzero(np.diff(edge)).tolist()]
             kind, bucket, data = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array([row["chunk"]] * len(out), pa.int64()), pa.array(data, pa.binary())], ["kind", "bucket", "chunk", "data"])
+            yield _batch(bucket, data, kind=pa.array(kind, pa.int32()), chunk=pa.array([row["chunk"]] * len(out), pa.int64()))
 
     def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
-        gram = known.column("gram").to_numpy().view(np.uint64)
-        order = np.argsort(gram)
-        gram = gram[order]
-        value = known.column("v").combine_chunks().flatten().to_numpy().reshape(len(gram), -1)[order] if len(gram) and width[names[key[0].as_py()]] else np.zeros((len(gram), 0), np.float32)
+        own = width[names[key[0].as_py()]]
+        has, value = _opened(known.column("data")[0].as_py(), own, dtype) if known.num_rows else (np.zeros(0, np.uint64), np.zeros((0, own), dtype))
         out = []
         for data in asked.column("data").to_pylist():
             wanted = _values(data, np.uint64)
-            at = np.minimum(np.searchsorted(gram, wanted), max(len(gram) - 1, 0))
-            hit = gram[at] == wanted if len(gram) else np.zeros(len(wanted), bool)
-            out.append(np.packbits(hit).tobytes() + _planes(value[at[hit]].reshape(-1)))
-        return pa.table({**{x: asked.column(x) for x in ("kind", "bucket", "chunk")}, "data": pa.array(out, pa.binary())})
+            at = np.minimum(np.searchsorted(has, wanted), max(len(has) - 1, 0))
+            hit = has[at] == wanted if len(has) else np.zeros(len(wanted), bool)
+            out.append(np.packbits(hit).tobytes() + _planes(value[at[hit]].T.reshape(-1)))
+        return asked.select(["bucket", "kind", "chunk"]).append_column("data", pa.array(out, pa.binary()))
 
     def gather(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         (row,) = chunk.to_pylist()
         asked = keys(row)
-        edges = {kinds[name]: np.searchsorted(_bucket(x, buckets), np.arange(buckets + 1)) for name, x in asked.items()}
-        found = {name: (np.zeros(len(x), bool), np.zeros((len(x), width[name]), np.float32)) for name, x in asked.items()}
+        dealt = {name: _dealt(x, buckets) for name, x in asked.items()}
+        found = {name: (np.zeros(len(x), bool), np.zeros((len(x), width[name]), dtype)) for name, x in asked.items()}
         for kind, b, data in zip(*(answers.column(x).to_pylist() for x in ("kind", "bucket", "data")), strict=True):
-            first, last = edges[kind][b], edges[kind][b + 1]
-            bits = (last - first + 7) // 8
+            order, edge = dealt[names[kind]]
+            own, bits = order[edge[b] : edge[b + 1]], (edge[b + 1] - edge[b] + 7) // 8
+            hit = np.unpackbits(np.frombuffer(data, np.uint8, bits), count=len(own)).astype(bool)
             there, value = found[names[kind]]
-            hit = np.unpackbits(np.frombuffer(data, np.uint8, bits), count=last - first).astype(bool)
-            there[first:last] = hit
-            value[first:last][hit] = _values(data[bits:], np.float32).reshape(int(hit.sum()), width[names[kind]])
+            there[own] = hit
+            value[own[hit]] = _values(memoryview(data)[bits:], dtype).reshape(width[names[kind]], -1).T
         return then(row, found)
 
-    columns = "kind int, bucket int, chunk bigint, data binary"
-    asked = chunks.select("chunk", "names", "place", "at").mapInArrow(ask, columns)
-    upper = F.shiftrightunsigned("gram", 32)
+    asked = chunks.select("chunk", "names", "place", "at").mapInArrow(ask, f"{_BLOCKS}, kind int, chunk bigint")
     known = None
     for name, df in entries.items():
-        part = df.select(F.lit(kinds[name]).alias("kind"), F.shiftrightunsigned(upper * buckets, 32).cast("int").alias("bucket"), "gram", F.array(*(F.col(x).cast("float") for x in df.columns if x != "gram")).cast("array<float>").alias("v"))
+        part = df.select(F.lit(kinds[name]).alias("kind"), "bucket", "data")
         known = part if known is None else known.unionAll(part)
-    answers = asked.groupBy("kind", "bucket").cogroup(known.groupBy("kind", "bucket")).applyInArrow(answer, columns)
+    answers = asked.groupBy("kind", "bucket").cogroup(known.groupBy("kind", "bucket")).applyInArrow(answer, "bucket int, kind int, chunk bigint, data binary")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(gather, schema)
 
 
@@ -214,21 +269,21 @@ def with_target(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id")
     return docs.join(F.broadcast(ids) if fits(ids) else ids, id_col, "left").withColumn("target", F.coalesce("target", F.lit(False)))
 
 
-def _in_vocabulary(chunks: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
-    """``chunks`` with the unknown word and the start before their names, and words that are not ``known`` (gram) as the unknown one."""
+def _in_vocabulary(chunks: DataFrame, numbers: DataFrame, buckets: int) -> DataFrame:
+    """``chunks`` with the numbers of their words (blocks of fingerprint, number), the unknown word and the start as names."""
 
     def keys(row: dict) -> dict[str, np.ndarray]:
-        return {"known": _values(row["names"], np.uint64)}
+        return {"words": _values(row["names"], np.uint64)}
 
-    def then(row: dict, found: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
-        there, names = found["known"][0], _values(row["names"], np.uint64)
-        new = np.where(there, np.cumsum(there) + 1, 0)
-        row["names"] = _planes(np.concatenate([[_UNKNOWN, _START], names[there]]))
-        row["place"] = _planes(new[_values(row["place"], np.int32)].astype(np.int32))
+    def then(row: dict, found: dict) -> pa.Table:
+        there, number = found["words"]
+        names, place = np.unique(np.concatenate([[_UNKNOWN, _START], np.where(there, number[:, 0], _UNKNOWN)]).astype(np.uint64), return_inverse=True)
+        row["names"], row["place"] = _planes(names), _planes(place[2:][_values(row["place"], np.int32)].astype(np.int32))
         return pa.Table.from_pylist([row], schema=shape)
 
     shape = pa.schema([("chunk", pa.int64()), *((x, pa.binary()) for x in ("names", "place", "at", "target")), ("ids", _arrow(chunks))])
-    return _look_up(chunks, keys, {"known": known.select("gram")}, buckets, then, f"chunk bigint, names binary, place binary, at binary, target binary, ids {chunks.schema['ids'].dataType.simpleString()}")
+    schema = f"chunk bigint, names binary, place binary, at binary, target binary, ids {chunks.schema['ids'].dataType.simpleString()}"
+    return _look_up(chunks, keys, {"words": numbers}, {"words": 1}, np.uint32, buckets, then, schema)
 
 
 def _arrow(chunks: DataFrame) -> pa.DataType:
@@ -237,18 +292,41 @@ def _arrow(chunks: DataFrame) -> pa.DataType:
     return to_arrow_type(chunks.schema["ids"].dataType)
 
 
-def _word_entries(known: DataFrame, pairs: DataFrame, totals: np.ndarray) -> DataFrame:
-    """(gram, ...) of words, the unknown one and the start: log P(w) in both models, counts as a history, what the kept pairs leave of it."""
+def _kept_pairs(counts: DataFrame, least: int) -> DataFrame:
+    """From blocks of counts, one block for each bucket: the kept pairs, and all histories."""
+
+    def run(key: tuple, blocks: pa.Table) -> pa.Table:
+        keys, values = _all_of(blocks)
+        keep = (values[:, 0] >= least) | (keys & _ALONE == _ALONE)
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([_block(keys[keep], values[keep].astype(np.float32))], pa.binary())})
+
+    return counts.groupBy("bucket").applyInArrow(run, _BLOCKS)
+
+
+def _histories(pairs: DataFrame) -> DataFrame:
+    """(key, n, t, kn, kt) of each history: its counts, and those of its kept pairs less the discount."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            keys, values = _opened(row["data"], 2, np.float32)
+            alone = (keys & _ALONE == _ALONE)[:, None]
+            four = np.concatenate([np.where(alone, values, 0), np.where(alone, 0, np.maximum(values - DISCOUNT, 0))], axis=1).astype(np.float64)
+            history, sums = _summed(keys >> np.uint64(32), four) if len(keys) else (keys, four)
+            yield pa.RecordBatch.from_arrays([pa.array(history.view(np.int64)), *(pa.array(sums[:, k]) for k in range(4))], ["key", "n", "t", "kn", "kt"])
+
+    found = pairs.select("data").mapInArrow(run, "key bigint, n double, t double, kn double, kt double")
+    return found.groupBy("key").agg(*(F.sum(x).alias(x) for x in ("n", "t", "kn", "kt")))
+
+
+def _word_entries(known: DataFrame, histories: DataFrame, totals: np.ndarray) -> DataFrame:
+    """(key, ...) of words, the unknown one and the start: log P(w) in both models, counts as a history, what the kept pairs leave of it."""
     inside = known.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("t").alias("t")).first()
     below = [int(x) + inside.k + 1 for x in totals]
     rest = [float(np.log((total - (seen or 0) + 1) / b)) for total, seen, b in zip(totals, (inside.n, inside.t), below, strict=True)]
-    special = known.sparkSession.createDataFrame([(int(_UNKNOWN), *rest), (int(_START), 0.0, 0.0)], "gram bigint, a double, b double")
-    words = known.select("gram", F.log((F.col("n") + 1) / below[0]).alias("a"), F.log((F.col("t") + 1) / below[1]).alias("b")).unionAll(special)
-    own = F.col("gram") == 0
-    sums = [F.sum(F.when(own, F.col(x))).alias(x) for x in "nt"] + [F.sum(F.when(own, 0.0).otherwise(F.greatest(F.col(x) - DISCOUNT, F.lit(0.0)))).alias(f"k{x}") for x in "nt"]
-    history = pairs.groupBy(F.col("history").alias("gram")).agg(*sums)
+    special = known.sparkSession.createDataFrame([(_UNKNOWN, *rest), (_START, 0.0, 0.0)], "key bigint, a double, b double")
+    words = known.select("key", F.log((F.col("n") + 1) / below[0]).alias("a"), F.log((F.col("t") + 1) / below[1]).alias("b")).unionAll(special)
     left = [F.when(F.col(x) > 0, F.greatest(1 - F.col(f"k{x}") / F.col(x), F.lit(0.0))).otherwise(1.0).alias(f"left_{x}") for x in "nt"]
-    return words.join(history, "gram", "left").select("gram", "a", "b", *(F.coalesce(x, F.lit(0)).alias(x) for x in "nt"), *left)
+    return words.join(histories, "key", "left").select("key", "a", "b", *(F.coalesce(x, F.lit(0.0)).alias(x) for x in "nt"), *left)
 
 
 def _asked(row: dict) -> dict[str, np.ndarray]:
@@ -256,7 +334,7 @@ def _asked(row: dict) -> dict[str, np.ndarray]:
     return {"words": names, "pairs": _pairs(names, place, at)[0]}
 
 
-def _losses(row: dict, found: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _losses(row: dict, found: dict) -> tuple[np.ndarray, np.ndarray]:
     """Mean loss per token of each text under both models (2 x rows), and the numbers of tokens."""
     names, place, at, _ = _read(row)
     _, of, to, where = _pairs(names, place, at)
@@ -277,32 +355,40 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     One row for each row of ``docs``: id, n_tokens, background_loss, target_loss, score.  A text without words, a null one too, has no
     tokens and 0 for the rest.  Rows that share an id are scored each with its own text, and are target rows together.  A very long
     text is a chunk of its own, read whole.  Other columns, whatever their names, are not read; an empty table gives an empty result,
-    an empty target a target model of no counts.
+    an empty target a target model of no counts.  The vocabulary has at most 2**32 words.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = durable(_chunks(with_target(plain, target_ids, "id").select("id", "text", "target")), "text-chunks", "zstd")
-    unigrams = durable(_counts(texts, _word_counts), "word-counts")
+    rough = texts.agg(F.sum(F.length("place")).alias("bytes")).first().bytes or 0  # four for each token
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rough // (4 * BUCKET)))
+
+    def words_of(key: tuple, blocks: pa.Table) -> pa.Table:
+        keys, values = _all_of(blocks)
+        return pa.table({"word": keys.view(np.int64), "n": values[:, 0], "t": values[:, 1]})
+
+    unigrams = durable(_counts(texts, _word_counts, buckets).groupBy("bucket").applyInArrow(words_of, "word bigint, n bigint, t bigint"), "word-counts", "zstd")
     sums = unigrams.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
     totals = np.array([sums.n or 0, sums.t or 0])
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(totals[0]) // BUCKET))
     least = lambda share: max(LEAST, int(np.ceil(share * totals[0])))
-    known = unigrams.where(F.col("n") >= least(word_share)).select(F.col("history").alias("gram"), "n", "t")
-    chunks = durable(_in_vocabulary(texts, known, buckets), "known-chunks", "zstd")
-    free(texts)
-    pairs = durable(_counts(chunks, _pair_counts).where((F.col("gram") == 0) | (F.col("n") >= least(pair_share))), "pair-counts")
-    entries = {"words": durable(_word_entries(known, pairs, totals), "word-entries"), "pairs": pairs.where("gram <> 0").select("gram", "n", "t")}
-    free(unigrams)
-
-    def then(row: dict, found: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    known = ranked(unigrams.where(F.col("n") >= least(word_share)), [F.desc("n"), F.asc("word")], "vocabulary", "key", _SPECIAL)
+    if (known.agg(F.max("key")).first()[0] or 0) >= int(_ALONE):
+        raise ValueError("more than 2**32 words")
+    numbers = durable(_packed(known.select("word", "key"), buckets, np.uint32), "word-numbers", "zstd")
+    chunks = durable(_in_vocabulary(texts, numbers, buckets), "known-chunks", "zstd")
+    free(texts, unigrams, numbers)
+    pairs = durable(_kept_pairs(_counts(chunks, _pair_counts, buckets), least(pair_share)), "pair-counts", "zstd")
+    words = durable(_packed(_word_entries(known, _histories(pairs), totals), buckets, np.float32), "word-entries", "zstd")
+
+    def then(row: dict, found: dict) -> pa.Table:
         (background, target), n = _losses(row, found)
         return pa.table([pa.array(row["ids"], kind), *map(pa.array, (n.astype(np.int64), background, target, background - target))], [id_col, "n_tokens", "background_loss", "target_loss", "score"])
 
     kind = _arrow(chunks).value_type
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens bigint, background_loss double, target_loss double, score double"
-    slices, scores = max(1, min(SLICES, -(-int(totals[0]) // BUCKET))), None
+    slices, scores = max(1, min(SLICES, -(-int(totals[0]) // (4 * BUCKET)))), None
     for k in range(slices):
         some = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(slices)) == k)
-        part = durable(_look_up(some, _asked, entries, buckets, then, schema), "scores")
+        part = durable(_look_up(some, _asked, {"words": words, "pairs": pairs}, {"words": 6, "pairs": 2}, np.float32, buckets, then, schema), "scores")
         scores = part if scores is None else scores.unionAll(part)
-    free(chunks, pairs, entries["words"])
+    free(chunks, pairs, words, known)
     return scores
