@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import BROADCAST_BYTES, durable
+from siftstone.llm.common import durable, fits, free, ranked
 
 BLOCK = 4096
 
@@ -28,8 +28,8 @@ def squeezed(text: Column) -> Column:
 
 
 def _names(distinct: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """Sorts the distinct rows in their partitions and numbers them."""
-    return durable(distinct.sortWithinPartitions(*columns).withColumn("name", F.monotonically_increasing_id()), name)
+    """The distinct rows with their rank as name: the same rows get the same names in any session."""
+    return ranked(distinct, [F.asc(c) for c in columns], name, "name")
 
 
 def _cuts(each, block: int) -> Column:  # noqa: ANN001
@@ -50,7 +50,7 @@ def _collide(docs: DataFrame, repeated: DataFrame, block: int, digest) -> bool:
     """
     if repeated.isEmpty():
         return False
-    small = 64 * repeated.count() <= BROADCAST_BYTES
+    small = fits(repeated)
     blocks = docs.select(F.explode(_cuts(lambda b: b, block)).alias("block")).select(digest(F.col("block")).alias("digest"), "block")
     contents = blocks.join(F.broadcast(repeated) if small else repeated, "digest", "left_semi").distinct()
     return not contents.groupBy("digest").count().where("count > 1").isEmpty()
@@ -59,7 +59,8 @@ def _collide(docs: DataFrame, repeated: DataFrame, block: int, digest) -> bool:
 def identities(docs: DataFrame, block: int = BLOCK, digest=_digest) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
     """``docs`` (doc_id, data binary) as known (row, doc_id, n_bytes, sha256) and found (row, level, name).
 
-    ``row`` numbers the rows; equal data, equal (level, name).
+    ``row`` numbers the rows; equal data, equal (level, name).  Names depend on the set of texts alone: they are ranks among
+    its blocks, then among its pairs of names.
     """
     numbered = lambda df: df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "data")
     about = ["row", "doc_id", F.length("data").alias("n_bytes"), F.sha2("data", 256).alias("text_sha256")]
@@ -70,35 +71,34 @@ def identities(docs: DataFrame, block: int = BLOCK, digest=_digest) -> tuple[Dat
         whole = durable(numbered(docs), "exact-whole")
         known = durable(whole.select(*about), "exact-docs")
         marked = whole.select("row", F.size(_cuts(F.length, block)).alias("n"), F.posexplode(_cuts(lambda b: b, block)).alias("pos", "block"))
-        active = marked.join(_names(marked.select("block").distinct(), ["block"], "block-names"), "block")
+        names, joined_by = _names(marked.select("block").distinct(), ["block"], "block-names"), ["block"]
     else:
-        active = placed.join(_names(counts.select("digest"), ["digest"], "block-names"), "digest")
-    active, done, level = durable(active.select("row", "pos", "n", "name"), "names-0"), [], 0
+        marked, names, joined_by = placed, _names(counts.select("digest"), ["digest"], "block-names"), ["digest"]
+    found, level = None, 0
     while True:
-        done.append(active.where("n = 1").select("row", F.lit(level).alias("level"), "name"))
-        pairs = active.where("n > 1").groupBy("row", F.expr("pos div 2").cast("int").alias("pos")).agg(
+        active = durable(marked.join(names, joined_by).select("row", "pos", "n", "name"), f"names-{level}")
+        free(names, *([marked] if level else []))
+        done = active.where("n = 1").select("row", F.lit(level).alias("level"), "name")
+        found = done if found is None else found.unionAll(done)
+        marked = active.where("n > 1").groupBy("row", F.expr("pos div 2").cast("int").alias("pos")).agg(
             F.min(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left"),
             F.coalesce(F.min(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"),
             F.ceil(F.min("n") / 2).cast("int").alias("n"),
         )
-        pairs = durable(pairs, f"pairs-{level}")
-        if pairs.isEmpty():
-            break
-        level += 1
-        names = _names(pairs.select("left", "right").distinct(), ["left", "right"], f"pair-names-{level}")
-        active = durable(pairs.join(names, ["left", "right"]).select("row", "pos", "n", "name"), f"names-{level}")
-    found = done[0]
-    for part in done[1:]:
-        found = found.unionByName(part)
-    return known, found
+        marked = durable(marked, f"pairs-{level}")
+        if marked.isEmpty():
+            free(marked, counts)
+            return known, found
+        level, joined_by = level + 1, ["left", "right"]
+        names = _names(marked.select(*joined_by).distinct(), joined_by, f"pair-names-{level}")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts (after ``squeezed``) the row with the smallest doc_id stays; null ids come last, and of rows with one id a
-    single one stays.  keep_id is the id of the row that stays.  A null text equals the empty one.  Other columns are
-    not read; an empty table gives an empty result.
+    single one stays.  keep_id is the id of the row that stays.  A null text equals the empty one.  A very long
+    text has as many blocks as it needs.  Other columns, whatever their names, are not read; an empty table gives an empty result.
     """
     known, found = identities(docs.select(F.col(id_col).alias("doc_id"), F.encode(squeezed(F.col(text_col)), "utf-8").alias("data")), block)
     named = durable(known.select("row", "doc_id", "text_sha256").join(found, "row"), "exact-identities")

@@ -362,7 +362,7 @@ def test_pairs_seen_twice_count_beside_any_number_of_tokens(spark):
 def test_slices_and_chunks_change_no_score(spark, monkeypatch):
     rows, target = corpus(7), spark.createDataFrame([(i,) for i in range(0, 60, 3)], "x bigint")
     found = []
-    for chunk, bucket, held in ((1 << 21, 4_000_000, 1_500_000), (500, 300, 100)):
+    for chunk, bucket, held in ((1 << 21, 1_000_000, 1_500_000), (500, 300, 100)):
         for name, value in (("CHUNK", chunk), ("BUCKET", bucket), ("HELD", held)):
             monkeypatch.setattr(lm_scoring, name, value)
         got = lm_scoring.cross_entropy_difference(frame(spark, rows), target)
@@ -397,6 +397,23 @@ def test_exact_groups_match_brute_force(docs, block):
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_names_depend_on_the_texts_alone(spark):
+    rows = [(i, f"{i % 7} " * (i % 40) + "end" * (i % 3)) for i in range(120)]
+    found = []
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for parts, adaptive in ((4, "true"), (7, "false"), (31, "true")):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            data = spark.createDataFrame(rows, SCHEMA).repartition(parts).select("doc_id", F.col("text").cast("binary").alias("data"))
+            known, names = exact_dedup.identities(data, block=8)
+            found.append(sorted((r.doc_id, r.level, r.name) for r in known.join(names, "row").collect()))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(found[0]) == 120 and found[0] == found[1] == found[2]
+
+
 def test_names_survive_digests_that_collide(docs):
     data = docs.select("doc_id", F.encode(exact_dedup.squeezed(F.col("text")), "utf-8").alias("data"))
     known, found = exact_dedup.identities(data, 16, digest=lambda b: F.unhex(F.substring(F.md5(b), 1, 2)))
