@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier on its posterior labels.
 
-1. Features are words and word beginnings of 4 to 6 bytes, as 64-bit fingerprints.  Those that toxic training texts have and
-   clean ones hardly have form the lexicon.
+1. Features are words and word beginnings of 4 to 6 bytes, as 64-bit fingerprints.  All that at least ``LEAST`` unlike toxic texts
+   of the sample have, and that are ``ODDS`` times (as a logarithm) as frequent there as in clean ones, form the lexicon.
 2. Voters: the lexicon dealt out to several lexicon voters for each kind of feature, pattern voters (shouting, exclamation
    runs, repeated words), and one voter that calls texts without any lexicon feature clean.  Every other voter abstains
    where it finds nothing.  A given label is one more noisy voter.
@@ -11,8 +11,8 @@
 4. A logistic regression on lexicon features and patterns learns those posteriors, weighted back to the true
    shares of the classes.  It alone scores texts.
 
-The models are fitted on at most ``MOST_TOXIC`` + ``MOST_CLEAN`` labelled rows, those with the smallest hash of their id; class
-shares count all labels.  Scoring reads every whole text and nothing but the text.
+The models are fitted on at most ``MOST_TOXIC`` + ``MOST_CLEAN`` labelled ids, those with the smallest hash, with one text each; class
+shares count all labels.  These two parameters are the only bounds.  Scoring reads every whole text and nothing but the text.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.llm.common import durable, free
 from siftstone.llm.textscan import fingerprints, mix, parts, shingles, spans, text_bytes, words
 
-#: Bounds of the training sample and of the lexicon.
-MOST_TOXIC, MOST_CLEAN, LEXICON = 4000, 8000, 4096
+#: Bounds of the training sample; what makes a feature one of the lexicon.
+MOST_TOXIC, MOST_CLEAN = 4000, 8000
+LEAST, ODDS = 3, 2.0
 KINDS = (None, 4, 5, 6)  # a whole word, or its first bytes
 DEALT = 4
 PATTERNS = ("shouting", "exclamations", "repetition", "no_lexicon")
@@ -163,15 +165,21 @@ def _regression(rows: np.ndarray, cols: np.ndarray, n: int, d: int, target: np.n
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> ToxicityModel:
-    """Learns from the labelled rows; several labels of one id count as toxic if one does, null labels and ids not at all."""
+    """Learns from the labelled rows; several labels of one id count as toxic if one does, null labels and ids not at all.
+
+    Of rows that share an id the text with the smallest hash is learnt from.  Ties among ids of one hash go by the id.  An empty table,
+    or one without labels of both classes, gives a model without a lexicon.  Other columns, whatever their names, are not read.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     given = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     totals = {r.y: r.n for r in given.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    nothing = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), 0.0)
     if not totals.get(1) or not totals.get(0):
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), 0.0)
+        return nothing
     pick = lambda y, most: given.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # noqa: E731  bounded by the parameters
-    toxic, sample = docs.join(F.broadcast(pick(1, most_toxic)), "doc_id"), docs.join(F.broadcast(pick(1, most_toxic).unionByName(pick(0, most_clean))), "doc_id")
+    picked = docs.join(F.broadcast(pick(1, most_toxic).unionByName(pick(0, most_clean))), "doc_id")
+    sample = durable(picked.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "toxic-sample")
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in parts(whole, 0)):
@@ -180,23 +188,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(pairs[c].view(np.int64).copy()) for c in ("f0", "f1")], ["feature", "alike"])
 
     # copies count once: a feature is frequent by the number of unlike texts that have it
-    least = 4 if totals[1] >= 400 else 3
-    frequent = toxic.select("text").mapInArrow(occurrences, "feature bigint, alike bigint").distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    candidates = np.sort(np.array([r.feature for r in frequent.orderBy(F.desc("n"), "feature").limit(16 * LEXICON).collect()], np.int64).view(np.uint64))
-    sent = spark.sparkContext.broadcast(candidates)
-
-    counted = sample.select("y", "text").mapInArrow(present_in(sent), _PRESENT).select("y", "alike", F.explode("which").alias("i")).distinct()
-    by_class = counted.groupBy("i").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).collect()  # at most 16 * LEXICON rows
-    sizes = {r.y: r.n for r in sample.select("y", "text").mapInArrow(present_in(spark.sparkContext.broadcast(np.zeros(0, np.uint64))), _PRESENT).groupBy("y").agg(F.countDistinct("alike").alias("n")).collect()}
+    seen = sample.where("y = 1").select("text").mapInArrow(occurrences, "feature bigint, alike bigint").distinct()
+    frequent = seen.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).select("feature")
+    candidates = np.sort(frequent.toArrow().column(0).to_numpy().view(np.uint64))
+    present = sample.select("y", "text").mapInArrow(present_in(spark.sparkContext.broadcast(candidates)), _PRESENT)
+    by_class = present.select("y", "alike", F.explode("which").alias("i")).distinct().groupBy("i").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+    counted = by_class.toArrow()  # a row for each candidate at most
+    sizes = {r.y: r.n for r in present.groupBy("y").agg(F.countDistinct("alike").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), 0.0)
-    odds = {r.i: np.log((r.t + 0.5) / (n1 + 1)) - np.log((r.c + 0.5) / (n0 + 1)) for r in by_class if r.t >= least}
-    counts = {r.i: r.t for r in by_class}
-    chosen = sorted(sorted((i for i, x in odds.items() if x > 2), key=lambda i: (-odds[i] * np.sqrt(counts[i]), i))[:LEXICON])
-    lexicon, sent = candidates[chosen], spark.sparkContext.broadcast(candidates[chosen])
-
-    got = sample.select("y", "text").mapInArrow(present_in(sent), _PRESENT).collect()
+        free(sample)
+        return nothing
+    which, t, c = (counted.column(x).to_numpy() for x in ("i", "t", "c"))
+    odds = np.log((t + 0.5) / (n1 + 1)) - np.log((c + 0.5) / (n0 + 1))
+    lexicon = candidates[np.sort(which[(odds > ODDS) & (t >= LEAST)])]
+
+    got = sample.select("y", "text").mapInArrow(present_in(spark.sparkContext.broadcast(lexicon)), _PRESENT).collect()  # bounded by the parameters
+    free(sample)
     y = np.array([r.y for r in got])
     rows = np.repeat(np.arange(len(got)), [len(r.which) for r in got])
     cols = np.array([i for r in got for i in r.which], np.int64)
@@ -246,7 +254,8 @@ def present_in(sent):  # noqa: ANN001, ANN201  a broadcast of sorted fingerprint
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1, higher for likelier toxic; other columns stay, one of the score's name gives way.
 
-    A null text scores as an empty one.  A model that had no toxic or no clean label to learn from scores everything 0.
+    A null text scores as an empty one, a very long one whole; repeated rows score alike, and an empty table stays empty.  A model
+    that had no toxic or no clean label to learn from scores everything 0.
     """
     docs = docs.drop(score_col)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
