@@ -6,8 +6,10 @@ template tokens are joined by hash with the windows of the benchmark's templates
 themselves with theirs, so that copies with changed case are found as well as questions with other numbers and names.
 
 An item counts as found in a document if windows, literal or template, on at least ``COVER`` of its places occur there in the item's
-order, with fewer tokens put in or left out than the item has.  The slots of the template windows must be consistent too: along the match, one value of the item always
-stands for one value of the document and the other way round.  An item shorter than a window is one window of its own length.
+order, with fewer tokens put in or left out than the item has.  The slots of the template windows must be consistent too: along the
+match, one value of the item always becomes the same value in the document; two values of the item may become one.  An item
+shorter than a window is one window of its own length; one of fewer than ``SHORTEST`` tokens, which any text may hold by
+chance, is found only in a document that has no other tokens.
 
 The benchmark's windows are sent to all tasks while they are few enough (measured); beyond that both sides' windows
 are joined by a shuffle.  Only windows that match go on.
@@ -22,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siftstone.llm.common import BROADCAST_BYTES, durable
 from siftstone.llm.textscan import PIECE, _powers, fingerprints, mix, parts, text_bytes
@@ -128,11 +131,11 @@ def _slots(found: Tokens, at: int, size: int) -> bytes:
     return found.words[span][found.slot[span]].tobytes()
 
 
-_INDEX = "hash bigint, item_id bigint, place int, size int, places int, template boolean, slots binary"
-
-
 def index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The windows of all items.  Items without an id or with fewer than ``SHORTEST`` tokens have none."""
+    """The windows of all items: hash, item_id, place, size, places, template, slots.  Items without an id or without tokens have none."""
+    kind = benchmark.schema[id_col].dataType
+    schema = f"hash bigint, item_id {kind.simpleString()}, place int, size int, places int, template boolean, slots binary"
+    types = (pa.int64(), to_arrow_type(kind), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in parts(whole, 1)):
@@ -140,15 +143,14 @@ def index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = tokens(pa.array([text or ""]))
                 size = min(window, len(found.words))
-                for template in (False, True):
-                    if size >= SHORTEST:
+                for template in (False, True)[: 2 if size >= SHORTEST else 1]:
+                    if size:
                         hashes, at = windows(found, size, template, size == window)
                         out += [(h, item, p, size, len(found.words) - size + 1, template, _slots(found, p, size) if template else b"") for h, p in zip(hashes.view(np.int64).tolist(), at.tolist(), strict=True)]
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], [c.split()[0] for c in _INDEX.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], [c.split()[0] for c in schema.split(", ")])
 
-    items = benchmark.select(F.col(id_col).cast("bigint"), F.col(text_col)).where(F.col(id_col).isNotNull())
-    return items.mapInArrow(run, _INDEX)
+    items = benchmark.select(F.col(id_col), F.col(text_col)).where(F.col(id_col).isNotNull())
+    return items.mapInArrow(run, schema)
 
 
 def _document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | None, window: int) -> DataFrame:
@@ -162,9 +164,13 @@ def _document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | Non
         known, gate = sent.value
         for batch in (part for whole in batches for part in parts(whole, 2)):
             found = tokens(batch.column(2))
+            lengths = np.diff(found.at)
             for size in sizes:
-                for template in (False, True):
+                for template in (False, True)[: 2 if size >= SHORTEST else 1]:
                     hashes, at = windows(found, size, template, size == window)
+                    if size < SHORTEST:
+                        alone = lengths[found.row[at]] == size
+                        hashes, at = hashes[alone], at[alone]
                     if known is not None:
                         maybe = gate[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)]
                         hashes, at = hashes[maybe], at[maybe]
@@ -210,7 +216,7 @@ def _agreed(chain: np.ndarray, shift: np.ndarray, literal: np.ndarray, pairs: li
     stretches = [chain[shift[chain] == s] for s in np.unique(shift[chain])]
     for stretch in sorted(stretches, key=len, reverse=True):
         more = known.union(*(pairs[k] for k in stretch.tolist()))
-        if len(more) == len({a for a, _ in more}) == len({b for _, b in more}):
+        if len(more) == len({a for a, _ in more}):
             count, known = count + int((~literal[stretch]).sum()), more
     return count
 
@@ -219,7 +225,7 @@ def _judge(spot: np.ndarray, place: np.ndarray, template: np.ndarray, slots: lis
     """The most places of an item of ``length`` tokens matched in order by one occurrence, and whether literal windows alone do so.
 
     Literal and template windows count together where the slots of the template ones are consistent: one value of the item always
-    stands for one value of the document and the other way round.
+    becomes the same value in the document.
     """
     at, where = np.unique(place.astype(np.int64) << 32 | spot, return_inverse=True)
     spot, place = at & 0xFFFFFFFF, at >> 32
@@ -247,7 +253,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     The kind is words if literal windows alone have as many places, else template.
 
     Null texts and ids: a null text holds nothing; rows with a null id are judged like others; items without an id are left out.
-    Repeated rows give repeated results.  Other columns are not read.
+    Repeated rows give repeated results.  Ids keep their types.  A very long text is scanned whole, in rows of its own.  Of equally good
+    alignments the share is the same, so ties need no rule.  Other columns, whatever their names, are not read; without
+    documents or items the result is empty.
     """
     windows_of_items = durable(index(benchmark, item_col, item_text_col, window), "benchmark-windows")
     sizes = sorted(r["size"] for r in windows_of_items.select("size").distinct().collect())  # at most ``window`` of them
@@ -270,4 +278,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         one = lambda name: group.column(name).combine_chunks().slice(0, int(keep))
         return pa.table({"doc_id": one("doc_id"), "item_id": one("item_id"), "cover": pa.array([share] * keep, pa.float64()), "kind": pa.array(["words" if literal else "template"] * keep, pa.string())})
 
-    return hits.groupBy("row", "item_id").applyInArrow(run, f"doc_id {kind}, item_id bigint, cover double, kind string")
+    return hits.groupBy("row", "item_id").applyInArrow(run, f"doc_id {kind}, item_id {benchmark.schema[item_col].dataType.simpleString()}, cover double, kind string")
