@@ -1,16 +1,17 @@
 """Token ids as compressed binary files with a shared dictionary and random access to single documents.
 
 A file image holds, little-endian: the magic ``SFTK``, version and id width (u16 each), number of documents (u64),
-SHA-256 of the shared zstandard dictionary (32 bytes, zeros without one), then per document doc_id (i64), a null flag
-(u8), the tokens before it in the image (u64, one more value than documents) and the payload offset (u64, one more), and
-last the payloads: each document's ids, compressed on their own.  One document is read by its index entry and the
-dictionary alone.
+SHA-256 of the shared zstandard dictionary (32 bytes, zeros without one), the kind of doc_id (u8: 0 integer, 1 text), then per
+document a null flag (u8), doc_id (i64; or for texts u64 ends, one more value than documents, and their UTF-8 bytes), the tokens before
+it in the image (u64, one more value than documents) and the payload offset (u64, one more), and last the payloads: each
+document's ids, compressed on their own.  One document is read by its index entry and the dictionary alone.
 
 Images are rows of a table in the shared folder, each bounded by ``image_bytes`` of payload or one document: every
 executor can write them through any store Spark can reach.  ``export`` puts single images into plain files.
 
-Documents are first encoded where they are read; only compressed payloads are shuffled, by ranges of doc_id whose
-borders come from quantiles of that column.  The dictionary is trained on a bounded sample (``sample_docs``).
+Documents are encoded and compressed where they are read and written as a table of payloads; these are dealt out to tasks by
+ranges of (doc_id, digest of the text, row), of about ``PART_BYTES`` of payload each.  So neither an id that most rows share nor null ids nor
+equal rows meet in one task.  The dictionary is trained on the whole ids of a bounded sample of documents (``sample_docs``).
 """
 
 from __future__ import annotations
@@ -24,21 +25,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from siftstone.llm.bpe import Codec, Worker
-from siftstone.llm.common import durable
+from siftstone.llm.common import durable, free
 from siftstone.llm.textscan import parts
 
-MAGIC, VERSION = b"SFTK", 1
-_HEAD = struct.Struct("<4sHHQ32s")
+MAGIC, VERSION = b"SFTK", 2
+_HEAD = struct.Struct("<4sHHQ32sB")
 
-#: Bounds of the dictionary's training: documents, bytes of each that count, dictionary size.
+#: Bounds of the dictionary: documents it is trained on, its size; ids of a longer document are several samples of SAMPLE_BYTES.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 1 << 14, 1 << 16
-IMAGE_BYTES = 1 << 20
-#: Documents in one range of ids, and the most ranges.
-SHARD_DOCS, SHARDS = 8192, 1 << 16
+#: Payload of an image, and of the range of one task.
+IMAGE_BYTES, PART_BYTES = 1 << 20, 16 << 20
 LEVEL = 1
 
 
@@ -73,13 +75,18 @@ def train(samples: list[bytes]) -> Dictionary:
         return Dictionary(b"")
 
 
-def image(doc_ids: list[int | None], payloads: list[bytes], counts: list[int], width: int, dictionary_hash: bytes) -> bytes:
+def image(doc_ids: list, payloads: list[bytes], counts: list[int], width: int, dictionary_hash: bytes, text_ids: bool = False) -> bytes:
     """A file image."""
     n = len(doc_ids)
+    if text_ids:
+        spelt = [(i or "").encode() for i in doc_ids]
+        ids = [np.cumsum([0, *map(len, spelt)], dtype="<u8").tobytes(), *spelt]
+    else:
+        ids = [np.array([i or 0 for i in doc_ids], "<i8").tobytes()]
     return b"".join([
-        _HEAD.pack(MAGIC, VERSION, width, n, dictionary_hash),
-        np.array([i or 0 for i in doc_ids], "<i8").tobytes(),
+        _HEAD.pack(MAGIC, VERSION, width, n, dictionary_hash, text_ids),
         np.array([i is None for i in doc_ids], "u1").tobytes(),
+        *ids,
         np.cumsum([0, *counts], dtype="<u8").tobytes(),
         np.cumsum([0, *map(len, payloads)], dtype="<u8").tobytes(),
         *payloads,
@@ -90,24 +97,32 @@ class Image:
     """Random access to the documents of a file image."""
 
     def __init__(self, data: bytes, dictionary: Dictionary) -> None:
-        magic, version, self.width, n, found = _HEAD.unpack_from(data)
+        magic, version, self.width, n, found, text_ids = _HEAD.unpack_from(data)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token file of this version")
         if found != dictionary.hash:
             raise ValueError("this file needs another dictionary")
-        at = _HEAD.size
-        self.doc_ids = np.frombuffer(data, "<i8", n, at)
-        self.null = np.frombuffer(data, "u1", n, at := at + 8 * n)
-        self.tokens_before = np.frombuffer(data, "<u8", n + 1, at := at + n)
-        self.offsets = np.frombuffer(data, "<u8", n + 1, at := at + 8 * (n + 1))
-        self.start = at + 8 * (n + 1)
-        self.data, self._decompressor = memoryview(data), dictionary.decompressor()
+        self.data, self._decompressor, self._at = memoryview(data), dictionary.decompressor(), _HEAD.size
+        self.null = self._take("u1", n)
+        if text_ids:
+            ends = self._take("<u8", n + 1).tolist()
+            spelt = bytes(self._take("u1", ends[-1]))
+            self.doc_ids = [spelt[a:b].decode() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        else:
+            self.doc_ids = self._take("<i8", n).tolist()
+        self.tokens_before, self.offsets = self._take("<u8", n + 1), self._take("<u8", n + 1)
+        self.start = self._at
+
+    def _take(self, kind: str, n: int) -> np.ndarray:
+        values = np.frombuffer(self.data, kind, n, self._at)
+        self._at += values.nbytes
+        return values
 
     def __len__(self) -> int:
         return len(self.doc_ids)
 
-    def doc_id(self, k: int) -> int | None:
-        return None if self.null[k] else int(self.doc_ids[k])
+    def doc_id(self, k: int) -> int | str | None:
+        return None if self.null[k] else self.doc_ids[k]
 
     def ids(self, k: int) -> np.ndarray:
         """The ids of document number ``k`` of the image."""
@@ -117,111 +132,115 @@ class Image:
 
 @dataclass(frozen=True)
 class TokenFiles:
-    """The written images (shard, image, n_docs, n_tokens, data), the dictionary, and the ids before each shard."""
+    """The written images (part, image, n_docs, n_tokens, tokens_before, data) and the dictionary.  ``parts`` has the ids before each part."""
 
     images: DataFrame
     dictionary: Dictionary
-    before: dict[int, int]
+    parts: DataFrame
+    id_type: str
 
     def documents(self) -> DataFrame:
         """Each document as the files have it: doc_id, start, n_tokens, ids_crc32 (ids as unsigned 32-bit integers)."""
-        sent = self.images.sparkSession.sparkContext.broadcast((self.dictionary, self.before))
+        sent = self.images.sparkSession.sparkContext.broadcast(self.dictionary)
+        kind = pa.string() if self.id_type == "string" else pa.int64()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            dictionary, before = sent.value
             for batch in batches:
-                for shard, earlier, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    got = Image(data, dictionary)
-                    first = before[shard] + earlier
+                for first, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    got = Image(data, sent.value)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([got.doc_id(k) for k in range(len(got))], pa.int64()),
+                        pa.array([got.doc_id(k) for k in range(len(got))], kind),
                         pa.array(got.tokens_before[:-1].astype(np.int64) + first, pa.int64()),
                         pa.array(np.diff(got.tokens_before.astype(np.int64)), pa.int64()),
                         pa.array([zlib.crc32(got.ids(k).astype("<u4").tobytes()) for k in range(len(got))], pa.int64()),
                     ], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-        return self.images.select("shard", "tokens_before", "data").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+        placed = self.images.join(F.broadcast(self.parts), "part").select(F.col("before") + F.col("tokens_before"), "data")
+        wide = "string" if self.id_type == "string" else "bigint"
+        return placed.mapInArrow(run, f"doc_id {wide}, start bigint, n_tokens bigint, ids_crc32 bigint").withColumn("doc_id", F.col("doc_id").cast(self.id_type))
 
     def export(self, folder: str, limit: int) -> list[str]:
-        """Up to ``limit`` images as plain files beside the dictionary, in a folder of this machine."""
+        """Up to ``limit`` images as plain files beside the dictionary, in a folder of the driver's machine."""
         with open(f"{folder}/dictionary.zstd", "wb") as file:
             file.write(self.dictionary.data)
         names = []
-        for row in self.images.select("shard", "image", "data").orderBy("shard", "image").limit(limit).toLocalIterator():
-            names.append(f"{folder}/tokens-{row.shard:05d}-{row.image:06d}.sftk")
+        for row in self.images.select("part", "image", "data").orderBy("part", "image").limit(limit).toLocalIterator():
+            names.append(f"{folder}/tokens-{row.part:05d}-{row.image:06d}.sftk")
             with open(names[-1], "wb") as file:
                 file.write(row.data)
         return names
 
 
-def write(docs: DataFrame, codec: Codec, end_id: int, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, image_bytes: int = IMAGE_BYTES, shard_docs: int = SHARD_DOCS) -> TokenFiles:
-    """Encodes every whole text, appends ``end_id`` and writes images in ascending doc_id order (nulls first, then ties in any order).
+def write(docs: DataFrame, codec: Codec, end_id: int, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, image_bytes: int = IMAGE_BYTES, part_bytes: int = PART_BYTES) -> TokenFiles:
+    """Encodes every whole text, appends ``end_id`` and writes images in ascending doc_id order, nulls first.
 
-    A null text is empty: its document is the end id alone.  An empty table gives no images.  Other columns are dropped.
+    Rows that share an id stand in order of a digest of their texts, so the files do not depend on partitions; equal rows are alike.  A
+    null text is empty: its document is the end id alone.  A very long text is one payload, in an image of its own.  An empty table gives
+    no images.  Ids are integers or texts and keep their type; other columns, whatever their names, are dropped.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
+    if not isinstance(kind, (IntegralType, StringType)):
+        raise TypeError(f"ids are integers or texts, not {kind.simpleString()}")
+    text_ids = isinstance(kind, StringType)
+    wide = "string" if text_ids else "bigint"
+    docs = docs.select(F.col(id_col).cast(wide).alias("doc_id"), F.col(text_col).alias("text"))
     spec = spark.sparkContext.broadcast(codec)
     end = np.array([end_id], codec.dtype).tobytes()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = Worker.of(spec.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([((worker.encode(t) if t else b"") + end)[:SAMPLE_BYTES] for t in batch.column(0).to_pylist()], pa.binary())], ["ids"])
+        for batch in (part for whole in batches for part in parts(whole, 0)):
+            ids = [(worker.encode(t) if t else b"") + end for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([i[k : k + SAMPLE_BYTES] for i in ids for k in range(0, len(i), SAMPLE_BYTES)], pa.binary())], ["ids"])
 
     # a sample for the dictionary alone: the documents with the smallest hash of their id, at most sample_docs of them
-    chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id")).limit(sample_docs)
-    sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text").limit(2 * sample_docs).mapInArrow(packed, "ids binary")
-    dictionary = train(sorted(bytes(r.ids) for r in sample.toLocalIterator()))
-
-    rows = docs.count()
-    shards = max(1, min(SHARDS, -(-rows // shard_docs)))
-    probabilities = [k / shards for k in range(1, shards)]
-    borders = np.unique(np.array(docs.approxQuantile("doc_id", probabilities, 1 / (8 * shards)) if probabilities else [], np.int64))
-    sent = spark.sparkContext.broadcast((codec, dictionary, borders))
+    chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    dictionary = train(sorted(bytes(r.ids) for r in sample.select("text").mapInArrow(packed, "ids binary").toLocalIterator()))
+    sent = spark.sparkContext.broadcast((codec, dictionary))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, dictionary, borders = sent.value
+        codec, dictionary = sent.value
         worker, compress = Worker.of(codec), dictionary.compressor().compress
         for batch in (part for whole in batches for part in parts(whole, 1)):
             ids = [(worker.encode(t) if t else b"") + end for t in batch.column(1).to_pylist()]
-            keys = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.searchsorted(borders, keys, "right").astype(np.int32)), batch.column(0),
-                pa.array([len(i) // codec.width for i in ids], pa.int64()), pa.array(list(map(compress, ids)), pa.binary()),
-            ], ["shard", "doc_id", "n_tokens", "payload"])
+                batch.column(0), batch.column(2), pa.array([len(i) // codec.width for i in ids], pa.int64()), pa.array(list(map(compress, ids)), pa.binary()),
+            ], ["doc_id", "digest", "n_tokens", "payload"])
+        worker.rest()
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, dictionary, _ = sent.value
-        shard, number, before, held = None, 0, 0, ([], [], [])
+        codec, dictionary = sent.value
+        part, number, before, size, held = TaskContext.get().partitionId(), 0, 0, 0, ([], [], [])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal number, before
+            nonlocal number, before, size
             if held[0]:
                 tokens = sum(held[1])
-                data = image(held[0], held[2], held[1], codec.width, dictionary.hash)
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (number, pa.int32()), (len(held[0]), pa.int64()), (tokens, pa.int64()), (before, pa.int64()), (data, pa.binary()))], ["shard", "image", "n_docs", "n_tokens", "tokens_before", "data"])
-                number, before = number + 1, before + tokens
+                data = image(held[0], held[2], held[1], codec.width, dictionary.hash, text_ids)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (number, pa.int32()), (len(held[0]), pa.int64()), (tokens, pa.int64()), (before, pa.int64()), (data, pa.binary()))], ["part", "image", "n_docs", "n_tokens", "tokens_before", "data"])
+                number, before, size = number + 1, before + tokens, 0
                 for x in held:
                     x.clear()
 
-        size = 0
         for batch in batches:
-            for s, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s != shard or size + len(row[2]) > image_bytes:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size + len(row[2]) > image_bytes:
                     yield from flush()
-                    size = 0
-                    if s != shard:
-                        shard, number, before = s, 0, 0
                 for x, y in zip(held, row, strict=True):
                     x.append(y)
                 size += len(row[2])
         yield from flush()
 
-    payloads = docs.mapInArrow(encoded, "shard int, doc_id bigint, n_tokens bigint, payload binary").repartition(shards, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"))
-    written = durable(payloads.mapInArrow(images, "shard int, image int, n_docs bigint, n_tokens bigint, tokens_before bigint, data binary"), "token-files")
-    before, total = {}, 0
-    for shard, n in sorted((r.shard, r.n) for r in written.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()):
-        before[shard] = total
+    payloads = durable(docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(encoded, f"doc_id {wide}, digest bigint, n_tokens bigint, payload binary").withColumn("row", F.monotonically_increasing_id()), "token-payloads")
+    size = payloads.agg(F.sum(F.length("payload")).alias("n")).first().n or 0
+    order = [F.asc_nulls_first("doc_id"), F.asc("digest"), F.asc("row")]
+    dealt = payloads.repartitionByRange(max(1, -(-size // part_bytes)), *order).sortWithinPartitions(*order)
+    written = durable(dealt.select("doc_id", "n_tokens", "payload").mapInArrow(images, "part int, image int, n_docs bigint, n_tokens bigint, tokens_before bigint, data binary"), "token-files")
+    free(payloads)
+    # a row for each range of payloads
+    found, total = [], 0
+    for part, n in sorted((r.part, r.n) for r in written.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):
+        found.append((part, total))
         total += n
-    return TokenFiles(written, dictionary, before)
+    return TokenFiles(written, dictionary, spark.createDataFrame(found, "part int, before bigint"), kind.simpleString())

@@ -544,7 +544,7 @@ def test_token_files_read_back_what_the_library_encodes(spark, tmp_path):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     codec = bpe.Codec.from_json(public_tokenizers.path("byte_bpe_50k.json"))
     rows = corpus(7, 200) + SPECIAL
-    files = token_files.write(frame(spark, rows), codec, 2, image_bytes=500, shard_docs=50)
+    files = token_files.write(frame(spark, rows), codec, 2, image_bytes=500, part_bytes=4000)
     assert files.dictionary.data and files.images.count() > 4
     got = files.documents().collect()
     ids = lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
@@ -564,6 +564,21 @@ def test_token_files_read_back_what_the_library_encodes(spark, tmp_path):
             token_files.Image(file.read(), token_files.Dictionary(b""))
 
 
+def test_token_files_split_hot_ids_and_keep_their_type(spark):
+    codec = bpe.Codec.from_json(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    rows = [("same", prose(rng, 30)) for _ in range(300)] + [(None, prose(rng, 20)) for _ in range(100)] + [("Ünï", None), ("b", "x " * 200_000)]
+    found = []
+    for parts in (2, 5):
+        made = spark.createDataFrame(rows, "doc_id string, text string").repartition(parts).withColumns({"payload": F.lit(1), "part": F.lit(2)})
+        files = token_files.write(made, codec, 2, image_bytes=3000, part_bytes=8000)
+        assert files.images.select("part").distinct().count() > 3
+        found.append(sorted(map(tuple, files.documents().collect()), key=lambda r: r[1]))
+    assert found[0] == found[1] and [r[0] for r in found[0]] == [None] * 100 + ["b"] + ["same"] * 300 + ["Ünï"]
+    with pytest.raises(TypeError):
+        token_files.write(spark.createDataFrame([(1.5, "x")], "doc_id double, text string"), codec, 2)
+
+
 def test_token_files_of_nothing(spark):
     codec = bpe.Codec.from_json(public_tokenizers.path("byte_bpe_50k.json"))
     assert token_files.write(spark.createDataFrame([], SCHEMA), codec, 2).documents().count() == 0
