@@ -55,6 +55,19 @@ def _set(spark: SparkSession, **settings: str) -> Iterator[None]:
             spark.conf.set(names[key], value)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the program ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
+def save(df: DataFrame, path: str, compression: str = "snappy", *partitions: str) -> None:
+    """Writes ``df`` as Parquet; the shuffle files of its plan go at once.  Small row groups bound what a writing task holds."""
+    with _set(df.sparkSession, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true"):
+        df.write.option("parquet.block.size", 32 << 20).option("compression", compression).partitionBy(*partitions).parquet(path)
+
+
 def durable(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows of ``df``, written once as Parquet into the shared folder and read again from there.
 
@@ -64,10 +77,8 @@ def durable(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """
     spark = df.sparkSession
     settle(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written[path] = spark
-    with _set(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true"):
-        df.write.option("parquet.block.size", 32 << 20).option("compression", compression).parquet(path)  # bounds what a writing task holds
+    path = scratch(spark, name)
+    save(df, path, compression)
     made = spark.read.schema(df.schema).parquet(path)
     made._durable_at = path
     return made
@@ -119,6 +130,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc32(text: Column) -> Column:
     """Unsigned CRC-32 of the UTF-8 bytes."""
     return F.crc32(F.encode(text, "utf-8"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.llm import bpe, decontamination, exact_dedup, line_dedup, lm_scoring, near_dedup, sharding, token_counts, token_files, toxicity
-from siftstone.llm.common import table
+from siftstone.llm.common import crc32, durable, settle, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,8 +19,12 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.reshard(spark, f"{sf_dir}/documents.parquet", shards=16)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    settle(spark)
+    path = f"{sf_dir}/documents.parquet"
+    written = sharding.rewrite(spark, path, durable(sharding.reshard(spark, path, shards=16), "shard-plan"), shards=16)
+    rows, text = written.rows(spark, "doc_id", "text"), F.col("text")
+    size, crc = sharding.text_size(text).alias("size"), crc32(F.coalesce(text, F.lit(""))).alias("text_crc32")
+    return rows.select("doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
