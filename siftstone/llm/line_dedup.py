@@ -6,8 +6,9 @@ frequent keys in a cuckoo filter, which takes insertions and deletions, so docum
 
 A filter alone errs on the keep side never, on the drop side rarely.  The counts make it exact: every infrequent key that
 its shard's filter wrongly accepts is found by probing the whole count table, and these exceptions go along with the
-filters.  Filters travel to the tasks only while their measured size is within ``BROADCAST_BYTES``; beyond that, line
-digests are joined with the frequent keys instead, with the same result.
+filters.  Filters travel to the tasks only while their measured size is within ``BROADCAST_BYTES``.  Beyond that, chunks of
+rows ask for their distinct digests where each shard's filter is; what it accepts is checked against the counts and goes back to
+the chunk, with the same result.  A line that most documents have is asked for once a chunk.
 
 A line's key is the line with ``[\\x20\\x09-\\x0D]`` stripped at both ends and A-Z lower-cased; lines end at ``\\n``.  An empty key
 is never counted or dropped.  A null or empty text is one empty line.  Repeated rows count as documents of their own.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import BROADCAST_BYTES, durable
+from siftstone.llm.common import BROADCAST_BYTES, durable, fresh
 from siftstone.llm.textscan import mix, parts
 
 _BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -33,6 +34,8 @@ SLOTS = 4
 PARTIAL = 200_000
 #: Frequent keys of a shard, about.
 SHARD_KEYS = 200_000
+#: Rows of a chunk, and bytes of digests that a task asks one filter for.
+CHUNK_ROWS, ASKED_BYTES = 256, 32 << 20
 
 
 def digest(line: bytes) -> bytes | None:
@@ -186,13 +189,14 @@ class LineIndex:
     def apply(self, docs: DataFrame, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
         """``docs`` with the text's frequent lines taken out, and n_lines (before), n_dropped; other columns stay.
 
-        Input columns of those two names give way.  A null text comes back empty.
+        Input columns of those two names give way.  A null text comes back empty.  A very long text is split whole; repeated rows stay;
+        an empty table stays empty.
         """
         docs = docs.drop("n_lines", "n_dropped")
         size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
         if size <= broadcast_bytes:
             return self._by_filters(docs, text_col)
-        return self._by_join(docs, text_col)
+        return self._by_shards(docs, text_col)
 
     def _by_filters(self, docs: DataFrame, text_col: str) -> DataFrame:
         spark = docs.sparkSession
@@ -225,43 +229,65 @@ class LineIndex:
 
         return docs.mapInArrow(run, _result_schema(docs, text_col))
 
-    def _by_join(self, docs: DataFrame, text_col: str) -> DataFrame:
-        base = durable(docs.withColumn("__row", F.monotonically_increasing_id()), "line-docs")
-
-        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [(r, p, k) for r, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True) for p, line in enumerate((t or b"").split(b"\n")) if (k := digest(line))]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["__row", "pos", "key"])
-
-        lines = base.select("__row", F.col(text_col).cast("string")).mapInArrow(split, "__row bigint, pos int, key binary")
-        hits = lines.join(self.counts.where(F.col("n") >= self.min_docs), "key", "left_semi").groupBy("__row").agg(F.collect_list("pos").alias("__drop"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at, d = batch.schema.names.index(text_col), batch.schema.names.index("__drop")
+    def _by_shards(self, docs: DataFrame, text_col: str) -> DataFrame:
+        chunk, shards = fresh(docs, "chunk"), self.shards
+        base = durable(docs.withColumn(chunk, F.expr(f"monotonically_increasing_id() div {CHUNK_ROWS}")), "line-docs")
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (part for whole in batches for part in parts(whole, 1)):
+                keys: dict[int, set[bytes]] = {}
+                for c, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                    keys.setdefault(c, set()).update(k for line in (text or b"").split(b"\n") if (k := digest(line)))
+                rows = []
+                for c, own in keys.items():
+                    own = sorted(own)
+                    shard = _shard_of(own, shards)
+                    rows += [(int(x), c, b"".join(own[i] for i in np.flatnonzero(shard == x))) for x in np.unique(shard)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["shard", "chunk", "keys"])
+
+        asked = durable(base.select(chunk, F.col(text_col).cast("string")).mapInArrow(ask, "shard int, chunk bigint, keys binary"), "line-asked")
+        most = asked.groupBy("shard").agg(F.sum(F.length("keys")).alias("n")).agg(F.max("n")).first()[0] or 0
+        salts = max(1, -(-most // ASKED_BYTES))
+
+        def accepted(key: tuple, asked: pa.Table, filters: pa.Table) -> pa.Table:
+            found = []
+            if filters.num_rows:
+                known = CuckooFilter.from_bytes(filters.column("filter")[0].as_py())
+                for c, data in zip(asked.column("chunk").to_pylist(), asked.column("keys").to_pylist(), strict=True):
+                    own = [data[i : i + 16] for i in range(0, len(data), 16)]
+                    found += [(c, own[i]) for i in np.flatnonzero(known.contains(own)).tolist()]
+            return pa.table({"chunk": pa.array([c for c, _ in found], pa.int64()), "key": pa.array([k for _, k in found], pa.binary())})
+
+        filters = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = asked.withColumn("salt", F.pmod("chunk", F.lit(salts)).cast("int"))
+        probed = salted.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInArrow(accepted, "chunk bigint, key binary")
+        gone = probed.join(self.counts.where(F.col("n") >= self.min_docs), "key", "left_semi").select(F.col("chunk").alias(chunk), "key")
+
+        def run(rows: pa.Table, gone: pa.Table) -> pa.Table:
+            known, out = set(gone.column("key").to_pylist()), []
+            for batch in rows.drop_columns([chunk]).combine_chunks().to_batches():
+                at = batch.schema.names.index(text_col)
                 lines = [(t or b"").split(b"\n") for t in batch.column(at).cast(pa.binary()).to_pylist()]
-                drop = np.zeros(sum(map(len, lines)), bool)
-                first = 0
-                for doc, gone in zip(lines, batch.column(d).to_pylist(), strict=True):
-                    drop[[first + p for p in gone or ()]] = True
-                    first += len(doc)
-                keep = [i for i, name in enumerate(batch.schema.names) if name not in ("__drop", "__row")]
-                slim = pa.RecordBatch.from_arrays([batch.column(i) for i in keep], [batch.schema.names[i] for i in keep])
-                yield _rebuilt(slim, slim.schema.names.index(text_col), lines, drop)
+                out.append(_rebuilt(batch, at, lines, np.array([digest(x) in known for doc in lines for x in doc], bool)))
+            return pa.Table.from_batches(out)
 
-        return base.join(hits, "__row", "left").select(*docs.columns, "__drop").mapInArrow(run, _result_schema(docs, text_col))
+        return base.groupBy(chunk).cogroup(gone.groupBy(chunk)).applyInArrow(run, _result_schema(docs, text_col))
 
 
 def _result_schema(docs: DataFrame, text_col: str) -> str:
     return ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema) + ", n_lines bigint, n_dropped bigint"
 
 
+def _shard_of(keys: list[bytes], shards: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16)[:, :3].astype(np.int64)
+    return (raw[:, 0] << 16 | raw[:, 1] << 8 | raw[:, 2]) % shards
+
+
 def _probe(filters: dict[int, CuckooFilter], keys: list[bytes], shards: int) -> np.ndarray:
     out = np.zeros(len(keys), bool)
     if not keys or not filters:
         return out
-    raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16)[:, :3].astype(np.int64)
-    shard = (raw[:, 0] << 16 | raw[:, 1] << 8 | raw[:, 2]) % shards
+    shard = _shard_of(keys, shards)
     for s in np.unique(shard).tolist():
         if s in filters:
             at = np.flatnonzero(shard == s)
