@@ -122,19 +122,48 @@ def test_shards_are_even_gapless_and_rewritten(spark, tmp_path):
         by[r.shard].append(r.slot)
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
-    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
-    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == want
-    out = str(tmp_path / "new")
-    affected = sharding.rewrite(spark, path, placed, out)
-    back = spark.read.parquet(out)
-    assert back.columns == ["doc_id", "text", "shard", "shard_"]
-    assert set(affected) == {r.shard_ for r in back.select("shard_").distinct().collect()}
-    assert back.count() == sum(len(by[s]) for s in affected)
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len((t or "").encode()) + 1) for i, t in rows)
+    written = sharding.rewrite(spark, path, placed, 4, str(tmp_path / "new"))
+    back = spark.read.parquet(written.folder)
+    assert back.columns == ["doc_id", "text", "shard", "slot", "shard_"] and set(written.affected) == {r.shard_ for r in back.select("shard_").distinct().collect()}
+    now = written.rows(spark, "doc_id", "text").collect()
+    assert Counter((r.doc_id, r.text) for r in now) == Counter(rows)
+    assert Counter((str(r.doc_id), r.shard, r.slot) for r in now) == Counter((str(r.doc_id), r.shard, r.slot) for r in got)
+
+
+def test_smallest_rows_move_and_even_shards_stay(spark, tmp_path):
+    rng = random.Random(5)
+    files = {0: 30, 1: 10, 2: 20, 3: 20}  # of the 80 rows each of four shards takes 20
+    for k, n in files.items():
+        spark.createDataFrame([(1000 * k + i, "x" * rng.randint(100, 140)) for i in range(n)], SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+        next((tmp_path / f"part{k}").glob("*.parquet")).rename(tmp_path / f"{k}.parquet")
+    path = str(tmp_path / "*.parquet")
+    placed = sharding.reshard(spark, path, 4).persist()
+    got = placed.collect()
+    leaving = sorted(r["size"] for r in got if r.old == 0)[:10]
+    assert sorted(r["size"] for r in got if r.shard != r.old) == leaving and {(r.old, r.shard) for r in got if r.shard != r.old} == {(0, 1)}
+    written = sharding.rewrite(spark, path, placed, 4, str(tmp_path / "new"))
+    assert written.affected == [0, 1]
+    now = written.rows(spark, "doc_id").collect()
+    assert Counter(r.shard for r in now) == dict.fromkeys(range(4), 20) and len({(r.shard, r.slot) for r in now}) == 80
+
+
+def test_files_beyond_the_new_shards_are_one_node(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 2)
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame([(i, "same" if i % 3 else "x" * i) for i in range(90)], SCHEMA).repartition(30).write.parquet(path)
+    seen, solve = [], sharding.solve
+    monkeypatch.setattr(sharding, "solve", lambda blocks, shards: seen.extend(blocks) or solve(blocks, shards))
+    got = sharding.reshard(spark, path, 4).collect()
+    assert {b.old for b in seen} == {0, 1, 2, 3, 4} and sorted(r.doc_id for r in got) == list(range(90))
+    assert sorted(Counter(r.shard for r in got).values()) == [22, 22, 23, 23] and len({(r.shard, r.slot) for r in got}) == 90
 
 
 def test_sharding_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "e"))
-    assert sharding.reshard(spark, str(tmp_path / "e"), 16).count() == 0
+    placed = sharding.reshard(spark, str(tmp_path / "e"), 16)
+    assert placed.count() == 0
+    assert sharding.rewrite(spark, str(tmp_path / "e"), placed, 16).rows(spark, "doc_id").count() == 0
 
 
 # --- 2 line dedup -----------------------------------------------------------------------------------------------------
@@ -161,6 +190,18 @@ def test_line_dedup_matches_brute_force_by_filters_and_by_join(spark, limit):
     assert Counter((i, n, d, t.encode()) for i, t, n, d in rows_of(got)) == lines_brute(LINED, 4)
 
 
+def test_chunks_ask_the_shards_filters(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CHUNK_ROWS", 4)
+    monkeypatch.setattr(line_dedup, "ASKED_BYTES", 64)
+    rows = [*LINED, (50, "Same Line\n" * 500 + "end")]
+    docs = frame(spark, rows).withColumns({"chunk": F.lit("x"), "key": F.lit(1)})
+    got = line_dedup.LineIndex.build(docs, 4, shards=3).apply(docs, broadcast_bytes=0)
+    assert got.columns == ["doc_id", "text", "chunk", "key", "n_lines", "n_dropped"]
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text.encode()) for r in got.collect()) == lines_brute(rows, 4)
+    monkeypatch.setattr(line_dedup.CuckooFilter, "contains", lambda self, digests: np.ones(len(digests), bool))
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text.encode()) for r in got.collect()) == lines_brute(rows, 4)
+
+
 def test_line_index_is_reversible(spark):
     base, more = frame(spark, LINED[:7]), frame(spark, LINED[7:])
     first = line_dedup.LineIndex.build(base, 4)
