@@ -2,15 +2,16 @@
 
 1. One scan gives each text's set of word shingles (64-bit fingerprints), the set's 128-bit digest, its one-permutation
    MinHash of ``bins`` bins (an empty bin borrows from a bin that a hash sequence of its own picks: optimal densification)
-   and from it ``bins / rows`` band keys.  Equal sets become one class, so exact copies never meet as pairs.
+   and from it band keys, of as many bins each as ``similarity`` allows (``band_rows``).  Equal sets become one class, so exact copies never meet as pairs.
 2. Classes that share a band key meet in a bucket.  Each bucket has a hub, the member whose buckets are the largest in sum,
    and only the edges from hub to members become candidates: as many as the bucket has members, whatever its size.  Candidates
    are confirmed on the full sets.
 3. A star alone can lose a link between two members that the hub has no link with.  So the members of buckets that still
    hold more than one component are compared on their full sets, within tasks of two blocks each; what leaves a task is no
-   pair list but the few links that join its components.  No bucket is capped.
+   pair list but the few links that join its components.  A link counts if its ends share a bucket, however the members are
+   dealt out, so results do not depend on sizes.  No bucket is capped.
 
-With 200 bins in bands of 5, two sets of similarity 0.8 share no bucket with a probability of about 10**-7.
+With 200 bins in bands of 5, as for 0.8, two sets of that similarity share no bucket with a probability of about 10**-7.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import BROADCAST_BYTES, durable
+from siftstone.llm.common import durable, fits, free
 from siftstone.llm.components import components
 from siftstone.llm.textscan import mix, parts, shingles, words
 
-BINS, ROWS = 200, 5
-#: Members in a block, and the largest region that is compared as one.
-BLOCK, REGION = 256, 20_000
+BINS, MISSED = 200, 1e-6
+#: Members in a block while a group has at most BLOCKS of them, bytes of sets in one beyond that; regions of more members are dealt out by bucket.
+BLOCK, BLOCKS, BLOCK_BYTES, REGION = 128, 64, 16 << 20, 20_000
 
 
 @functools.lru_cache
@@ -56,7 +57,13 @@ def minhash(ordered: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out
 
 
-def band_keys(minima: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def band_rows(similarity: int, bins: int = BINS, missed: float = MISSED) -> int:
+    """The most rows of a band with which two sets of that similarity (of 100) share no bucket with a probability of at most ``missed``."""
+    fits = [r for r in range(1, bins + 1) if (1 - (similarity / 100) ** r) ** (bins // r) <= missed]
+    return max(fits, default=1)
+
+
+def band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
     table = minima[: len(minima) // rows * rows].reshape(-1, rows)
     keys = mix(np.arange(1, len(table) + 1, dtype=np.uint64))
     for k in range(rows):
@@ -98,7 +105,7 @@ class _Sets:
         size = self.size
         wanted = durable(self.classes.select("node", "doc_id", "set_id").join(nodes, "node", "left_semi"), "near-wanted")
         ids = wanted.select("doc_id").distinct()
-        few = 16 * wanted.count() <= BROADCAST_BYTES
+        few = fits(wanted.select("doc_id"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -126,7 +133,9 @@ class _Sets:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        return durable(joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "near-links")
+        links = durable(joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "near-links")
+        free(sets)
+        return links
 
 
 def _near_size(similarity: int) -> F.Column:
@@ -134,8 +143,8 @@ def _near_size(similarity: int) -> F.Column:
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity
 
 
-def _links_in_block(left: list[np.ndarray], right: list[np.ndarray], same: bool, labels: list[int], similarity: int) -> list[tuple[int, int]]:
-    """Links (x, y) between a left and a right set of different labels, as many as join the labels; ``labels`` is of left, then right.
+def _links_in_block(left: list[np.ndarray], right: list[np.ndarray], same: bool, labels: list[int], similarity: int, meet) -> list[tuple[int, int]]:  # noqa: ANN001
+    """Links (x, y) between a left and a right set of different labels that ``meet``, as many as join the labels; ``labels`` is of left, then right.
 
     The left sets' fingerprints in order are an index; one look-up of a right set gives its intersections with all of them.
     """
@@ -162,7 +171,7 @@ def _links_in_block(left: list[np.ndarray], right: list[np.ndarray], same: bool,
             if same and x >= y:
                 continue
             p, q = root(labels[x]), root(labels[y if same else len(left) + y])
-            if p != q:
+            if p != q and meet(x, y):
                 parent[p] = q
                 found.append((x, y))
     return found
@@ -172,45 +181,55 @@ def _open_links(sets: _Sets, multi: DataFrame, roots: DataFrame, similarity: int
     """Links (a, b) between different components whose members meet in a bucket.
 
     Classes that meet directly or over others in such buckets form a region; its members are compared within it, in pairs of
-    blocks, each set sent once for each block of its region.  A region of more than ``REGION`` classes is dealt out by its buckets.
+    blocks, each set sent once for each block of its region.  A region of more than ``REGION`` classes is dealt out by its buckets,
+    with the same links.
     """
-    labelled = multi.where("c > 2").join(roots, "node", "left").select("bucket", "c", "node", F.coalesce("root", "node").alias("root"))
+    labelled = multi.where("c > 2").join(roots, "node", "left").select("bucket", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
     labelled = durable(labelled, "near-labelled")
     mixed = durable(labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("hub")).where("low <> high"), "near-mixed")
     open_ = durable(labelled.join(mixed.select("bucket", "hub"), "bucket"), "near-open")
     regions = components(open_.select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "region")
     regions = durable(regions, "near-regions")
-    sized = regions.join(durable(regions.groupBy("region").agg(F.count(F.lit(1)).alias("m")), "near-region-sizes"), "region")
-    placed = durable(open_.join(sized, "node"), "near-regions")
-    whole = placed.where(F.col("m") <= REGION).select(F.lit(0).alias("kind"), F.col("region").alias("g"), "m", "node", "root").distinct()
-    large = placed.where(F.col("m") > REGION).select(F.lit(1).alias("kind"), F.col("bucket").alias("g"), F.col("c").alias("m"), "node", "root")
-    found = durable(sets.of(placed.select("node").distinct()), "near-open-sets")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = whole.unionByName(large).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    nodes = durable(open_.groupBy("node").agg(F.min("root").alias("root"), F.min("n_shingles").alias("n"), F.collect_set("bucket").alias("buckets")).join(regions, "node"), "near-nodes")  # a node has as many buckets as bands
+    large = nodes.join(durable(nodes.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > REGION), "near-large-regions"), "region", "left")
+    # kind 0: by region; kind 1: by bucket
+    groups = F.when(F.col("m").isNull(), F.array("region")).otherwise(F.col("buckets"))
+    placed = durable(large.select(F.col("m").isNotNull().cast("int").alias("kind"), F.explode(groups).alias("g"), "node", "root", "n"), "near-placed")
+    size = durable(placed.groupBy("kind", "g").agg(F.count(F.lit(1)).alias("m"), (8 * F.sum("n")).alias("bytes")), "near-sizes")
+    blocks = F.greatest(F.least(F.ceil(F.col("m") / BLOCK), F.lit(BLOCKS)), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = placed.join(size.select("kind", "g", blocks.alias("blocks")), ["kind", "g"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    found = durable(sets.of(nodes.select("node")).join(nodes.select("node", "buckets"), "node"), "near-open-sets")
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("kind", "g", "i", "j", "own", "node", "root").join(found, "node")
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         i, j = key[2].as_py(), key[3].as_py()
         node, root, own = (group.column(c).to_numpy() for c in ("node", "root", "own"))
         data = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+        buckets = group.column("buckets")
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         links = []
         if len(left) and len(right):
             labels = [*root[left].tolist(), *(root[right].tolist() if i != j else ())]
-            links = _links_in_block([data[k] for k in left], [data[k] for k in right], i == j, labels, similarity)
+            meet = lambda x, y: not set(buckets[int(left[x])].as_py()).isdisjoint(buckets[int(right[y])].as_py())
+            links = _links_in_block([data[k] for k in left], [data[k] for k in right], i == j, labels, similarity, meet)
         return pa.table({"a": pa.array([node[left[x]] for x, _ in links], pa.int64()), "b": pa.array([node[right[y]] for _, y in links], pa.int64())})
 
-    return durable(dealt.groupBy("kind", "g", "i", "j").applyInArrow(run, "a bigint, b bigint"), "near-open-links")
+    links = durable(dealt.groupBy("kind", "g", "i", "j").applyInArrow(run, "a bigint, b bigint"), "near-open-links")
+    free(labelled, mixed, open_, regions, nodes, placed, size, found)
+    return links
 
 
-def near_groups(docs: DataFrame, size: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, rows: int = ROWS) -> DataFrame:
+def near_groups(docs: DataFrame, size: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, rows: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * intersection >= ``similarity`` * union of their sets of ``size``-word shingles.  component_id is the
     smallest doc_id reachable; kept marks the document with that id.  A text without words is linked with nothing.
     A row without id is linked with nothing and kept, with a null component.  Rows with one id count as that document, each
-    with its own text.  Other columns are not read; an empty table gives an empty result.
+    with its own text.  A very long text's set is held whole in one task.  Ids are of any type with an order; other columns, whatever
+    their names, are not read; an empty table gives an empty result.
     """
+    rows = rows or band_rows(similarity, bins)
     found = durable(signatures(docs, id_col, text_col, size, bins, rows).withColumn("row", F.monotonically_increasing_id()), "near-signatures")
     linked = F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()
     first = F.struct("doc_id", "row")
@@ -234,6 +253,7 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: int = 80, id_col: st
     more = _open_links(sets, multi, roots, similarity)
     if not more.isEmpty():
         roots = durable(components(links.unionByName(more)), "near-roots")
+    free(several, multi, hubs, edges, links, more)
 
     rooted = durable(classes.select("node", "set_id", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
     least = durable(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "near-least")
