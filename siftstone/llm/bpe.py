@@ -251,8 +251,8 @@ def character_offsets(text: bytes, token_bytes: np.ndarray) -> tuple[np.ndarray,
 def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
     """One row for each row of ``docs``: id, n_tokens long, ids binary; with ``offsets`` also starts and ends (characters).
 
-    A null text is an empty one and has no tokens.  Rows keep their number, null and repeated ids included; other
-    columns are dropped.
+    A null text is an empty one and has no tokens; a very long one is encoded whole.  Rows keep their number, null and repeated ids and
+    equal rows included; ids are of any type; other columns, whatever their names, are dropped; an empty table gives an empty result.
     """
     spec = docs.sparkSession.sparkContext.broadcast(codec)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -296,7 +296,7 @@ _DECODED = "ids binary, n_tokens bigint, ids_text string, decoded binary"
 
 
 def decode(tokens: DataFrame, codec: Codec, id_col: str = "doc_id") -> DataFrame:
-    """From packed ids: id, ids, n_tokens, ids_text (decimal ids joined by one space), decoded binary."""
+    """From packed ids: id, ids, n_tokens, ids_text (decimal ids joined by one space), decoded binary.  Null ids decode to nothing."""
     spec = tokens.sparkSession.sparkContext.broadcast(codec)
     kind = tokens.schema[id_col].dataType.simpleString()
 
@@ -309,7 +309,10 @@ def decode(tokens: DataFrame, codec: Codec, id_col: str = "doc_id") -> DataFrame
 
 
 def round_trip(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``decode(encode(docs))`` in one worker a task, the decoder seeing the packed ids alone."""
+    """``decode(encode(docs))`` in one worker a task, the decoder seeing the packed ids alone.
+
+    Null, empty and very long texts, null and repeated ids, equal rows, other columns and empty tables are treated as by ``encode``.
+    """
     spec = docs.sparkSession.sparkContext.broadcast(codec)
     kind = docs.schema[id_col].dataType.simpleString()
 

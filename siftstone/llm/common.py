@@ -138,6 +138,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def sampled(docs: DataFrame, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text) of the ``most`` ids with the smallest hash; of rows that share an id the text with the smallest hash.  Null ids are none."""
+    ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull()).distinct().orderBy(F.xxhash64("id"), "id").limit(most)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    return rows.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text")
+
+
 def crc32(text: Column) -> Column:
     """Unsigned CRC-32 of the UTF-8 bytes."""
     return F.crc32(F.encode(text, "utf-8"))

@@ -2,7 +2,7 @@
 
 Tier one is a broadcast table of the token lengths of frequent pre-tokens.  Tier two is a bounded cache in each worker,
 which asks the tokenizer library for every pre-token the table lacks.  The table comes from a bounded sample of
-documents (the ``sample_docs`` with the smallest hash of their id) and changes speed only: with any table, or none, each
+documents (the ``sample_docs`` ids with the smallest hash, whole texts) and changes speed only: with any table, or none, each
 pre-token has the length that the library gives it.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm.bpe import Codec, Memo, Worker
+from siftstone.llm.common import sampled
 from siftstone.llm.textscan import parts
 
 SAMPLE_DOCS = 1000
@@ -78,11 +79,8 @@ def frequent_lengths(docs: DataFrame, codec: Codec, id_col: str, text_col: str,
     """Token lengths of the frequent pre-tokens of a bounded sample of documents."""
     if not sample_docs or not codec.by_pretoken:
         return {}
-    ids = docs.select(id_col).where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col)).limit(sample_docs)
-    # a long text counts by its first 20,000 characters here, which only a table that changes no result sees
-    texts = docs.join(F.broadcast(ids.distinct()), id_col, "left_semi").select(F.substring(text_col, 1, 20_000).alias("t")).limit(4 * sample_docs)
     worker, seen = Worker(codec), Counter()
-    for (text,) in texts.toLocalIterator():
+    for (text,) in sampled(docs, sample_docs, id_col, text_col).toLocalIterator():
         seen.update(worker.find(text or ""))
     special = set(worker.special)
     return {p: len(worker.merged(p)) for p, n in seen.most_common(table) if n > 1 and p not in special}
@@ -91,8 +89,9 @@ def frequent_lengths(docs: DataFrame, codec: Codec, id_col: str, text_col: str,
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """One row for each row of ``docs``: id, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit`` tokens).
 
-    ``path``: a tokenizer file.  A null text is empty: 0 bytes, 0 tokens.  Null and repeated ids keep their rows; other
-    columns are dropped.
+    ``path``: a tokenizer file.  A null text is empty: 0 bytes, 0 tokens.  Null and repeated ids and equal rows keep their rows; a very
+    long text is counted whole; ids are of any type; other columns, whatever their names, are dropped; an empty table gives an empty
+    result.
     """
     spec = load(path)
     frequent = frequent_lengths(docs, spec, id_col, text_col, sample_docs) if isinstance(spec, Codec) else {}
@@ -107,5 +106,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
     n_bytes = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint").alias("n_bytes")
-    counted = docs.select(id_col, text_col, n_bytes).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint")
+    counted = docs.select(F.col(id_col), F.col(text_col), n_bytes).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StringType
 
 from siftstone.llm.bpe import Codec, Worker
-from siftstone.llm.common import durable, free
+from siftstone.llm.common import durable, free, sampled
 from siftstone.llm.textscan import parts
 
 MAGIC, VERSION = b"SFTK", 2
@@ -193,10 +193,8 @@ def write(docs: DataFrame, codec: Codec, end_id: int, id_col: str = "doc_id", te
             ids = [(worker.encode(t) if t else b"") + end for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([i[k : k + SAMPLE_BYTES] for i in ids for k in range(0, len(i), SAMPLE_BYTES)], pa.binary())], ["ids"])
 
-    # a sample for the dictionary alone: the documents with the smallest hash of their id, at most sample_docs of them
-    chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    dictionary = train(sorted(bytes(r.ids) for r in sample.select("text").mapInArrow(packed, "ids binary").toLocalIterator()))
+    sample = sampled(docs, sample_docs).mapInArrow(packed, "ids binary")
+    dictionary = train(sorted(bytes(r.ids) for r in sample.toLocalIterator()))
     sent = spark.sparkContext.broadcast((codec, dictionary))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
