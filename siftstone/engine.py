@@ -69,7 +69,7 @@ class Engine:
         ranked = dense.select("qid", "id", "rank")
         if v.hybrid and found.size:
             keys = found.chunks.select("id", T.content_key(F.col("content")).alias("key"))
-            sparse = retrieve.bm25(found.postings, questions, k, c.bm25_k1, c.bm25_b)
+            sparse = retrieve.bm25(found.chunks, found.terms, questions, k, c.bm25_k1, c.bm25_b, text_col="content")
             ranked = retrieve.fuse([(ranked.join(keys, "id"), v.dense), (sparse.join(keys, "id"), v.sparse)], k, c.rrf_c).select("qid", "id", "rank")
         return ranked.join(found.chunks, "id")
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftstone.operators.retrieve import blocks_of
+
 
 @dataclass(frozen=True)
 class Variant:
@@ -21,7 +25,7 @@ class Variant:
 
 
 def ablations(mmr_lambda: float = 1.0) -> list[Variant]:
-    """The seven retrievers over one shared index; ``mmr_lambda`` serves those that name none."""
+    """The seven retrievers over one shared index, fixed values; ``mmr_lambda`` serves those that name none."""
     return [
         Variant("dense-only", False, False),
         Variant("dense+mmr", False, True, mmr_lambda),
@@ -44,15 +48,15 @@ def is_relevant(source: Column, content: Column, relevant_sources: Column, must_
     return F.coalesce(place & phrase, F.lit(False))
 
 
-def per_question(ranked: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qid, hit, first_rank, reciprocal, precision) for every question from ranked (qid, rank, relevant); no rows, no hit.
+def per_question(ranked: DataFrame, questions: DataFrame, *keys: str) -> DataFrame:
+    """(keys, qid, hit, first_rank, reciprocal, precision) for every question from ranked (keys, qid, rank, relevant); no rows, no hit.
 
     Precision divides by the rows returned.
     """
     first = F.min(F.when(F.col("relevant"), F.col("rank")))
-    got = ranked.groupBy("qid").agg(first.alias("first"), F.avg(F.col("relevant").cast("double")).alias("precision"))
-    return questions.select("qid").join(got, "qid", "left").select(
-        "qid", F.col("first").isNotNull().alias("hit"), F.coalesce("first", F.lit(0)).alias("first_rank"),
+    got = ranked.groupBy(*keys, "qid").agg(first.alias("first"), F.avg(F.col("relevant").cast("double")).alias("precision"))
+    return questions.select(*keys, "qid").join(got, [*keys, "qid"], "left").select(
+        *keys, "qid", F.col("first").isNotNull().alias("hit"), F.coalesce("first", F.lit(0)).alias("first_rank"),
         F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal"), F.coalesce("precision", F.lit(0.0)).alias("precision"),
     )
 
@@ -90,15 +94,49 @@ def report(results: DataFrame) -> DataFrame:
 def suffix_matches(questions: DataFrame, sources: DataFrame) -> DataFrame:
     """(qid, source): the sources that end with a relevant suffix of the question.
 
-    A suffix holds the whole base name or its end: those with a directory part join on the base name; the few that have none
-    are compared with each distinct source, questions sent around.
+    An equi-join: each distinct source has one ending for each length that suffixes have, which are few.
     """
     wanted = questions.select("qid", F.explode("relevant_sources").alias("suffix")).distinct()
-    base = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
-    named = sources.select("source").distinct().withColumn("base", base("source"))
-    full = wanted.where(F.contains("suffix", F.lit("/"))).withColumn("base", base("suffix")).join(named, "base").where(F.endswith("source", F.col("suffix")))
-    part = named.join(F.broadcast(wanted.where(~F.contains("suffix", F.lit("/")))), F.endswith("source", F.col("suffix")))
-    return full.select("qid", "source").unionByName(part.select("qid", "source")).distinct()
+    lengths = wanted.agg(F.collect_set(F.length("suffix")).alias("lengths"))
+    endings = sources.select("source").distinct().crossJoin(F.broadcast(lengths)).withColumn("n", F.explode("lengths")).where(F.col("n") <= F.length("source"))
+    named = endings.select("source", F.expr("right(source, n)").alias("suffix"))
+    return named.join(wanted, "suffix").select("qid", "source").distinct()
+
+
+def holders(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(qid, source): the documents (source, content) that hold a phrase (qid, phrase) as it stands; blank phrases are in none.
+
+    The phrases go to all tasks in blocks; each text is searched once for all phrases of a block.
+    """
+    spark, out = docs.sparkSession, None
+    for own in blocks_of(phrases.where("qid is not null and phrase <> ''"), F.octet_length("phrase") + 64):
+        by_phrase: dict[str, list[int]] = {}
+        for row in own.select(F.col("qid").cast("bigint"), "phrase").toLocalIterator():
+            by_phrase.setdefault(row.phrase, []).append(row.qid)
+        sent = spark.sparkContext.broadcast(by_phrase)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            find = _finder(sent.value)
+            for batch in batches:
+                hits = [(q, source) for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for q in find(text or "")]
+                yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in hits], pa.int64()), pa.array([s for _, s in hits], pa.string())], ["qid", "source"])
+
+        part = docs.select("source", "content").mapInArrow(run, "qid bigint, source string")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], "qid bigint, source string")
+
+
+def _finder(by_phrase: dict[str, list[int]]) -> Callable[[str], list[int]]:
+    """A function that gives the questions whose phrase a text holds, each once."""
+    try:
+        from ahocorasick import Automaton
+    except ImportError:
+        return lambda text: [q for phrase, qids in by_phrase.items() if phrase in text for q in qids]
+    automaton = Automaton()
+    for phrase, qids in by_phrase.items():
+        automaton.add_word(phrase, qids)
+    automaton.make_automaton()
+    return lambda text: list({q for _, qids in automaton.iter(text) for q in qids})
 
 
 def unreachable(questions: DataFrame, sources: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The index as a directory of Parquet tables: chunks, vectors, term frequencies, lengths, term weights, metadata.
+"""The index as a directory of Parquet tables: chunks, vectors, term counts, metadata.
 
 An index is built beside its place and takes it over at the end, so a failed build leaves the old one serving.
 """
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from siftstone.config import EngineConfig
 from siftstone.operators import embed
-from siftstone.operators.retrieve import Postings, bm25_index
-from siftstone.sources.tables import exists, scratch
+from siftstone.operators.retrieve import Terms, bm25_terms, terms_of
+from siftstone.sources.tables import exists, free, ranked, scratch
 
 
 class IndexMissing(FileNotFoundError):
@@ -31,7 +31,7 @@ class Index:
 
     chunks: DataFrame
     vectors: DataFrame
-    postings: Postings
+    terms: Terms
     meta: dict
 
     @property
@@ -52,8 +52,8 @@ def _move(spark: SparkSession, old: str, new: str) -> None:
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with id: a 63-bit hash of source and place, the same in every build and without a global sort."""
-    return chunks.withColumn("id", F.shiftrightunsigned(F.xxhash64("source", "chunk_index"), 1))
+    """``chunks``, written, with id: their rank by source and place, so ids are unique and in that order at any size."""
+    return ranked(chunks, [F.asc_nulls_first("source"), F.asc("chunk_index"), F.asc("chunk_id")], "numbered-chunks", "id")
 
 
 def fill_cache(spark: SparkSession, chunks: DataFrame, config: EngineConfig, make, cache: str) -> DataFrame:  # noqa: ANN001
@@ -70,7 +70,9 @@ def build_index(chunks: DataFrame, path: str, config: EngineConfig | None = None
     config = config or EngineConfig()
     make = make or (lambda dim=config.embed_dim, unit=config.embed_normalize: embed.HashingEmbedder(dim, unit))
     spark, work = chunks.sparkSession, f"{path.rstrip('/')}.building-{uuid.uuid4().hex}"
-    numbered(chunks).write.parquet(f"{work}/chunks")
+    made = numbered(chunks)
+    made.write.parquet(f"{work}/chunks")
+    free(made)
     rows = spark.read.parquet(f"{work}/chunks")
     vectors = fill_cache(spark, rows, config, make, cache or scratch(spark, "cache"))
     attached = embed.attach_vectors(rows.select("id", "content"), vectors)
@@ -79,12 +81,9 @@ def build_index(chunks: DataFrame, path: str, config: EngineConfig | None = None
     missing = written.where("vector is null").count()
     if missing:
         raise ValueError(f"{missing} chunks have no vector")
-    postings = bm25_index(rows, "id", "content", config.bm25_epsilon)
-    postings.tf.write.parquet(f"{work}/tf")
-    postings.lengths.write.parquet(f"{work}/lengths")
-    postings.idf.write.parquet(f"{work}/idf")
+    terms = bm25_terms(rows, "content", config.bm25_epsilon, f"{work}/terms")
     dim = written.select(F.max(F.size("vector"))).first()[0] or 0
-    meta = (config.embed_provider, config.chat_provider, config.embedding_model, config.chunk_size, config.chunk_overlap, rows.count(), dim, postings.average)
+    meta = (config.embed_provider, config.chat_provider, config.embedding_model, config.chunk_size, config.chunk_overlap, terms.documents, dim, terms.average)
     names = "embed_provider string, chat_provider string, embedding_model string, chunk_size int, chunk_overlap int, chunk_count bigint, dim int, avgdl double"
     spark.createDataFrame([meta], names).withColumn("built_at", F.current_timestamp()).write.json(f"{work}/meta")
     _move(spark, work, path.rstrip("/"))
@@ -104,4 +103,4 @@ def open_index(spark: SparkSession, path: str, config: EngineConfig | None = Non
     if config and config.embed_provider == "hashing" and meta["dim"] not in (0, config.embed_dim):
         raise IndexMismatch(f"the index has vectors of {meta['dim']} dimensions, not {config.embed_dim}; build it anew")
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return Index(read("chunks"), read("vectors"), Postings(read("tf"), read("lengths"), read("idf"), meta["avgdl"]), meta)
+    return Index(read("chunks"), read("vectors"), terms_of(read("terms"), (config or EngineConfig()).bm25_epsilon), meta)

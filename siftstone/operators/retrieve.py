@@ -5,19 +5,22 @@ Every ranking breaks ties by the id.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions import text as T
+from siftstone.sources.tables import durable
 
-#: Questions whose vectors one task holds at once.
-MOST_QUERIES = 10_000
+#: Bytes of the questions that one task holds, questions and scores it makes at once, terms it counts before it hands them on.
+BLOCK_BYTES, ROWS, CELLS, PARTIAL = 32 << 20, 512, 4_000_000, 500_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -48,21 +51,47 @@ def _distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return 1 - np.divide((a * b).sum(axis=1), norms, out=np.zeros(len(a)), where=norms > 0)
 
 
+def blocks_of(questions: DataFrame, size: Column) -> list[DataFrame]:
+    """``questions`` (qid, ...) in blocks of about BLOCK_BYTES, by the ``size`` of a row in bytes; no block if there are none."""
+    total = questions.agg(F.sum(size.cast("bigint"))).first()[0]
+    if not total:
+        return []
+    n = -(-total // BLOCK_BYTES)
+    return [questions.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == k) if n > 1 else questions for k in range(n)]
+
+
+def _best(qid: np.ndarray, ids: np.ndarray, costs: np.ndarray, k: int, name: str, exact) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """For each question (row of ``costs``) its k cheapest ids of the batch, ties by id; ``exact`` gives the costs of candidates."""
+    edge = np.partition(costs, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+    rows, at = np.nonzero((costs <= edge[:, None] + 1e-6) & np.isfinite(costs))
+    d = exact(rows, at)
+    order = np.lexsort((ids[at], d, rows))
+    rows, at, d = rows[order], at[order], d[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    yield pa.RecordBatch.from_arrays([pa.array(qid[rows[keep]]), pa.array(ids[at[keep]]), pa.array(d[keep])], ["qid", "id", name])
+
+
+def _ranked(spark: SparkSession, found: list[DataFrame], k: int, name: str, order: Column) -> DataFrame:
+    """The k best of all batches' own; a few rows a question, which joins send to the other side."""
+    if not found:
+        return spark.createDataFrame([], f"qid bigint, id bigint, {name} double, rank int")
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return top_ranked(out, k, order, F.asc("id"))
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", not_itself: bool = False) -> DataFrame:
     """(qid, id, distance, rank): the ``k`` nearest of ``vectors`` (id long, vector) to each of ``queries`` (qid long, vector).
 
     The question side is sent to all tasks in blocks of a bounded size; each Arrow batch is one matrix product and hands on
     its own k best for each question, ranked by exact distances.  Distances are rounded to 9 places before they rank.  metric: l2 or cosine.
     """
-    spark, found, number = vectors.sparkSession, [], queries.count()
+    spark, found = vectors.sparkSession, []
     base = vectors.select(F.col("id").cast("bigint"), "vector").where("id is not null and vector is not null")
     asked = queries.select(F.col("qid").cast("bigint"), "vector").where("qid is not null and vector is not null")
-    blocks = max(1, -(-number // MOST_QUERIES))
-    for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block) if blocks > 1 else asked
+    for own in blocks_of(asked, 8 * F.size("vector") + 16):
         rows = own.toArrow()
-        if not rows.num_rows:
-            continue
         sent = spark.sparkContext.broadcast((rows.column(0).to_numpy(), _vectors(rows.column(1).combine_chunks())))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
@@ -71,28 +100,17 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", not_
                 if not batch.num_rows:
                     continue
                 ids, v = batch.column(0).to_numpy(), _vectors(batch.column(1))
-                for first in range(0, len(qid), 512):
-                    some = q[first : first + 512]
+                for first in range(0, len(qid), ROWS):
+                    some = q[first : first + ROWS]
                     rough = (v**2).sum(1) - 2 * some @ v.T if metric == "l2" else -(some @ v.T) * np.divide(1, norms := np.linalg.norm(v, axis=1), out=np.zeros(len(v)), where=norms > 0)
                     if not_itself:
-                        rough[qid[first : first + 512, None] == ids] = np.inf
+                        rough[qid[first : first + ROWS, None] == ids] = np.inf
                     # what the rounding of a matrix product may have put in another order is ranked by exact distances
-                    edge = np.partition(rough, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
-                    rows, at = np.nonzero((rough <= edge[:, None] + 1e-6) & np.isfinite(rough))
-                    d = np.round(_distance(some[rows], v[at], metric), 9)
-                    order = np.lexsort((ids[at], d, rows))
-                    rows, at, d = rows[order], at[order], d[order]
-                    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-                    rows, at, d = rows[keep], at[keep], d[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[first + rows]), pa.array(ids[at]), pa.array(d)], ["qid", "id", "distance"])
+                    exact = lambda rows, at, some=some, v=v: np.round(_distance(some[rows], v[at], metric), 9)
+                    yield from _best(qid[first : first + ROWS], ids, rough, k, "distance", exact)
 
         found.append(base.mapInArrow(run, "qid bigint, id bigint, distance double"))
-    if not found:
-        return spark.createDataFrame([], "qid bigint, id bigint, distance double, rank int")
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return top_ranked(out, k, F.asc("distance"), F.asc("id"))
+    return _ranked(spark, found, k, "distance", F.asc("distance"))
 
 
 def mmr(candidates: DataFrame, k: int, weight: float) -> DataFrame:
@@ -123,54 +141,160 @@ def mmr(candidates: DataFrame, k: int, weight: float) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Postings:
-    """Term frequencies (term, id, tf), document lengths (id, dl), and term weights (term, df, idf)."""
+class Terms:
+    """What BM25 knows of a corpus: term weights (term, df, total, idf), the number of documents, their mean length."""
 
-    tf: DataFrame
-    lengths: DataFrame
     idf: DataFrame
+    documents: int
     average: float
 
 
-def bm25_index(docs: DataFrame, id_col: str = "id", text_col: str = "text", epsilon: float = 0.25) -> Postings:
-    """Okapi weights; a negative idf becomes ``epsilon`` times the mean idf of all terms.  Documents count with all their tokens, none too."""
-    lengths = docs.select(F.col(id_col).alias("id"), F.size(T.tokens(F.col(text_col))).alias("dl")).withColumn("dl", F.greatest("dl", F.lit(0)))
-    tf = docs.select(F.col(id_col).alias("id"), F.explode(T.tokens(F.col(text_col))).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
-    size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    raw = F.log((F.lit(size.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("raw", raw)
-    mean = terms.agg(F.avg("raw").alias("mean"))
-    idf = terms.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Postings(tf, lengths, idf, float(size.avgdl or 0))
+def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, df, total): documents with each term, and its occurrences; of the null term the documents and tokens in all.
+
+    Counts are added up in each task before they are shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, df, total = re.compile(T.TOKEN).findall, Counter(), Counter()
 
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([df[t] for t in total], pa.int64()), pa.array(list(total.values()), pa.int64())], ["term", "df", "total"])
+            df.clear()
+            total.clear()
+            return out
 
-def bm25_scores(index: Postings, questions: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(qid, id, score) of documents that share a term with the question; a term counts as often as the question has it."""
-    asked = questions.select("qid", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    terms = asked.join(index.idf, "term")
-    hits = index.tf.join(terms, "term").join(index.lengths, "id")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / index.average))
-    return hits.groupBy("qid", "id").agg(F.round(F.sum(part), 9).alias("score"))
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = tokens(text or "")
+                counts = Counter(found)
+                df.update(counts.keys())
+                total.update(counts)
+                df[None] += 1
+                total[None] += len(found)
+                if len(total) >= PARTIAL:
+                    yield flush()
+        if total:
+            yield flush()
 
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term string, df bigint, total bigint")
+    return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
-def bm25(index: Postings, questions: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(qid, id, score, rank): the best ``k``, filled up with documents of score 0 in order of id, as a full ranking would give them.
 
-    No question can need more fillers than k, and negative scores rank after them; so a question takes its k best scores
-    and, as fillers, unmatched documents from the first ids alone, not from a cross product.
+def bm25_terms(docs: DataFrame, text_col: str = "text", epsilon: float = 0.25, path: str | None = None) -> Terms:
+    """Okapi weights; a negative idf becomes ``epsilon`` times the mean idf of all terms.  Documents count with all their tokens, none too.
+
+    One pass over the documents, whose counts are written (to ``path``, if given); what reaches the driver are sums.
     """
-    scored = bm25_scores(index, questions, k1, b)
-    reach = scored.groupBy("qid").agg(F.count(F.lit(1)).alias("matched"))
-    short = questions.select("qid").join(reach, "qid", "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
-    positive = scored.where("score > 0").groupBy("qid").agg(F.count(F.lit(1)).alias("positive"))
-    short = short.join(positive, "qid", "left").where(F.coalesce("positive", F.lit(0)) < k).select("qid", "matched")
-    first = F.row_number().over(Window.orderBy("id"))
-    most = short.agg(F.max("matched")).first()[0]
-    if most is None:
-        return top_ranked(scored, k, F.desc("score"), F.asc("id"))
-    heads = index.lengths.select("id").orderBy("id").limit(int(most) + k).withColumn("n", first).select("id", "n")
-    fillers = short.join(F.broadcast(heads), F.col("n") <= F.col("matched") + k).select("qid", "id").join(scored, ["qid", "id"], "left_anti").withColumn("score", F.lit(0.0))
-    return top_ranked(scored.unionByName(fillers), k, F.desc("score"), F.asc("id"))
+    spark = docs.sparkSession
+    if path:
+        term_counts(docs, text_col).write.parquet(path)
+        counts = spark.read.parquet(path)
+    else:
+        counts = durable(term_counts(docs, text_col), "term-counts")
+    return terms_of(counts, epsilon)
+
+
+def terms_of(counts: DataFrame, epsilon: float = 0.25) -> Terms:
+    """Term weights from written counts."""
+    whole = counts.where("term is null").first()
+    n, tokens = (whole.df, whole.total) if whole else (0, 0)
+    own = counts.where("term is not null").withColumn("raw", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean = own.agg(F.avg("raw")).first()[0] or 0.0
+    return Terms(own.select("term", "df", "total", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf")), n, tokens / n if n else 0.0)
+
+
+@dataclass(frozen=True)
+class _Asked:
+    """A block of questions as a sparse matrix: each term's questions and its weight there."""
+
+    qids: np.ndarray
+    number: dict[str, int]
+    at: np.ndarray
+    question: np.ndarray
+    weight: np.ndarray
+
+    @staticmethod
+    def of(questions: DataFrame, terms: Terms) -> _Asked:
+        """From ``questions`` (qid, question), few enough for a task; their terms and weights pass through the driver."""
+        asked = questions.select("qid", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
+        weighted = F.broadcast(asked).join(terms.idf, "term").select(F.col("qid").cast("bigint"), "term", (F.col("times") * F.col("idf")).alias("w")).toArrow()
+        qids = np.sort(questions.select(F.col("qid").cast("bigint")).toArrow().column(0).to_numpy())
+        coded = weighted.column("term").combine_chunks().dictionary_encode()
+        term = coded.indices.to_numpy()
+        order = np.argsort(term, kind="stable")
+        at = np.searchsorted(term[order], np.arange(len(coded.dictionary) + 1))
+        return _Asked(qids, {t: i for i, t in enumerate(coded.dictionary.to_pylist())}, at, np.searchsorted(qids, weighted.column("qid").to_numpy()[order]), weighted.column("w").to_numpy()[order])
+
+    def scores(self, term: list[int], doc: list[int], part: list[float], docs: int) -> np.ndarray:
+        """Questions times documents: the sums of ``part`` (of a term in a document) times the term's weights."""
+        term, n = np.array(term, np.int64), len(self.qids)
+        each = self.at[term + 1] - self.at[term]
+        place = np.repeat(self.at[term] - np.concatenate([[0], np.cumsum(each)[:-1]]).astype(np.int64), each) + np.arange(each.sum())
+        cell = self.question[place] * docs + np.repeat(np.array(doc, np.int64), each)
+        return np.bincount(cell, self.weight[place] * np.repeat(np.array(part, np.float64), each), n * docs).reshape(n, docs).round(9)
+
+
+class _Running:
+    """The k cheapest ids of each question so far, ties by id."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.cost, self.ids, self.k = np.full((n, k), np.inf), np.zeros((n, k), np.int64), k
+        self.held: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, ids: np.ndarray, costs: np.ndarray) -> None:
+        row, at = np.nonzero(costs <= self.cost[:, -1:])
+        self.held.append((row, ids[at], costs[row, at]))
+        if sum(len(x[0]) for x in self.held) >= self.cost.size:
+            self.merge()
+
+    def merge(self) -> None:
+        there = np.isfinite(self.cost)
+        row, ids, cost = (np.concatenate(x) for x in zip((np.nonzero(there)[0], self.ids[there], self.cost[there]), *self.held, strict=True))
+        order = np.lexsort((ids, cost, row))
+        row, ids, cost = row[order], ids[order], cost[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        best = place < self.k
+        self.cost.fill(np.inf)
+        self.cost[row[best], place[best]], self.ids[row[best], place[best]] = cost[best], ids[best]
+        self.held.clear()
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.merge()
+        row, place = np.nonzero(np.isfinite(self.cost))
+        return row, self.ids[row, place], self.cost[row, place]
+
+
+def bm25(docs: DataFrame, terms: Terms, questions: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(qid, id, score, rank): the best ``k`` documents of each question, by score and then id.
+
+    Documents that share no term with a question have score 0 and rank with the others, before negative scores.  A term counts as often as
+    the question has it.  The questions' terms go to all tasks in blocks of questions, so documents meet them where they are read,
+    and each task hands on its own k best for each question: no postings and no scores are shuffled.
+    """
+    spark, found, average = docs.sparkSession, [], terms.average or 1.0
+    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    for own in blocks_of(questions.select("qid", "question").where("qid is not null"), F.coalesce(F.octet_length("question"), F.lit(0)) + 64):
+        sent = spark.sparkContext.broadcast(_Asked.of(own, terms))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            asked, tokens = sent.value, re.compile(T.TOKEN).findall
+            number, best, most = asked.number, _Running(len(asked.qids), k), max(1, CELLS // len(asked.qids))
+            for batch in (batch.slice(first, most) for batch in batches for first in range(0, batch.num_rows, most)):
+                term, doc, part = [], [], []
+                for row, text in enumerate(batch.column(1).to_pylist()):
+                    every = tokens(text or "")
+                    below = k1 * (1 - b + b * len(every) / average)
+                    for t, tf in Counter(filter(number.__contains__, every)).items():
+                        term.append(number[t])
+                        doc.append(row)
+                        part.append(tf * (k1 + 1) / (tf + below))
+                best.add(batch.column(0).to_numpy(), -asked.scores(term, doc, part, batch.num_rows))
+            row, ids, cost = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(asked.qids[row]), pa.array(ids), pa.array(0.0 - cost)], ["qid", "id", "score"])
+
+        found.append(base.mapInArrow(run, "qid bigint, id bigint, score double"))
+    return _ranked(spark, found, k, "score", F.desc("score"))
 
 
 def fuse(legs: list[tuple[DataFrame, float]], k: int, c: int = 60) -> DataFrame:

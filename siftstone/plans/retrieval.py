@@ -9,6 +9,7 @@ from siftstone.functions import text as T
 from siftstone.operators import answer, attribution, embed, evaluate, retrieve
 from siftstone.plans.corpus import chunks_sql, naive
 from siftstone.plans.registry import query, sql_hash_vector, table
+from siftstone.sources.tables import durable
 
 DIM, K = 64, 5
 
@@ -104,13 +105,18 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOKENS = r"list_filter(string_split_regex(text, '\s+'), lambda t: t <> '')"
 
-BM25 = f"""
-dtok AS (SELECT doc_id AS id, unnest({_TOKENS}) AS term FROM documents),
-dlen AS (SELECT doc_id AS id, len({_TOKENS}) AS dl FROM documents),
-size AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dlen),
-tf AS (SELECT term, id, count(*) AS tf FROM dtok GROUP BY ALL),
-raw AS (SELECT term, count(*) AS df, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM tf, size GROUP BY term),
-idf AS (SELECT term, df, raw, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+IDF = f"""
+dtok AS MATERIALIZED (SELECT doc_id AS id, unnest({_TOKENS}) AS term FROM documents),
+dlen AS MATERIALIZED (SELECT doc_id AS id, len({_TOKENS}) AS dl FROM documents),
+size AS MATERIALIZED (SELECT count(*) AS n, avg(dl) AS avgdl FROM dlen),
+tf AS MATERIALIZED (SELECT term, id, count(*) AS tf FROM dtok GROUP BY ALL),
+counted AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM tf GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, total, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM counted, size),
+mean AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw),
+idf AS MATERIALIZED (SELECT term, df, raw, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw, mean)
+"""
+
+BM25 = f"""{IDF},
 qtok AS (SELECT qid, term, count(*) AS times FROM (SELECT item_id AS qid, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY ALL),
 hit AS (SELECT qid, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM qtok JOIN idf USING (term) JOIN tf USING (term) JOIN dlen USING (id), size GROUP BY ALL),
 sparse AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
@@ -119,14 +125,13 @@ sparse AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id
 
 
 def _sparse(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return retrieve.bm25(retrieve.bm25_index(_docs(spark, sf_dir)), _questions(spark, sf_dir), k)
+    docs = _docs(spark, sf_dir)
+    return retrieve.bm25(docs, retrieve.bm25_terms(docs), _questions(spark, sf_dir), k)
 
 
-@query(f"WITH {BM25} SELECT term, any_value(raw.df) AS df, sum(tf)::BIGINT AS total FROM tf JOIN raw USING (term) GROUP BY term")
+@query(f"WITH {IDF} SELECT term, df, total FROM raw")
 def q18_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
-    counts = tokens.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    return retrieve.term_counts(_docs(spark, sf_dir)).where("term is not null")
 
 
 @query(f"WITH {BM25} SELECT qid, id, rank, round(score, 6) AS score FROM sparse WHERE rank <= {K}")
@@ -134,11 +139,10 @@ def q19_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sparse(spark, sf_dir, K).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf WHERE raw < 0")
+@query(f"WITH {IDF} SELECT term, df, round(idf, 6) AS idf FROM idf WHERE raw < 0")
 def q20_bm25_idf_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    index = retrieve.bm25_index(docs)
-    return index.idf.crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n")))).where("2 * df > n").select("term", "df", F.round("idf", 6).alias("idf"))
+    terms = retrieve.bm25_terms(_docs(spark, sf_dir))
+    return terms.idf.where(F.col("df") * 2 > terms.documents).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"SELECT item_id AS qid, generate_subscripts(v, 1) - 1 AS bucket, round(unnest(v), 6) AS value FROM (SELECT item_id, {sql_hash_vector('text', DIM)} AS v FROM benchmark)")
@@ -167,7 +171,8 @@ def q22_dense_text_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyed(leg: DataFrame, docs: DataFrame) -> DataFrame:
-    return leg.join(docs.select("id", T.content_key(F.col("content")).alias("key")), "id")
+    """A leg has k rows a question: it goes to the documents, which stay where they are."""
+    return F.broadcast(leg).join(docs.select("id", "content"), "id").withColumn("key", T.content_key(F.col("content"))).drop("content")
 
 
 def _fused(spark: SparkSession, sf_dir: str, k: int, dense: float, sparse: float) -> DataFrame:
@@ -212,13 +217,13 @@ def q26_eval_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as questions: the documents that hold the first 60 characters are the relevant sources.
+    """Benchmark passages as questions: the documents that hold the whole passage are the relevant sources.
 
-    Items nobody holds point at a file that does not exist.  The few questions go around; each text is searched once for each.
+    Items nobody holds point at a file that does not exist.
     """
     asked = _questions(spark, sf_dir)
-    docs = _docs(spark, sf_dir).select("source", "content")
-    hits = docs.join(F.broadcast(asked), F.contains("content", F.substring("question", 1, 60))).groupBy("qid").agg(F.sort_array(F.collect_set("source")).alias("relevant_sources"))
+    held = evaluate.holders(_docs(spark, sf_dir), asked.select("qid", F.col("question").alias("phrase")))
+    hits = held.groupBy("qid").agg(F.sort_array(F.collect_set("source")).alias("relevant_sources"))
     phrases = F.when(F.col("qid") % 3 == 0, F.array(F.substring("question", 1, 20))).when(F.col("qid") % 3 == 1, F.array(F.lit("no such phrase"), F.upper(F.substring("question", 5, 20)))).when(F.col("qid") % 2 == 1, F.array(F.lit("absent words")))
     tag = F.when(F.col("qid") % 3 == 0, "exact").when(F.col("qid") % 3 == 1, "paraphrase").otherwise("multihop")
     missing = F.array(F.concat(F.lit("missing/"), F.col("qid").cast("string"), F.lit(".md")))
@@ -227,7 +232,7 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GOLDEN = """
 golden AS MATERIALIZED (SELECT item_id AS qid, text AS question,
-  coalesce((SELECT list_sort(list(DISTINCT d.source || '/' || d.doc_id || '.md')) FROM documents d WHERE contains(d.text, substr(b.text, 1, 60))), ['missing/' || item_id || '.md']) AS relevant_sources,
+  coalesce((SELECT list_sort(list(DISTINCT d.source || '/' || d.doc_id || '.md')) FROM documents d WHERE contains(d.text, b.text)), ['missing/' || item_id || '.md']) AS relevant_sources,
   CASE item_id % 3 WHEN 0 THEN [substr(text, 1, 20)] WHEN 1 THEN ['no such phrase', upper(substr(text, 5, 20))] ELSE CASE WHEN item_id % 2 = 1 THEN ['absent words'] END END AS must_contain,
   CASE item_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'paraphrase' ELSE 'multihop' END AS tag FROM benchmark b)
 """
@@ -242,7 +247,7 @@ def judged_sql(ranked: str) -> str:
 
 
 def _judged(ranked: DataFrame, docs: DataFrame, questions: DataFrame) -> DataFrame:
-    joined = ranked.join(docs.select("id", "source", "content"), "id").join(questions, "qid")
+    joined = F.broadcast(ranked).join(docs.select("id", "source", "content"), "id").join(F.broadcast(questions), "qid")
     return joined.select("qid", "rank", "source", evaluate.is_relevant(F.col("source"), F.col("content"), F.col("relevant_sources"), F.col("must_contain")).alias("relevant"))
 
 
@@ -265,20 +270,30 @@ def q28_eval_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, questions = _docs(spark, sf_dir), golden(spark, sf_dir).persist()
-    asked, vectors = (df.persist() for df in _text_vectors(spark, sf_dir))
-    near = retrieve.knn(asked, vectors, retrieve.fetch_depth(K)).persist()
-    sparse = _keyed(_sparse(spark, sf_dir, K), docs).persist()
-    candidates = near.join(vectors, "id").join(asked.withColumnRenamed("vector", "asked"), "qid")
-    candidates = candidates.select("qid", "id", "rank", retrieve.cosine(F.col("asked"), F.col("vector")).alias("sim"), "vector").persist()
+    """Both legs, the documents in them and the golden set are written once: tables of some rows a question, which all variants share."""
+    docs, questions = _docs(spark, sf_dir), durable(golden(spark, sf_dir), "golden")
+    asked, vectors = _text_vectors(spark, sf_dir)
+    near = durable(retrieve.knn(asked, vectors, retrieve.fetch_depth(K)), "near")
+    sparse = durable(_sparse(spark, sf_dir, K), "sparse")
+    ids = near.select("id").union(sparse.select("id")).distinct()
+    pool = durable(F.broadcast(ids).join(docs, "id").withColumn("key", T.content_key(F.col("content"))), "pool")
+    found = embed.hash_vectors(pool, "id", "text", DIM)
+    candidates = near.join(found, "id").join(asked.withColumnRenamed("vector", "asked"), "qid")
+    candidates = durable(candidates.select("qid", "id", "rank", retrieve.cosine(F.col("asked"), F.col("vector")).alias("sim"), "vector"), "candidates")
+    keyed = lambda leg: leg.join(pool.select("id", "key"), "id")
     ranked, out = {}, None
     for seq, v in enumerate(evaluate.ablations(0.5)):
         weight = v.weight if v.mmr else 1.0
-        leg = ranked.setdefault(weight, _keyed(retrieve.mmr(candidates, K, weight), docs).persist())
-        rows = retrieve.fuse([(leg, v.dense), (sparse, v.sparse)], K) if v.hybrid else leg
-        result = evaluate.metrics(evaluate.per_question(_judged(rows.select("qid", "id", "rank"), docs, questions), questions)).select(F.lit(seq).alias("seq"), F.lit(v.name).alias("config"), "*")
-        out = result if out is None else out.unionByName(result)
-    return out
+        if weight not in ranked:
+            ranked[weight] = durable(keyed(retrieve.mmr(candidates, K, weight)), "leg")
+        rows = retrieve.fuse([(ranked[weight], v.dense), (keyed(sparse), v.sparse)], K) if v.hybrid else ranked[weight]
+        rows = rows.select(F.lit(seq).alias("seq"), F.lit(v.name).alias("config"), "qid", "id", "rank")
+        out = rows if out is None else out.unionByName(rows)
+    judged = out.join(pool.select("id", "source", "content"), "id").join(questions, "qid")
+    relevant = evaluate.is_relevant(F.col("source"), F.col("content"), F.col("relevant_sources"), F.col("must_contain"))
+    variants = out.select("seq", "config").distinct()
+    per = evaluate.per_question(judged.select("seq", "config", "qid", "rank", relevant.alias("relevant")), variants.crossJoin(questions.select("qid")), "seq", "config")
+    return evaluate.metrics(per, "seq", "config")
 
 
 def _ablation_sql() -> str:
@@ -369,32 +384,61 @@ def q37_request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.nullif(F.array_join(reasons, ","), F.lit("")).alias("reasons"))
 
 
-@query(r"""
-WITH line AS (SELECT conv_id * 1000 + turn AS answer_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM conversations WHERE NOT contains(text, '```')),
-cut AS (SELECT *, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 40 AND NOT regexp_matches(text, '^\s*(?:#{1,6}\s|\||```|\s*[-*]\s*$|\d+\.\s*$)') AS open, string_split(regexp_replace(text, '([.!?:])\s+([A-Z`\d*-])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM line),
+_SENTENCES = r"""
+part AS (SELECT answer_id, unnest(string_split(text, '```')) AS text, generate_subscripts(string_split(text, '```'), 1) - 1 AS segment FROM said),
+line AS (SELECT answer_id, segment, segment % 2 = 1 AS is_code, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM part),
+cut AS (SELECT *, NOT is_code AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 40 AND NOT regexp_matches(text, '^\s*(?:#{1,6}\s|\||```|\s*[-*]\s*$|\d+\.\s*$)') AS open, string_split(regexp_replace(text, '([.!?:])\s+([A-Z`\d*-])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM line),
 marked AS (SELECT *, open AND len(list_filter(parts, lambda s: length(regexp_replace(s, '^\s+|\s+$', '', 'g')) >= 40)) > 0 AS splits FROM cut),
-one AS (SELECT answer_id, line, splits, unnest(CASE WHEN splits THEN parts ELSE [text] END) AS sentence, generate_subscripts(CASE WHEN splits THEN parts ELSE [text] END, 1) - 1 AS place FROM marked)
-SELECT answer_id, line, place, sentence, splits AND length(regexp_replace(sentence, '^\s+|\s+$', '', 'g')) >= 40 AS eligible FROM one
-""")
+one AS (SELECT answer_id, segment, line, splits, unnest(CASE WHEN splits THEN parts ELSE [text] END) AS sentence, generate_subscripts(CASE WHEN splits THEN parts ELSE [text] END, 1) - 1 AS place FROM marked),
+sentence AS MATERIALIZED (SELECT answer_id, segment, line, place, sentence, splits AND length(regexp_replace(sentence, '^\s+|\s+$', '', 'g')) >= 40 AS eligible FROM one)
+"""
+
+
+def _fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns as answers; every fifth gets a fence with a copy of its text inside, since the table has few of its own."""
+    text = F.when(F.col("turn") % 5 == 4, F.concat("text", F.lit("\n```\n"), "text", F.lit("\n```\nAfter it: "), "text")).otherwise(F.col("text"))
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "conv_id", "role", text.alias("answer"))
+
+
+_SAID = "said AS (SELECT conv_id * 1000 + turn AS answer_id, conv_id, role, CASE WHEN turn % 5 = 4 THEN text || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || 'After it: ' || text ELSE text END AS text FROM conversations)"
+
+
+@query(f"WITH {_SAID}, {_SENTENCES} SELECT * FROM sentence")
 def q38_sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").where(~F.contains("text", F.lit("```")))
-    cut = attribution.sentences(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.col("text").alias("answer")))
-    return cut.select("answer_id", "line", "place", "sentence", "eligible")
+    cut = attribution.sentences(_fenced(spark, sf_dir).select("answer_id", "answer"))
+    return cut.select("answer_id", "segment", "line", "place", "sentence", "eligible")
 
 
-@query(r"""SELECT conv_id, turn, generate_subscripts(f, 1) - 1 AS place, unnest(f)::INT AS n FROM (SELECT conv_id, turn, regexp_extract_all(substr(text, 1, 30) || '[' || turn || '][' || conv_id || '] arr[x]', '\[(\d+)\]', 1) AS f FROM conversations)""")
+@query(r"""SELECT conv_id, turn, generate_subscripts(f, 1) - 1 AS place, unnest(f)::INT AS n FROM (SELECT conv_id, turn, regexp_extract_all(text || '[' || turn || '][' || conv_id || '] arr[x]', '\[(\d+)\]', 1) AS f FROM conversations)""")
 def q39_citation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.substring("text", 1, 30), F.lit("["), F.col("turn").cast("string"), F.lit("]["), F.col("conv_id").cast("string"), F.lit("] arr[x]"))
+    text = F.concat("text", F.lit("["), F.col("turn").cast("string"), F.lit("]["), F.col("conv_id").cast("string"), F.lit("] arr[x]"))
     return table(spark, sf_dir, "conversations").where(T.already_cited(text)).select("conv_id", "turn", F.posexplode(T.cited_numbers(text)).alias("place", "n"))
 
 
-@query()
+def _hash_embed(text: str) -> str:
+    return sql_hash_vector(text, DIM)
+
+
+@query(rf"""
+WITH {_SAID}, {_SENTENCES.replace("FROM said", "FROM todo")}, passage AS MATERIALIZED (SELECT a.answer_id, row_number() OVER (PARTITION BY a.answer_id ORDER BY b.answer_id) AS n, b.text FROM said a JOIN said b ON a.conv_id = b.conv_id AND a.answer_id <> b.answer_id WHERE a.role = 'assistant'),
+vec AS MATERIALIZED (SELECT text, {_hash_embed("text")} AS v FROM (SELECT text FROM passage UNION SELECT sentence FROM sentence WHERE eligible)),
+best AS (SELECT answer_id, sentence, arg_max(n, sim * 1000000 - n) AS n, max(sim) AS sim FROM (
+  SELECT s.answer_id, s.sentence, p.n, round(CASE WHEN list_sum(list_transform(x.v, lambda e: e * e)) = 0 OR list_sum(list_transform(y.v, lambda e: e * e)) = 0 THEN 0 ELSE list_cosine_similarity(x.v, y.v) END, 9) AS sim
+  FROM (SELECT DISTINCT answer_id, sentence FROM sentence WHERE eligible) s JOIN passage p USING (answer_id) JOIN vec x ON x.text = s.sentence JOIN vec y ON y.text = p.text) GROUP BY answer_id, sentence),
+said_so AS (SELECT s.*, CASE WHEN NOT eligible OR b.sim IS NULL OR b.sim < 0.55 THEN s.sentence
+  WHEN regexp_matches(s.sentence, '[.!?:]\s*$') THEN regexp_replace(s.sentence, '[.!?:]\s*$', '') || ' [' || n || ']' || regexp_extract(s.sentence, '([.!?:])\s*$', 1) ELSE s.sentence || ' [' || n || ']' END AS out FROM sentence s LEFT JOIN best b ON b.answer_id = s.answer_id AND b.sentence = s.sentence),
+lines AS (SELECT answer_id, segment, line, string_agg(out, ' ' ORDER BY place) AS out FROM said_so GROUP BY ALL),
+parts AS (SELECT answer_id, segment, string_agg(out, chr(10) ORDER BY line) AS out FROM lines GROUP BY ALL),
+whole AS (SELECT answer_id, string_agg(out, '```' ORDER BY segment) AS cited FROM parts GROUP BY ALL)
+SELECT said.answer_id, said.text AS answer, coalesce(cited, said.text) AS cited FROM said LEFT JOIN whole USING (answer_id) WHERE role = 'assistant'
+""".replace("sentence AS MATERIALIZED", "sentence AS MATERIALIZED").replace("part AS (SELECT answer_id, unnest", "todo AS (SELECT answer_id, text FROM said s WHERE role = 'assistant' AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' AND NOT regexp_matches(text, '\[\d+\]') AND EXISTS (SELECT 1 FROM said o WHERE o.conv_id = s.conv_id AND o.answer_id <> s.answer_id)), part AS (SELECT answer_id, unnest"))
 def q40_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns against the passages of their conversation's other turns, by the hashing embedder."""
-    turns = table(spark, sf_dir, "conversations").withColumn("answer_id", F.col("conv_id") * 1000 + F.col("turn"))
-    answers = turns.where("role = 'assistant'").select("answer_id", "conv_id", F.col("text").alias("answer"))
-    others = turns.select("conv_id", F.col("answer_id").alias("other"), F.col("text").alias("content"))
-    own = answers.join(others, "conv_id").where("answer_id <> other")
+    turns = _fenced(spark, sf_dir)
+    answers = turns.where("role = 'assistant'").select("answer_id", "conv_id", "answer")
+    others = turns.select("conv_id", F.col("answer_id").alias("other"), F.col("answer").alias("content"))
+    own = answers.select("answer_id", "conv_id").join(others, "conv_id").where("answer_id <> other")
     passages = own.withColumn("n", F.row_number().over(Window.partitionBy("answer_id").orderBy("other")))
     return attribution.attribute(answers.select("answer_id", "answer"), passages.select("answer_id", "n", "content"), embed.by_batch(lambda: embed.HashingEmbedder(DIM)))
 
@@ -441,14 +485,14 @@ def q45_retry_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH a AS (SELECT conv_id * 1000 + turn AS qid, 'q' || turn AS search_query, list_filter(string_split(substr(text, 1, 60), ' '), lambda p: p <> '') AS p, turn % 2 = 0 AS cited FROM conversations WHERE role = 'assistant'),
+WITH a AS (SELECT conv_id * 1000 + turn AS qid, 'q' || turn AS search_query, list_filter(string_split(text, ' '), lambda p: p <> '') AS p, turn % 2 = 0 AS cited FROM conversations WHERE role = 'assistant'),
 e AS (SELECT qid, list_concat([{'type': 'sources', 'text': NULL, 'search_query': search_query}], list_transform(p, lambda x: {'type': 'token', 'text': x, 'search_query': NULL}),
   CASE WHEN cited THEN [{'type': 'replace', 'text': array_to_string(p, '') || ' [1]', 'search_query': NULL}] ELSE [] END, [{'type': 'done', 'text': NULL, 'search_query': NULL}]) AS e FROM a)
 SELECT qid, generate_subscripts(e, 1) - 1 AS seq, unnest(e).type AS type, unnest(e).text AS text, unnest(e).search_query AS search_query FROM e
 """)
 def q49_stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    pieces = F.split(F.substring("text", 1, 60), " ")
+    pieces = F.split("text", " ")
     raw = F.array_join(F.filter(pieces, lambda p: p != ""), "")
     cited = F.when(F.col("turn") % 2 == 0, F.concat(raw, F.lit(" [1]"))).otherwise(raw)
     return answer.stream_events(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.concat(F.lit("q"), F.col("turn").cast("string")).alias("search_query"), pieces.alias("pieces"), cited.alias("cited")))

@@ -105,7 +105,7 @@ def test_bm25_is_a_full_ranking(spark):
     raw = {w: math.log((n - c + 0.5) / (c + 0.5)) for w, c in df.items()}
     idf = {w: 0.25 * sum(raw.values()) / len(raw) if x < 0 else x for w, x in raw.items()}
     for k in (3, 30, 40):
-        got = retrieve.bm25(retrieve.bm25_index(docs), asked, k).collect()
+        got = retrieve.bm25(docs, retrieve.bm25_terms(docs), asked, k).collect()
         for q, question in questions.items():
             score = {i: round(sum(idf.get(w, 0) * (f := t.split().count(w)) * 2.5 / (f + 1.5 * (0.25 + 0.75 * lengths[i] / average)) for w in question.split()), 9) for i, t in texts.items()}
             want = sorted(texts, key=lambda i: (-score[i], i))[:k]
