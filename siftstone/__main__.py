@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siftstone.config import EngineConfig
 from siftstone.engine import Engine
 from siftstone.functions import text as T
-from siftstone.operators import chunk, evaluate, prepare
+from siftstone.operators import evaluate, prepare
 from siftstone.sources.files import load_directory, read_golden_set
 
 
@@ -31,11 +31,13 @@ def main(argv: list[str] | None = None) -> int:
     score.add_argument("-k", type=int)
     score.add_argument("--data-dir")
     score.add_argument("--save")
-    for flag in ("--ablate", "--sweep", "--validate"):
+    score.add_argument("--config", choices=[s.name for s in evaluate.setups()], help="one set-up")
+    for flag in ("--compare", "--ablate", "--sweep", "--validate"):
         score.add_argument(flag, action="store_true")
     prep = commands.add_parser("prepare")
     for name in ("repo", "out"):
         prep.add_argument(name)
+    prep.add_argument("--clean", action="store_true", help="replace what is at the output")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("siftstone").getOrCreate()
     config = EngineConfig.from_env()
@@ -50,19 +52,25 @@ def main(argv: list[str] | None = None) -> int:
             found = engine.validate(questions)
             found.show(truncate=False)
             return int(not found.isEmpty())
-        if args.sweep:
+        config.check_key(config.embed_provider)
+        k = args.k or config.top_k
+        if args.ablate:
+            results = engine.ablate(questions, k)
+        elif args.sweep or args.compare or args.config:
             sections, _ = load_directory(spark, args.data_dir or config.data_dir)
-            for size, overlap in evaluate.SWEEP:
-                chunk.chunk_stats(chunk.build_chunks(sections, replace(config, chunk_size=size, chunk_overlap=overlap))).withColumn("chunk_size", F.lit(size)).show()
-            return 0
-        results = engine.ablate(questions, args.k) if args.ablate else engine.evaluate(questions, args.k)
-        results.show(truncate=False)
+            chosen = [s for s in evaluate.setups(config.chunk_size, config.chunk_overlap, config.mmr_lambda) if args.config in (None, s.name)]
+            results = engine.sweep(sections, questions, k) if args.sweep else engine.compare(sections, questions, chosen, k)
+        else:
+            results = engine.evaluate(questions, k).select(F.lit(0).alias("seq"), F.lit("configured").alias("config"), F.lit(engine.index.size).alias("chunks"), "*")
+        print(evaluate.printed(results, k))
         if args.save:
             results.write.json(args.save)
     else:
         files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(args.repo).select(T.relative_path(F.col("_metadata.file_path"), args.repo).alias("path"), F.col("value").alias("text"))
         pages = files.where(F.endswith("path", F.lit(".md"))).withColumnRenamed("path", "rel_path")
-        prepare.prepare(pages, files).where("kept").write.parquet(args.out)
+        made = prepare.prepare(pages, files, config.min_page_chars)
+        made.where("kept").write.mode("overwrite" if args.clean else "errorifexists").parquet(args.out)
+        prepare.totals(made).show()
     return 0
 
 

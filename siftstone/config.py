@@ -11,6 +11,14 @@ def _flag(value: str) -> bool:
     return value.strip().lower() in ("1", "true", "yes", "on")
 
 
+class MissingKey(ValueError):
+    """A hosted provider is configured, but its key is not in the environment."""
+
+
+#: Where hosted providers' keys are; providers that are not named need none.  Fixed values.
+KEYS = {"openai": "OPENAI_API_KEY", "google": "GOOGLE_API_KEY"}
+
+
 @dataclass(frozen=True)
 class EngineConfig:
     """Every knob of the engine.  ``mmr_lambda`` 1 means no diversity; ``citation_mode`` is auto, model or off."""
@@ -61,6 +69,13 @@ class EngineConfig:
         parse = {"int": int, "float": float, "bool": _flag, "str": str}
         return cls(**{f.name: parse[str(f.type)](env[f.name.upper()]) for f in fields(cls) if env.get(f.name.upper(), "").strip()})
 
+    @staticmethod
+    def check_key(provider: str, env: Mapping[str, str] | None = None) -> None:
+        """Fails before any work if ``provider`` needs a key that is not there."""
+        name = KEYS.get(provider)
+        if name and not (os.environ if env is None else env).get(name, "").strip():
+            raise MissingKey(f"{provider} needs {name} in the environment")
+
     def summary(self) -> str:
         """One line for logs."""
         ranking = f"hybrid {self.weight_dense:g}/{self.weight_sparse:g}" if self.use_hybrid else "dense"

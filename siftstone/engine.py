@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import time
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from siftstone.operators import answer, attribution, chunk, embed, evaluate, ret
 from siftstone.operators import index as ix
 from siftstone.plans.registry import plain_unions
 from siftstone.sources.files import load_directory
+from siftstone.sources.tables import scratch
 
 
 class EngineNotReady(RuntimeError):
@@ -37,6 +40,7 @@ class Engine:
         sections, _ = load_directory(self.spark, data_dir or self.config.data_dir)
         chunks = chunk.build_chunks(sections, self.config)
         if not dry_run:
+            self.config.check_key(self.config.embed_provider)
             ix.build_index(chunks, self.config.index_dir, self.config, self.embedder, self.config.embed_cache_dir if self.config.embed_cache else None)
             self.reload()
             chunks = self.index.chunks
@@ -74,12 +78,17 @@ class Engine:
         return ranked.join(found.chunks, "id")
 
     def ask(self, requests: DataFrame, top_k: int | None = None) -> DataFrame:
-        """(qid, question, search_query, answer, sources, latency_ms) for requests (qid, question, history string or null).
+        """(qid, question, search_query, answer, sources, latency_ms) for requests (qid, question; history string or turns array of (role, text)).
+
+        Of turns, the last ``max_history_turns`` are the history.
 
         Searches with the condensed question, answers the original one, cites afterwards in citation mode auto.
         latency_ms is the time since the plan was made, the batch's, not a single question's.
         """
         began = int(time.time() * 1000)
+        self.config.check_key(self.config.chat_provider)
+        if "turns" in requests.columns:
+            requests = requests.withColumn("history", answer.history_of(F.col("turns"), self.config.max_history_turns))
         asked = answer.condensed(requests if "history" in requests.columns else requests.withColumn("history", F.lit(None).cast("string")), self.generator)
         found = self.search(asked.select("qid", F.col("search_query").alias("question")), top_k)
         joined = asked.join(answer.contexts(found), "qid", "left").join(answer.citations(found, self.config.snippet_chars), "qid", "left")
@@ -114,5 +123,24 @@ class Engine:
             out = row if out is None else out.unionByName(row)
         return out
 
+    def measure(self, sections: DataFrame, questions: DataFrame, setup: evaluate.Setup, seq: int = 0, k: int | None = None) -> DataFrame:
+        """A set-up's row (seq, config, label, chunks, questions, hit_rate, mrr, precision), over an index of its own that goes with the program."""
+        config = replace(self.config, chunk_size=setup.size, chunk_overlap=setup.overlap, context_headers=setup.headers, index_dir=scratch(self.spark, setup.name))
+        chunks = chunk.build_chunks(sections, config, setup.splitter)
+        ix.build_index(chunks, config.index_dir, config, self.embedder, self.config.embed_cache_dir if self.config.embed_cache else None)
+        own = Engine(self.spark, config, self.embedder, self.generator)
+        return own.evaluate(questions, k, setup.variant).select(F.lit(seq).alias("seq"), F.lit(setup.name).alias("config"), F.lit(setup.label).alias("label"), F.lit(own.index.size).alias("chunks"), "*")
+
+    def compare(self, sections: DataFrame, questions: DataFrame, setups: list[evaluate.Setup] | None = None, k: int | None = None) -> DataFrame:
+        """The rows of several set-ups in order, of the two ends of the tuning by default."""
+        c = self.config
+        rows = [self.measure(sections, questions, s, seq, k) for seq, s in enumerate(setups or evaluate.setups(c.chunk_size, c.chunk_overlap, c.mmr_lambda))]
+        return functools.reduce(DataFrame.unionByName, rows)
+
+    def sweep(self, sections: DataFrame, questions: DataFrame, k: int | None = None) -> DataFrame:
+        """The tuned set-up with each size and overlap of the grid."""
+        tuned = evaluate.setups(mmr_lambda=self.config.mmr_lambda)[-1]
+        return self.compare(sections, questions, [replace(tuned, name=f"size{size}", label=f"tuned, {size}/{overlap}", size=size, overlap=overlap) for size, overlap in evaluate.SWEEP], k)
+
     def validate(self, questions: DataFrame) -> DataFrame:
         return evaluate.problems(questions, self._ready().chunks)

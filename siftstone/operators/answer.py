@@ -94,6 +94,13 @@ def history(turns: DataFrame, last: int = 6) -> DataFrame:
     return recent.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("history"))
 
 
+def history_of(turns: Column, last: int = 6) -> Column:
+    """The last ``last`` of an array of (role, text) as lines; null without turns."""
+    recent = F.slice(turns, F.greatest(F.size(turns) - last, F.lit(0)) + 1, F.lit(max(last, 1)))
+    lines = F.array_join(F.transform(recent, lambda t: T.history_line(t["role"], t["text"])), "\n")
+    return F.when((F.size(turns) > 0) & F.lit(last > 0), lines)
+
+
 def invalid_reasons(question: Column, top_k: Column, role: Column) -> Column:
     """What a request breaks: question of 1 to 2000 characters, top_k null or 1 to 20, role user or assistant."""
     return F.filter(

@@ -37,6 +37,27 @@ def ablations(mmr_lambda: float = 1.0) -> list[Variant]:
     ]
 
 
+@dataclass(frozen=True)
+class Setup:
+    """A whole configuration: how chunks are made and ranked."""
+
+    name: str
+    label: str
+    splitter: str
+    size: int
+    overlap: int
+    headers: bool
+    variant: Variant
+
+
+def setups(size: int = 1000, overlap: int = 150, mmr_lambda: float = 1.0) -> list[Setup]:
+    """The two ends of the tuning, fixed values but for the arguments, which are the present settings."""
+    return [
+        Setup("baseline", "fixed windows without overlap or headers, dense search", "naive", 1000, 0, False, Variant("baseline", False, False)),
+        Setup("tuned", "structured chunks with overlap and headers, hybrid search", "structured", size, overlap, True, Variant("tuned", True, True, mmr_lambda)),
+    ]
+
+
 #: Chunk size and overlap of a sweep.  Fixed values.
 SWEEP = ((500, 75), (800, 120), (1000, 150), (1500, 225))
 
@@ -85,6 +106,16 @@ def delta(results: DataFrame, metric: str = "hit_rate") -> DataFrame:
     return ends.withColumn("delta", F.round(F.col("last") - F.col("first"), 6))
 
 
+def printed(results: DataFrame, k: int) -> str:
+    """The comparison as text: a heading, a line for each result, and what the last one gains over the first.  Results are a few rows."""
+    heading = f"{'config':<20}{'chunks':>8}{f'hit@{k}':>10}{'MRR':>10}{'precision':>12}"
+    lines = [heading, *(r.line for r in report(results).orderBy("seq").collect())]
+    if len(lines) > 2:
+        d = delta(results).first()
+        lines.append(f"hit@{k}: {d['first']:.0%} to {d['last']:.0%} ({d.delta:+.0%} from {d.first_config} to {d.last_config})")
+    return "\n".join(lines)
+
+
 def report(results: DataFrame) -> DataFrame:
     """(seq, line): the fixed-width comparison table, a line for each result."""
     percent = lambda c: F.format_string("%.1f%%", F.col(c) * 100)

@@ -188,8 +188,25 @@ def q46_include_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rel_path", "path", "caption", T.code_language(F.col("path")).alias("language"), F.col("there").isNull().alias("missing"), F.coalesce(T.strip(F.col("body")), F.lit("")).alias("code"))
 
 
-@query()
-def q47_admonitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+_OPENER = r"^/{3,}\s+(\w+)(?:\s*\|\s*(.*))?$"
+_INCLUDE_LINE = r"^\{\*\s*(\S+?)\s*((?:\w+\[[^\]]*\]\s*)*)\*\}\s*$"
+
+
+@query(rf"""
+WITH page(rel_path, text) AS (VALUES {_values(_PAGES)}), code(path, body) AS (VALUES {_values(_CODE)}),
+kept AS (SELECT * FROM page WHERE rel_path LIKE '%.md' AND rel_path NOT LIKE 'img/%' AND rel_path <> 'release-notes.md'),
+line AS (SELECT rel_path, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM kept),
+named AS (SELECT *, regexp_matches(l, '{_INCLUDE_LINE}') AS include, regexp_replace(regexp_extract(l, '{_INCLUDE_LINE}', 1), '^(\.\./)+', '') AS path,
+  coalesce(nullif(regexp_extract(l, 'title\["?([^"\]]+)"?\]', 1), ''), regexp_extract(regexp_extract(l, '{_INCLUDE_LINE}', 1), '([^/]*)$', 1)) AS caption FROM line),
+woven AS (SELECT rel_path, n, include, body, CASE WHEN NOT include THEN l WHEN body IS NULL THEN '' ELSE 'Example (`' || caption || '`):' || chr(10) || chr(10) || '```' ||
+  CASE WHEN path LIKE '%.py' THEN 'python' ELSE regexp_extract(path, '\.([^./]*)$', 1) END || chr(10) || {sql_strip('body')} || chr(10) || '```' END AS l FROM named LEFT JOIN code USING (path)),
+flat AS (SELECT rel_path, n, include, body, CASE WHEN regexp_matches(l, '{_OPENER}') THEN '**' || upper(substr(regexp_extract(l, '{_OPENER}', 1), 1, 1)) || lower(substr(regexp_extract(l, '{_OPENER}', 1), 2)) || ':' ||
+  CASE WHEN trim(regexp_extract(l, '{_OPENER}', 2)) = '' THEN '' ELSE ' ' || trim(regexp_extract(l, '{_OPENER}', 2)) END || '**' WHEN regexp_matches(l, '^/{{3,}}\s*$') THEN '' ELSE regexp_replace(l, '\s*\{{\s*#[\w-]+\s*\}}\s*$', '') END AS l FROM woven),
+seen AS (SELECT f.*, last_value(CASE WHEN trim(o.l) <> '' THEN o.include OR regexp_matches(o.l, '^/{{3,}}\s*$|\{{\s*#[\w-]+\s*\}}\s*$') END IGNORE NULLS) OVER (PARTITION BY rel_path ORDER BY n ROWS UNBOUNDED PRECEDING) AND trim(o.l) = '' AS eaten FROM flat f JOIN named o USING (rel_path, n)),
+whole AS (SELECT rel_path, {sql_strip("regexp_replace(string_agg(l, chr(10) ORDER BY n), '\\n{3,}', chr(10) || chr(10), 'g')")} || chr(10) AS text, count(body) AS inlined, count(*) FILTER (include AND body IS NULL) AS missing FROM seen WHERE NOT eaten OR eaten IS NULL GROUP BY rel_path)
+SELECT replace(rel_path, '/', '__') AS name, rel_path, text, inlined, missing, length(text) >= 200 AS kept FROM whole
+""")
+def q47_prepared_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, code = spark.createDataFrame(_PAGES, "rel_path string, text string"), spark.createDataFrame(_CODE, "path string, text string")
     return prepare.prepare(pages, code)
 

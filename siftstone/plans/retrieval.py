@@ -385,7 +385,7 @@ def q37_request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SENTENCES = r"""
-part AS (SELECT answer_id, unnest(string_split(text, '```')) AS text, generate_subscripts(string_split(text, '```'), 1) - 1 AS segment FROM said),
+part AS (SELECT answer_id, unnest(string_split(text, '```')) AS text, generate_subscripts(string_split(text, '```'), 1) - 1 AS segment FROM todo),
 line AS (SELECT answer_id, segment, segment % 2 = 1 AS is_code, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM part),
 cut AS (SELECT *, NOT is_code AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 40 AND NOT regexp_matches(text, '^\s*(?:#{1,6}\s|\||```|\s*[-*]\s*$|\d+\.\s*$)') AS open, string_split(regexp_replace(text, '([.!?:])\s+([A-Z`\d*-])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM line),
 marked AS (SELECT *, open AND len(list_filter(parts, lambda s: length(regexp_replace(s, '^\s+|\s+$', '', 'g')) >= 40)) > 0 AS splits FROM cut),
@@ -404,7 +404,7 @@ def _fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAID = "said AS (SELECT conv_id * 1000 + turn AS answer_id, conv_id, role, CASE WHEN turn % 5 = 4 THEN text || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || 'After it: ' || text ELSE text END AS text FROM conversations)"
 
 
-@query(f"WITH {_SAID}, {_SENTENCES} SELECT * FROM sentence")
+@query(f"WITH {_SAID}, todo AS (SELECT * FROM said), {_SENTENCES} SELECT * FROM sentence")
 def q38_sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = attribution.sentences(_fenced(spark, sf_dir).select("answer_id", "answer"))
     return cut.select("answer_id", "segment", "line", "place", "sentence", "eligible")
@@ -421,7 +421,8 @@ def _hash_embed(text: str) -> str:
 
 
 @query(rf"""
-WITH {_SAID}, {_SENTENCES.replace("FROM said", "FROM todo")}, passage AS MATERIALIZED (SELECT a.answer_id, row_number() OVER (PARTITION BY a.answer_id ORDER BY b.answer_id) AS n, b.text FROM said a JOIN said b ON a.conv_id = b.conv_id AND a.answer_id <> b.answer_id WHERE a.role = 'assistant'),
+WITH {_SAID}, todo AS (SELECT answer_id, text FROM said s WHERE role = 'assistant' AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' AND NOT regexp_matches(text, '\[\d+\]')
+  AND EXISTS (SELECT 1 FROM said o WHERE o.conv_id = s.conv_id AND o.answer_id <> s.answer_id)), {_SENTENCES}, passage AS MATERIALIZED (SELECT a.answer_id, row_number() OVER (PARTITION BY a.answer_id ORDER BY b.answer_id) AS n, b.text FROM said a JOIN said b ON a.conv_id = b.conv_id AND a.answer_id <> b.answer_id WHERE a.role = 'assistant'),
 vec AS MATERIALIZED (SELECT text, {_hash_embed("text")} AS v FROM (SELECT text FROM passage UNION SELECT sentence FROM sentence WHERE eligible)),
 best AS (SELECT answer_id, sentence, arg_max(n, sim * 1000000 - n) AS n, max(sim) AS sim FROM (
   SELECT s.answer_id, s.sentence, p.n, round(CASE WHEN list_sum(list_transform(x.v, lambda e: e * e)) = 0 OR list_sum(list_transform(y.v, lambda e: e * e)) = 0 THEN 0 ELSE list_cosine_similarity(x.v, y.v) END, 9) AS sim
@@ -432,7 +433,7 @@ lines AS (SELECT answer_id, segment, line, string_agg(out, ' ' ORDER BY place) A
 parts AS (SELECT answer_id, segment, string_agg(out, chr(10) ORDER BY line) AS out FROM lines GROUP BY ALL),
 whole AS (SELECT answer_id, string_agg(out, '```' ORDER BY segment) AS cited FROM parts GROUP BY ALL)
 SELECT said.answer_id, said.text AS answer, coalesce(cited, said.text) AS cited FROM said LEFT JOIN whole USING (answer_id) WHERE role = 'assistant'
-""".replace("sentence AS MATERIALIZED", "sentence AS MATERIALIZED").replace("part AS (SELECT answer_id, unnest", "todo AS (SELECT answer_id, text FROM said s WHERE role = 'assistant' AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' AND NOT regexp_matches(text, '\[\d+\]') AND EXISTS (SELECT 1 FROM said o WHERE o.conv_id = s.conv_id AND o.answer_id <> s.answer_id)), part AS (SELECT answer_id, unnest"))
+""")
 def q40_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns against the passages of their conversation's other turns, by the hashing embedder."""
     turns = _fenced(spark, sf_dir)

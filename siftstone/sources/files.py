@@ -98,15 +98,19 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return found
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """(source, page, title, text, error) from (source, suffix, content); suffixes without a reader of their own are plain text."""
+def extract(files: DataFrame, readers: dict[str, Callable[[bytes], list[Section]]] | None = None) -> DataFrame:
+    """(source, page, title, text, error) from (source, suffix, content); suffixes without a reader of their own are plain text.
+
+    ``readers``: by suffix, beside or instead of READERS.
+    """
+    known = READERS | (readers or {})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for source, suffix, content in frame.itertuples(index=False):
                 try:
-                    rows += [(source, page, title, text, None) for page, title, text in READERS.get(suffix, read_plain)(bytes(content or b""))]
+                    rows += [(source, page, title, text, None) for page, title, text in known.get(suffix, read_plain)(bytes(content or b""))]
                 except Exception as error:  # noqa: BLE001  the file goes to quarantine
                     rows.append((source, None, None, None, f"{type(error).__name__}: {error}"))
             yield pd.DataFrame(rows, columns=["source", "page", "title", "text", "error"]).astype({"page": "Int32"})
@@ -114,9 +118,12 @@ def extract(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, "source string, page int, title string, text string, error string")
 
 
-def load_directory(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def load_directory(spark: SparkSession, root: str, readers: dict[str, Callable[[bytes], list[Section]]] | None = None) -> tuple[DataFrame, DataFrame]:
     """Sections (source, page, title, text) with cleaned, non-empty text, and the quarantine (source, error)."""
-    read = extract(scan(spark, root))
+    return sections_of(extract(scan(spark, root), readers))
+
+
+def sections_of(read: DataFrame) -> tuple[DataFrame, DataFrame]:
     title = F.coalesce(T.blank_to_null(F.col("title")), T.title_from_path(F.col("source")))
     sections = read.where("error is null").select("source", "page", title.alias("title"), T.clean_text(F.col("text")).alias("text")).where("text <> ''")
     return sections, read.where("error is not null").select("source", "error")

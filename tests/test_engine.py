@@ -6,8 +6,9 @@ import zipfile
 
 import pytest
 
-from siftstone.config import EngineConfig
+from siftstone.config import EngineConfig, MissingKey
 from siftstone.engine import Engine, EngineNotReady
+from siftstone.operators import answer, evaluate
 from siftstone.operators import index as ix
 from siftstone.sources import files
 from siftstone.sources.tables import read_cache, read_json_lines
@@ -105,3 +106,65 @@ def test_settings():
     assert "500/150" in made.summary()
     with pytest.raises(ValueError, match="citation_mode"):
         EngineConfig(citation_mode="x")
+
+
+def test_pages_by_an_injected_reader(spark, tree):
+    (tree / "two.pdf").write_bytes(b"first page\x0csecond page")
+    pages = lambda content: [(n, "Title", p) for n, p in enumerate(content.decode().split("\x0c"), 1)]
+    sections, bad = files.load_directory(spark, str(tree), {".pdf": pages})
+    assert {(r.page, r.title, r.text) for r in sections.where("source = 'two.pdf'").collect()} == {(1, "Title", "first page"), (2, "Title", "second page")}
+    assert [r.source for r in bad.collect()] == ["bad.docx"]
+
+
+QUESTIONS = [
+    {"question": "How many requests per minute does the gateway take?", "relevant_sources": ["gate-way.MD"], "must_contain": ["500"]},
+    {"question": "When does the storage engine compact segments?", "relevant_sources": ["store.txt"]},
+    {"question": "Who knows nothing?", "relevant_sources": ["absent.md"]},
+]
+
+
+def test_set_ups_are_compared_and_printed(spark, engine, tree):
+    questions = files.golden_set(spark, QUESTIONS)
+    sections, _ = files.load_directory(spark, str(tree))
+    got = engine.compare(sections, questions, k=2)
+    assert [(r.seq, r.config, r.questions) for r in got.orderBy("seq").collect()] == [(0, "baseline", 3), (1, "tuned", 3)]
+    assert all(0 < r.hit_rate < 0.67 for r in got.collect())
+    lines = evaluate.printed(got, 2).split("\n")
+    assert lines[0].split() == ["config", "chunks", "hit@2", "MRR", "precision"] and lines[1].startswith("baseline") and "from baseline to tuned" in lines[-1]
+    assert engine.index.meta["chunk_size"] == 1000 and len(engine.sweep(sections, questions, 2).select("config").distinct().collect()) == len(evaluate.SWEEP)
+
+
+def test_command_line_compares(spark, engine, tree, tmp_path, monkeypatch, capsys):
+    import json
+
+    from siftstone.__main__ import main
+
+    (tmp_path / "q.json").write_text(json.dumps(QUESTIONS))
+    monkeypatch.setenv("INDEX_DIR", engine.config.index_dir)
+    monkeypatch.setenv("MIN_CHUNK_CHARS", "10")
+    assert main(["evaluate", str(tmp_path / "q.json"), "--config", "baseline", "--data-dir", str(tree), "--save", str(tmp_path / "saved")]) == 0
+    assert "baseline" in capsys.readouterr().out and spark.read.json(str(tmp_path / "saved")).first().config == "baseline"
+    (tmp_path / "repo").mkdir()
+    (tmp_path / "repo" / "a.md").write_text("word " * 60)
+    (tmp_path / "repo" / "b.md").write_text("short page, " * 9)
+    monkeypatch.setenv("MIN_PAGE_CHARS", "100")
+    for more in ([], ["--clean"]):
+        assert main(["prepare", str(tmp_path / "repo"), str(tmp_path / "out"), *more]) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_turns_become_history_and_keys_are_checked(spark, engine):
+    turns = [("user", f"turn {k}") for k in range(9)]
+    asked = spark.createDataFrame([(1, "And the limit of the gateway?", turns), (2, "Alone?", [])], "qid bigint, question string, turns array<struct<role:string,text:string>>")
+    seen = asked.select(answer.history_of(asked.turns, 6).alias("h")).collect()
+    assert seen[0].h.split("\n") == [f"User: turn {k}" for k in range(3, 9)] and seen[1].h is None
+    assert engine.ask(asked).count() == 2
+    with pytest.raises(MissingKey):
+        EngineConfig.check_key("openai", {})
+    EngineConfig.check_key("openai", {"OPENAI_API_KEY": "x"})
+    EngineConfig.check_key("hashing", {})
+
+
+def test_chunk_ids_are_ranks_in_order_of_source_and_place(spark, engine):
+    rows = [(r.id, r.source, r.chunk_index) for r in engine.index.chunks.orderBy("source", "chunk_index").collect()]
+    assert [i for i, _, _ in rows] == list(range(len(rows))) and len(rows) == engine.index.size

@@ -112,6 +112,37 @@ def test_bm25_is_a_full_ranking(spark):
             assert [r.id for r in sorted((r for r in got if r.qid == q), key=lambda r: r["rank"])] == want
 
 
+def test_bm25_in_blocks_of_questions_and_documents(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choice("a b c d e f".split()) for _ in range(rng.randint(0, 6)))) for i in range(50)] + [(50, None)]
+    docs = spark.createDataFrame(texts, "id bigint, text string").repartition(3)
+    asked = spark.createDataFrame([(q, " ".join(rng.sample("a b c d e f z".split(), 3))) for q in range(20)] + [(20, ""), (21, None)], "qid bigint, question string")
+    terms = retrieve.bm25_terms(docs)
+    whole = sorted(map(tuple, retrieve.bm25(docs, terms, asked, 4).collect()))
+    assert len(whole) == 22 * 4 and terms.documents == 51
+    monkeypatch.setattr(retrieve, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(retrieve, "CELLS", 20)
+    assert sorted(map(tuple, retrieve.bm25(docs, terms, asked, 4).collect())) == whole
+    assert retrieve.bm25(docs, terms, asked.limit(0), 4).count() == 0
+    assert retrieve.bm25(docs.limit(0), retrieve.bm25_terms(docs.limit(0)), asked, 4).count() == 0
+
+
+def test_phrases_are_found_where_they_stand(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "one two three"), ("b", "two\nthree"), ("c", None), ("d", "xtwo three two three")], "source string, content string")
+    phrases = spark.createDataFrame([(1, "two three"), (2, "one"), (3, ""), (4, None), (5, "two three"), (6, "nowhere")], "qid bigint, phrase string")
+    want = {(1, "a"), (1, "d"), (5, "a"), (5, "d"), (2, "a")}
+    assert sorted(map(tuple, evaluate.holders(docs, phrases).collect())) == sorted(want)
+    assert {(q, s) for s, t in (("a", "one two three"), ("d", "xtwo three two three")) for q in evaluate._finder({"two three": [1, 5], "one": [2]})(t)} == want
+    assert evaluate.holders(docs, phrases.limit(0)).count() == 0
+
+
+def test_suffixes_of_any_length_match(spark):
+    sources = spark.createDataFrame([("x/a.md",), ("y/a.md",), ("ba.md",), (None,)], "source string")
+    questions = spark.createDataFrame([(1, ["a.md"]), (2, ["x/a.md", "nothing"]), (3, ["/a.md"]), (4, ["longer/than/any/x/a.md"])], "qid bigint, relevant_sources array<string>")
+    got = sorted(map(tuple, evaluate.suffix_matches(questions, sources).collect()))
+    assert got == sorted([(1, "x/a.md"), (1, "y/a.md"), (1, "ba.md"), (2, "x/a.md"), (3, "x/a.md"), (3, "y/a.md")])
+
+
 def test_fusion_of_distinct_contents_permutes_the_dense_list(spark):
     rng = random.Random(5)
     rows = [(q, leg, r + 1, c) for q in range(40) for leg in (0, 1) for r, c in enumerate(rng.sample(range(12), 5))]

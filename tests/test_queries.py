@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -36,6 +38,12 @@ def test_query_equals_its_sql(spark, tables, name):
     assert rows(got) == rows(want)
 
 
+def test_queries_remain_if_a_package_of_the_others_is_missing():
+    code = "import sys, warnings; sys.modules['zstandard'] = None; warnings.simplefilter('ignore'); import __spark_entry__ as e; print(len(e.queries()), 'q27_eval_hybrid' in e.queries(), 'pipeline' in e.queries())"
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.abspath(entry.__file__)))
+    assert said.stdout.split() == [str(sum(q.startswith("q") for q in entry.queries())), "True", "False"]
+
+
 def test_entry(spark):
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
