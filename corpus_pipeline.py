@@ -7,7 +7,8 @@ decontaminate  documents that hold a benchmark item, literally or re-parameteris
 byte_bpe       each text as byte-level BPE ids, and the digest of what they decode to
 
 Rows without an id are never dropped by the third and fourth stage, which name documents by id; rows that share an id stay or go
-together.  Extra columns, whatever their names, are carried along up to the last stage.
+together.  Null and empty texts are documents without lines, words or tokens, and stay.  Very long texts are read whole.  Extra
+columns, whatever their names, are carried along up to the last stage.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.llm import bpe, decontamination, line_dedup, near_dedup, toxicity
-from siftstone.llm.common import BROADCAST_BYTES, durable, settle, table
+from siftstone.llm.common import durable, fits, free, settle, table
 from siftstone.llm.queries import tokenizer_path
 
 #: SQL cannot express the classifier, the templates or the merges; the stages are tested against brute force.
@@ -29,9 +30,9 @@ def _plain(docs: DataFrame) -> tuple[DataFrame, str, str]:
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``gone`` (doc_id), which are sent to the rows if they are few enough, else joined by a shuffle."""
+    """``docs`` without the ids in ``gone`` (doc_id), which are sent to the rows if their measured bytes allow it, else joined by a shuffle."""
     ids = durable(gone.where("doc_id is not null").distinct(), "gone")
-    return docs.join(F.broadcast(ids) if 32 * ids.count() <= BROADCAST_BYTES else ids, "doc_id", "left_anti").select(*(docs[c] for c in docs.columns))
+    return docs.join(F.broadcast(ids) if fits(ids) else ids, "doc_id", "left_anti").select(*(docs[c] for c in docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +73,10 @@ STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", d
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            free(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
