@@ -148,19 +148,27 @@ def learnable(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2
 
 
-def _regression(rows: np.ndarray, cols: np.ndarray, n: int, d: int, target: np.ndarray, weight: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression on a sparse 0/1 matrix, by accelerated gradient descent with a diagonal preconditioner."""
+def _regression(rows: np.ndarray, cols: np.ndarray, n: int, d: int, target: np.ndarray, weight: np.ndarray, l2: float = 1.0, steps: int = 2000) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression on a sparse 0/1 matrix, by accelerated gradient descent until the gradient is next to nothing.
+
+    Steps are divided by a diagonal that bounds the curvature: a row adds to each of its features a quarter of its weight for each of its
+    entries, the bias included.  Momentum begins anew where it leads uphill.
+    """
     w, b = np.zeros(d), float(np.log((weight @ target + 1e-6) / (weight @ (1 - target) + 1e-6)))
-    scale = 0.25 * np.bincount(cols, weights=weight[rows], minlength=d) * 3 + l2
-    bias_scale = 0.25 * weight.sum() * 3 + 1e-9
-    w_old, b_old = w, b
-    for t in range(steps):
+    share = 0.25 * weight * (np.bincount(rows, minlength=n) + 1)
+    scale, bias_scale = np.bincount(cols, weights=share[rows], minlength=d) + l2, share.sum() + 1e-9
+    w_old, b_old, t = w, b, 0
+    for _ in range(steps):
         momentum = t / (t + 3)
         y, c = w + momentum * (w - w_old), b + momentum * (b - b_old)
         p = 1 / (1 + np.exp(-np.clip(c + np.bincount(rows, weights=y[cols], minlength=n), -30, 30)))
         error = weight * (p - target)
+        slope, bias_slope = np.bincount(cols, weights=error[rows], minlength=d) + l2 * y, error.sum()
         w_old, b_old = w, b
-        w, b = y - (np.bincount(cols, weights=error[rows], minlength=d) + l2 * y) / scale, c - error.sum() / bias_scale
+        w, b = y - slope / scale, c - bias_slope / bias_scale
+        if max(np.abs(slope).max(initial=0), abs(bias_slope)) < 1e-6 * weight.sum():
+            break
+        t = 0 if slope @ (w - w_old) + bias_slope * (b - b_old) > 0 else t + 1
     return w, b
 
 
