@@ -9,6 +9,7 @@ from siftstone.config import EngineConfig
 from siftstone.functions import text as T
 from siftstone.operators import chunk, prepare
 from siftstone.plans.registry import query, sql_clean, sql_strip, table
+from siftstone.sources.tables import ranked
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,16 +147,9 @@ def q30_sweep_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch FROM documents")
 def q43_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive batches of 64 without a single-partition window: ranges of ids are numbered on their own, their offsets added."""
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    from pyspark.sql import Window
-
-    block = docs.withColumn("block", F.floor(F.col("doc_id") / 4096))
-    sizes = block.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("block", before.alias("before"))  # one row for 4096 ids
-    place = F.row_number().over(Window.partitionBy("block").orderBy("doc_id")) - 1
-    return block.withColumn("place", place).join(offsets, "block").select("doc_id", F.floor((F.col("before") + F.col("place")) / 64).alias("batch"))
+    """Consecutive batches of 64 by rank, without a window over all rows."""
+    numbered = ranked(table(spark, sf_dir, "documents").select("doc_id"), [F.asc("doc_id")], "batches", "place")
+    return numbered.select("doc_id", F.expr("place div 64").alias("batch"))
 
 
 _PAGES = [
