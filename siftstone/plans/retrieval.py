@@ -291,8 +291,9 @@ def _ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = rows if out is None else out.unionByName(rows)
     judged = out.join(pool.select("id", "source", "content"), "id").join(questions, "qid")
     relevant = evaluate.is_relevant(F.col("source"), F.col("content"), F.col("relevant_sources"), F.col("must_contain"))
-    variants = out.select("seq", "config").distinct()
-    per = evaluate.per_question(judged.select("seq", "config", "qid", "rank", relevant.alias("relevant")), variants.crossJoin(questions.select("qid")), "seq", "config")
+    variants = F.array(*(F.struct(F.lit(seq).alias("seq"), F.lit(v.name).alias("config")) for seq, v in enumerate(evaluate.ablations(0.5))))
+    asked = questions.select("qid", F.explode(variants).alias("v")).select("v.seq", "v.config", "qid")
+    per = evaluate.per_question(judged.select("seq", "config", "qid", "rank", relevant.alias("relevant")), asked, "seq", "config")
     return evaluate.metrics(per, "seq", "config")
 
 
