@@ -1,4 +1,4 @@
-"""python -m siftstone ingest | ask | evaluate | prepare ..."""
+"""python -m siftstone ingest | ask | evaluate | prepare | serve | fetch-repository | fetch-model ..."""
 
 from __future__ import annotations
 
@@ -9,10 +9,12 @@ from dataclasses import replace
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from siftstone import service
 from siftstone.config import EngineConfig
 from siftstone.engine import Engine
 from siftstone.functions import text as T
 from siftstone.operators import evaluate, prepare
+from siftstone.sources import fetch
 from siftstone.sources.files import load_directory, read_golden_set
 
 
@@ -38,7 +40,24 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("repo", "out"):
         prep.add_argument(name)
     prep.add_argument("--clean", action="store_true", help="replace what is at the output")
+    serve = commands.add_parser("serve")
+    serve.add_argument("--host", default="127.0.0.1")
+    serve.add_argument("--port", type=int, default=8000)
+    serve.add_argument("--origins", default="*", help="origins that may call, joined by commas")
+    repository = commands.add_parser("fetch-repository")
+    for name in ("url", "folder"):
+        repository.add_argument(name)
+    repository.add_argument("parts", nargs="*", help="directories, all if none is named")
+    model = commands.add_parser("fetch-model")
+    model.add_argument("name", choices=sorted(fetch.MODELS))
+    model.add_argument("--folder", default="models")
     args = parser.parse_args(argv)
+    if args.command == "fetch-repository":
+        print(args.folder, "" if fetch.fetch_repository(args.url, args.folder, tuple(args.parts)) else "(was there)")
+        return 0
+    if args.command == "fetch-model":
+        print(fetch.fetch_model(args.name, args.folder))
+        return 0
     spark = SparkSession.builder.appName("siftstone").getOrCreate()
     config = EngineConfig.from_env()
     if args.command == "ingest":
@@ -65,6 +84,8 @@ def main(argv: list[str] | None = None) -> int:
         print(evaluate.printed(results, k))
         if args.save:
             results.write.json(args.save)
+    elif args.command == "serve":
+        service.server(service.Service(spark, config, tuple(args.origins.split(","))), args.host, args.port).serve_forever()
     else:
         files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(args.repo).select(T.relative_path(F.col("_metadata.file_path"), args.repo).alias("path"), F.col("value").alias("text"))
         pages = files.where(F.endswith("path", F.lit(".md"))).withColumnRenamed("path", "rel_path")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -40,12 +41,14 @@ class Generator(Protocol):
 
 
 class Extractive:
-    """The offline generator: the first sentences of the first passage."""
+    """The offline generator: the first sentences of the first passage; without passages, to condense, the question as it is."""
 
     def __init__(self, sentences: int = 2) -> None:
         self.sentences = sentences
 
     def complete(self, prompt: str) -> str:
+        if "Passages:\n" not in prompt:
+            return prompt.rsplit("Question: ", 1)[-1].strip()
         body = prompt.split("Passages:\n", 1)[-1].split("\n\nQuestion:", 1)[0].split(T.PASSAGE_SEPARATOR, 1)[0]
         prose = " ".join(body.split("\n")[1:]).strip()
         found = prose.replace("? ", "?\0").replace("! ", "!\0").replace(". ", ".\0").split("\0")
@@ -146,6 +149,11 @@ def answered(requests: DataFrame, make: Callable[[], Generator]) -> DataFrame:
     return requests.withColumn("answer", F.coalesce(generate(prompt), F.lit(NO_CONTEXT)))
 
 
+def uncited(text: str) -> list[str]:
+    """An answer without its citations, cut before each space as it would stream."""
+    return re.split("(?= )", re.sub(r" ?\[\d+\]", "", text))
+
+
 def stream_events(answers: DataFrame) -> DataFrame:
     """(qid, seq, type, text, search_query) rows of each answer (qid, search_query, pieces array, cited): sources, tokens, a replacement if the cited text differs, done."""
     pieces = F.filter("pieces", lambda p: p != "")

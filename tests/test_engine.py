@@ -168,3 +168,81 @@ def test_turns_become_history_and_keys_are_checked(spark, engine):
 def test_chunk_ids_are_ranks_in_order_of_source_and_place(spark, engine):
     rows = [(r.id, r.source, r.chunk_index) for r in engine.index.chunks.orderBy("source", "chunk_index").collect()]
     assert [i for i, _, _ in rows] == list(range(len(rows))) and len(rows) == engine.index.size
+
+
+def test_service(spark, engine):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from siftstone import service
+
+    held = service.Service(spark, engine.config, ("http://here",))
+    running = service.server(held, port=0)
+    threading.Thread(target=running.serve_forever, daemon=True).start()
+
+    def call(path, body=None, origin="http://here"):
+        asked = urllib.request.Request(f"http://127.0.0.1:{running.server_port}{path}", None if body is None else json.dumps(body).encode(), {"Origin": origin})
+        try:
+            with urllib.request.urlopen(asked) as got:
+                return got.status, got.headers, got.read().decode()
+        except urllib.error.HTTPError as error:
+            return error.code, error.headers, error.read().decode()
+
+    try:
+        status, headers, said = call("/health")
+        assert status == 200 and json.loads(said)["status"] == "ok" and headers["Access-Control-Allow-Origin"] == "http://here"
+        assert call("/health", origin="http://else")[1]["Access-Control-Allow-Origin"] is None and "<form>" in call("/")[2] and call("/none")[0] == 404
+        listed = json.loads(call("/sources")[2])
+        assert listed["chunk_count"] == engine.index.size and listed["document_count"] == len(listed["documents"])
+        question = {"question": "gateway refuses requests code E42", "history": [{"role": "user", "content": "before"}], "top_k": 2}
+        told = json.loads(call("/ask", question)[2])
+        assert "E42" in told["answer"] and len(told["sources"]) == 2
+        frames = call("/ask/stream", question)[2].split("\n\n")
+        events = [json.loads(f[6:]) for f in frames[:-1]]
+        assert frames[-1] == "" and events[0]["type"] == "sources" and len(events[0]["sources"]) == 2 and events[-1]["type"] == "done"
+        for bad in ({"question": ""}, {"question": "x", "top_k": 21}, {"question": "x", "history": [{"role": "system", "content": ""}]}, [1]):
+            assert call("/ask", bad)[0] == call("/ask/stream", bad)[0] == 422
+        held.config = EngineConfig(index_dir=engine.config.index_dir + "-none")
+        assert json.loads(call("/reload", {})[2])["status"] == "not_ready" and call("/ask", question)[0] == 503
+        held.config = engine.config
+        assert json.loads(call("/reload", {})[2])["status"] == "ok"
+    finally:
+        running.shutdown()
+
+
+def test_fetching(tmp_path, monkeypatch):
+    import subprocess
+
+    from siftstone.sources import fetch
+
+    origin = tmp_path / "origin"
+    (origin / "docs").mkdir(parents=True)
+    (origin / "docs" / "a.md").write_text("a")
+    git = lambda *a: subprocess.run(["git", "-C", str(origin), "-c", "user.name=x", "-c", "user.email=x@y", *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", "-A")
+    git("commit", "-qm", "x")
+    assert fetch.fetch_repository(f"file://{origin}", str(tmp_path / "clone")) and (tmp_path / "clone/docs/a.md").read_text() == "a"
+    assert not fetch.fetch_repository(f"file://{origin}", str(tmp_path / "clone"))
+    (tmp_path / "hub").mkdir()
+    (tmp_path / "hub" / fetch.MODELS["qwen3b"][1]).write_bytes(b"weights")
+    made = fetch.fetch_model("qwen3b", str(tmp_path / "models"), f"file://{tmp_path}/hub/{{file}}")
+    assert open(made, "rb").read() == b"weights" and not fetch.fetch_file("file:///nowhere", made)
+    with pytest.raises(OSError):
+        fetch.fetch_file("file:///nowhere", str(tmp_path / "x"))
+    assert not (tmp_path / "x").exists()
+
+
+def test_streaming_rate_with_late_events(spark, tmp_path):
+    from siftstone.streaming.rates import streaming_rate
+
+    rows = [("a", 0), ("a", 5), ("b", 7), ("a", 65), ("a", 3000), ("a", 1), ("b", 3100)]
+    for n, part in enumerate((rows[:5], rows[5:])):
+        spark.createDataFrame(part, "k string, s int").selectExpr("k", "timestamp_seconds(s) AS ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streaming_rate(spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "in")), "k", "ts", "10 minutes", "60 seconds", "60 seconds")
+        query = stream.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120), n
+    got = {(r.k, r.window.start.minute, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("a", 0, 2), ("b", 0, 1), ("a", 1, 1)}  # the event that came after the watermark is left out
