@@ -14,12 +14,13 @@ know of the chunk's distinct words and pairs.  Questions and entries meet in buc
 texts have is asked for once a chunk and no bucket is larger than others.
 
 Keys travel in blocks: ascending, as byte planes, whose upper planes compress, with their values.  Partial counts are added up over
-``HELD`` entries in each task before they are shuffled.  The second look-up goes in ``SLICES`` slices of the chunks, one
-after the other, so that its questions and answers never lie on disk all at once.
+``HELD`` entries in each task before they are shuffled.  Both look-ups go in ``SLICES`` slices of the chunks, one
+after the other, so that their questions and answers never lie on disk all at once.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -374,21 +375,22 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     if (known.agg(F.max("key")).first()[0] or 0) >= int(_ALONE):
         raise ValueError("more than 2**32 words")
     numbers = durable(_packed(known.select("word", "key"), buckets, np.uint32), "word-numbers", "zstd")
-    chunks = durable(_in_vocabulary(texts, numbers, buckets), "known-chunks", "zstd")
+    slices = max(1, min(SLICES, -(-int(totals[0]) // (4 * BUCKET))))
+    slice_ = F.pmod(F.xxhash64("chunk"), F.lit(slices))
+    chunks = [durable(_in_vocabulary(texts.where(slice_ == k), numbers, buckets), "known-chunks", "zstd") for k in range(slices)]
     free(texts, unigrams, numbers)
-    pairs = durable(_kept_pairs(_counts(chunks, _pair_counts, buckets), least(pair_share)), "pair-counts", "zstd")
+    pairs = durable(_kept_pairs(_counts(functools.reduce(DataFrame.unionAll, chunks), _pair_counts, buckets), least(pair_share)), "pair-counts", "zstd")
     words = durable(_packed(_word_entries(known, _histories(pairs), totals), buckets, np.float32), "word-entries", "zstd")
 
     def then(row: dict, found: dict) -> pa.Table:
         (background, target), n = _losses(row, found)
         return pa.table([pa.array(row["ids"], kind), *map(pa.array, (n.astype(np.int64), background, target, background - target))], [id_col, "n_tokens", "background_loss", "target_loss", "score"])
 
-    kind = _arrow(chunks).value_type
+    kind = _arrow(texts).value_type
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens bigint, background_loss double, target_loss double, score double"
-    slices, scores = max(1, min(SLICES, -(-int(totals[0]) // (4 * BUCKET)))), None
-    for k in range(slices):
-        some = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(slices)) == k)
-        part = durable(_look_up(some, _asked, {"words": words, "pairs": pairs}, {"words": 6, "pairs": 2}, np.float32, buckets, then, schema), "scores")
-        scores = part if scores is None else scores.unionAll(part)
-    free(chunks, pairs, words, known)
-    return scores
+    scores = []
+    for some in chunks:
+        scores.append(durable(_look_up(some, _asked, {"words": words, "pairs": pairs}, {"words": 6, "pairs": 2}, np.float32, buckets, then, schema), "scores"))
+        free(some)
+    free(pairs, words, known)
+    return functools.reduce(DataFrame.unionAll, scores)
