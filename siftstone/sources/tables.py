@@ -114,6 +114,27 @@ def _tidy() -> None:
             return
 
 
+#: Bytes of a table in few files from which its rows are dealt out, and up to which.
+SPREAD_FROM, SPREAD_TO = 4 << 20, 1 << 30
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """``table`` with its rows dealt out to all cores, if it is a small one in fewer files than there are cores.
+
+    Such a file may be one row group, which a single task reads, and would then do all work on its rows.  Larger tables are in many
+    files or row groups and stay as they are.
+    """
+    spark, files = table.sparkSession, table.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    if not 0 < len(files) < cores:
+        return table
+    size = 0
+    for file in files:
+        at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+        size += at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
+    return table.repartition(cores) if SPREAD_FROM <= size <= SPREAD_TO else table
+
+
 def held_bytes(table: DataFrame) -> int:
     """About the bytes that a hashed copy of ``table`` takes: each value's own, and ROW_BYTES a row."""
     wide = [2 * F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(16) for c, kind in table.dtypes]

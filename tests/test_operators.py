@@ -169,6 +169,66 @@ def test_embedders_agree(spark):
     assert dict(map(tuple, frame.select("id", embed.by_batch(lambda: embed.HashingEmbedder(16))(F.col("text"))).collect()))[0] == pytest.approx(python[0])
 
 
+def spans_split(text, size, overlap, separators):
+    """The splitter once more, on index ranges: pieces are (start, end) of the text, chunks are joined ranges."""
+
+    def cut(a, b, separator):
+        marks = [a] + ([i for i in range(a, b) if text.startswith(separator, i, b)] if separator else list(range(a + 1, b)))
+        if separator:  # occurrences do not overlap
+            kept, at = [a], a
+            for i in marks[1:]:
+                if i >= at:
+                    kept.append(i)
+                    at = i + len(separator)
+            marks = kept
+        ends = marks[1:] + [b]
+        return [(x, y) for x, y in zip(marks, ends, strict=True) if y > x]
+
+    def merge(pieces):
+        out, first = [], 0
+        for k, (_, end) in enumerate(pieces):
+            if k > first and end - pieces[first][0] > size:
+                out.append((pieces[first][0], pieces[k - 1][1]))
+                while first < k and (pieces[k - 1][1] - pieces[first][0] > overlap or end - pieces[first][0] > size):
+                    first += 1
+        return out + [(pieces[first][0], pieces[-1][1])] if pieces else out
+
+    def split(a, b, separators):
+        own = next((s for s in separators if text.find(s, a, b) >= 0), separators[-1])
+        rest, out, run = separators[separators.index(own) + 1 :], [], []
+        for piece in cut(a, b, own):
+            if piece[1] - piece[0] < size:
+                run.append(piece)
+            else:
+                out += merge(run) + (split(*piece, rest) if rest else [piece])
+                run = []
+        return out + merge(run)
+
+    return [c for x, y in split(0, len(text), list(separators)) if (c := text[x:y].strip())]
+
+
+def test_structured_splitter_matches_ranges():
+    rng = random.Random(17)
+    parts = ["\n## ", "\n### ", "\n\n", "\n", ". ", " ", "a", "bb", "word", "x" * 30, "."]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 120)))
+        size = rng.randint(5, 60)
+        overlap = rng.randint(0, size - 1)
+        assert chunk.split_structured(text, size, overlap) == spans_split(text, size, overlap, chunk.SEPARATORS)
+
+
+def test_small_tables_in_few_files_are_spread(spark, tmp_path, monkeypatch):
+    from siftstone.sources import tables
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(1000).repartition(20).write.parquet(str(tmp_path / "many"))
+    monkeypatch.setattr(tables, "SPREAD_FROM", 1)
+    one, many = (spark.read.parquet(str(tmp_path / x)) for x in ("one", "many"))
+    assert tables.spread(one).rdd.getNumPartitions() == 8 and tables.spread(one).count() == 1000 and tables.spread(many) is many
+    monkeypatch.setattr(tables, "SPREAD_TO", 2)
+    assert tables.spread(one) is one
+
+
 # --- pacing and retries --------------------------------------------------------------------------------------------------
 
 
