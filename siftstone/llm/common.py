@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.sources import tables
-from siftstone.sources.tables import BROADCAST_BYTES, fits, free, ranked, save, scratch  # noqa: F401  for the operators
+from siftstone.sources.tables import BROADCAST_BYTES, fits, free, ranked, save, scratch, spread  # noqa: F401  for the operators
 
 
 #: Bounds of one Arrow batch: what the JVM and a worker hold of a table at once.
@@ -32,7 +32,7 @@ def durable(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of an input table; other columns, whatever their names, are not read."""
     settle(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")).select(*columns)
 
 
 def fresh(df: DataFrame, name: str) -> str:
