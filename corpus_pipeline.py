@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.llm import bpe, decontamination, line_dedup, near_dedup, toxicity
-from siftstone.llm.common import durable, fits, free, settle, table
+from siftstone.llm.common import durable, fits, free, settle, spread, table
 from siftstone.llm.queries import tokenizer_path
 
 #: SQL cannot express the classifier, the templates or the merges; the stages are tested against brute force.
@@ -73,7 +73,7 @@ STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", d
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, before = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), f"stage-{name}")
         if before is not None:
