@@ -58,6 +58,9 @@ def setups(size: int = 1000, overlap: int = 150, mmr_lambda: float = 1.0) -> lis
     ]
 
 
+#: Characters of a phrase that the automaton knows.
+ANCHOR = 32
+
 #: Chunk size and overlap of a sweep.  Fixed values.
 SWEEP = ((500, 75), (800, 120), (1000, 150), (1500, 225))
 
@@ -140,7 +143,7 @@ def holders(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     The phrases go to all tasks in blocks; each text is searched once for all phrases of a block.
     """
     spark, out = docs.sparkSession, None
-    for own in blocks_of(phrases.where("qid is not null and phrase <> ''"), F.octet_length("phrase") + 64):
+    for own in blocks_of(phrases.where("qid is not null and phrase <> ''"), 2 * F.octet_length("phrase") + 64 * F.least(F.length("phrase"), F.lit(ANCHOR)) + 64):
         by_phrase: dict[str, list[int]] = {}
         for row in own.select(F.col("qid").cast("bigint"), "phrase").toLocalIterator():
             by_phrase.setdefault(row.phrase, []).append(row.qid)
@@ -158,16 +161,26 @@ def holders(docs: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def _finder(by_phrase: dict[str, list[int]]) -> Callable[[str], list[int]]:
-    """A function that gives the questions whose phrase a text holds, each once."""
+    """A function that gives the questions whose phrase a text holds, each once.
+
+    The automaton holds the phrases' beginnings; where one occurs, the whole phrases that begin so are compared.
+    """
     try:
         from ahocorasick import Automaton
     except ImportError:
         return lambda text: [q for phrase, qids in by_phrase.items() if phrase in text for q in qids]
-    automaton = Automaton()
-    for phrase, qids in by_phrase.items():
-        automaton.add_word(phrase, qids)
+    automaton, begun = Automaton(), {}
+    for phrase in by_phrase:
+        begun.setdefault(phrase[:ANCHOR], []).append(phrase)
+    for anchor, phrases in begun.items():
+        automaton.add_word(anchor, (len(anchor), phrases))
     automaton.make_automaton()
-    return lambda text: list({q for _, qids in automaton.iter(text) for q in qids})
+
+    def find(text: str) -> list[int]:
+        held = {phrase for end, (n, phrases) in automaton.iter(text) for phrase in phrases if text.startswith(phrase, end + 1 - n)}
+        return list({q for phrase in held for q in by_phrase[phrase]})
+
+    return find
 
 
 def unreachable(questions: DataFrame, sources: DataFrame) -> DataFrame:

@@ -274,7 +274,7 @@ def bm25(docs: DataFrame, terms: Terms, questions: DataFrame, k: int, k1: float
     """
     spark, found, average = docs.sparkSession, [], terms.average or 1.0
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    for own in blocks_of(questions.select("qid", "question").where("qid is not null"), F.coalesce(F.octet_length("question"), F.lit(0)) + 64):
+    for own in blocks_of(questions.select("qid", "question").where("qid is not null"), 8 * F.coalesce(F.octet_length("question"), F.lit(0)) + 64):  # a token and its weight take some times its bytes
         sent = spark.sparkContext.broadcast(_Asked.of(own, terms))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001

@@ -134,6 +134,9 @@ def test_phrases_are_found_where_they_stand(spark, monkeypatch):
     assert sorted(map(tuple, evaluate.holders(docs, phrases).collect())) == sorted(want)
     assert {(q, s) for s, t in (("a", "one two three"), ("d", "xtwo three two three")) for q in evaluate._finder({"two three": [1, 5], "one": [2]})(t)} == want
     assert evaluate.holders(docs, phrases.limit(0)).count() == 0
+    same = "the same first words of two phrases, "
+    find = evaluate._finder({same + "one": [1], same + "two": [2, 3], same: [4]})
+    assert sorted(find(f"x {same}two")) == [2, 3, 4] and sorted(find(f"{same}one {same}two")) == [1, 2, 3, 4] and find(same[:-2]) == []
 
 
 def test_suffixes_of_any_length_match(spark):
