@@ -32,9 +32,14 @@ def _names(distinct: DataFrame, columns: list[str], name: str) -> DataFrame:
     return ranked(distinct, [F.asc(c) for c in columns], name, "name")
 
 
+def _last(block: int) -> Column:
+    """The number of the last block of ``data``, from 0; the empty text is one empty block."""
+    return F.floor(F.greatest(F.length("data") - 1, F.lit(0)) / block).cast("int")
+
+
 def _cuts(each, block: int) -> Column:  # noqa: ANN001
-    """``each`` of the blocks of the bytes in ``data``; the empty text is one empty block."""
-    at = F.sequence(F.lit(0), F.floor(F.greatest(F.length("data") - 1, F.lit(0)) / block).cast("int"))
+    """``each`` of the blocks of the bytes in ``data``."""
+    at = F.sequence(F.lit(0), _last(block))
     return F.transform(at, lambda i: each(F.substr("data", i * block + 1, F.lit(block))))
 
 
@@ -70,7 +75,7 @@ def identities(docs: DataFrame, block: int = BLOCK, digest=_digest) -> tuple[Dat
     if _collide(docs, counts.where("c > 1").select("digest"), block, digest):  # then the blocks themselves have to be named
         whole = durable(numbered(docs), "exact-whole")
         known = durable(whole.select(*about), "exact-docs")
-        marked = whole.select("row", F.size(_cuts(F.length, block)).alias("n"), F.posexplode(_cuts(lambda b: b, block)).alias("pos", "block"))
+        marked = whole.select("row", (_last(block) + 1).alias("n"), F.posexplode(_cuts(lambda b: b, block)).alias("pos", "block"))
         names, joined_by = _names(marked.select("block").distinct(), ["block"], "block-names"), ["block"]
     else:
         marked, names, joined_by = placed, _names(counts.select("digest"), ["digest"], "block-names"), ["digest"]
