@@ -47,9 +47,8 @@ def test_snippet_bounds(spark):
 
 def test_fixed_windows_are_slices(spark):
     for size, overlap in ((5, 0), (5, 2), (7, 6)):
-        for n in range(25):
-            text = "abcdefghijklmnopqrstuvwxyz"[:n]
-            (got,) = values(spark, [text], T.fixed_windows(F.col("t"), size, overlap))
+        texts = ["abcdefghijklmnopqrstuvwxyz"[:n] for n in range(25)]
+        for text, got in zip(texts, values(spark, texts, T.fixed_windows(F.col("t"), size, overlap)), strict=True):
             assert all(w == text[i * (size - overlap) :][:size] for i, w in enumerate(got))
             assert "".join([got[0], *(w[overlap:] for w in got[1:])]) == text
 
