@@ -39,15 +39,17 @@ def sentences(answers: DataFrame, least: int = 40) -> DataFrame:
     return cut.select("answer_id", "segment", "is_code", "line", "place", "sentence", (F.col("open") & (F.length(T.strip(F.col("sentence"))) >= least)).alias("eligible"))
 
 
-def best_passages(sentence_vectors: DataFrame, passage_vectors: DataFrame, threshold: float = 0.55) -> DataFrame:
+def best_passages(sentence_vectors: DataFrame, passage_vectors: DataFrame, threshold: float = 0.55, per_place: int | None = None) -> DataFrame:
     """(answer_id, sentence, n, sim): the most similar passage of each sentence at or above the threshold; the first one in ties.
 
-    Both sides carry the answer_id, so this is an equi-join over at most top_k passages an answer.
+    With ``per_place``, a passage also has to be more similar by 1 / per_place for each place it comes later; ``sim``, which the
+    threshold is for, stays the highest one.  Both sides carry the answer_id, so this is an equi-join over an answer's own passages.
     """
     pairs = sentence_vectors.join(passage_vectors.withColumnRenamed("vector", "passage"), "answer_id")
     scored = pairs.withColumn("sim", F.round(cosine(F.col("vector"), F.col("passage")), 9))
-    best = scored.groupBy("answer_id", "sentence").agg(F.max(F.struct("sim", (-F.col("n")).alias("m"))).alias("b"))
-    return best.where(F.col("b.sim") >= threshold).select("answer_id", "sentence", (-F.col("b.m")).cast("int").alias("n"), "b.sim")
+    score = F.col("sim") if per_place is None else F.col("sim") * per_place - F.col("n")
+    best = scored.groupBy("answer_id", "sentence").agg(F.max(F.struct(score.alias("score"), "sim", (-F.col("n")).alias("m"))).alias("b"), F.max("sim").alias("sim"))
+    return best.where(F.col("sim") >= threshold).select("answer_id", "sentence", (-F.col("b.m")).cast("int").alias("n"), "sim")
 
 
 def marked(sentence: Column, n: Column) -> Column:
@@ -62,16 +64,16 @@ def _joined(rows: DataFrame, keys: list[str], place: str, value: str, separator:
     return rows.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x[value]), separator).alias(value))
 
 
-def attribute(answers: DataFrame, passages: DataFrame, embed: Callable[[Column], Column], threshold: float = 0.55, least: int = 40) -> DataFrame:
+def attribute(answers: DataFrame, passages: DataFrame, embed: Callable[[Column], Column], threshold: float = 0.55, least: int = 40, per_place: int | None = None) -> DataFrame:
     """``answers`` (answer_id, answer) as (answer_id, answer, cited); ``passages`` (answer_id, n, content); ``embed`` makes a vector column.
 
-    Blank answers, answers without passages and answers that cite already come back unchanged.
+    ``per_place`` is that of ``best_passages``.  Blank answers, answers without passages and answers that cite already come back unchanged.
     """
     have = passages.select("answer_id").distinct()
     todo = answers.where((T.strip(F.col("answer")) != "") & ~T.already_cited(F.col("answer"))).join(have, "answer_id", "left_semi")
     cut = sentences(todo, least)
     distinct = cut.where("eligible").select("answer_id", "sentence").distinct().withColumn("vector", embed(F.col("sentence")))
-    best = best_passages(distinct, passages.select("answer_id", "n", embed(F.col("content")).alias("vector")), threshold)
+    best = best_passages(distinct, passages.select("answer_id", "n", embed(F.col("content")).alias("vector")), threshold, per_place)
     found = cut.join(best, ["answer_id", "sentence"], "left").withColumn("text", F.when(F.col("eligible") & F.col("n").isNotNull(), marked(F.col("sentence"), F.col("n"))).otherwise(F.col("sentence")))
     lines = _joined(found, ["answer_id", "segment", "line"], "place", "text", " ")
     parts = _joined(lines, ["answer_id", "segment"], "line", "text", "\n")

@@ -349,6 +349,14 @@ def test_threshold_is_inclusive(spark):
     assert attribution.best_passages(sentence, passage, 0.551).count() == 0
 
 
+@pytest.mark.parametrize(("per_place", "want"), [(None, 9), (1000, 1), (100_000, 9)])
+def test_the_most_similar_passage_wins_wherever_it_is_unless_places_count(spark, per_place, want):
+    sentence = spark.createDataFrame([(1, "s", [1.0, 0.0])], "answer_id bigint, sentence string, vector array<double>")
+    passage = spark.createDataFrame([(1, n, [x, math.sqrt(1 - x * x)]) for n, x in ((1, 0.7), (2, 0.1), (9, 0.701))], "answer_id bigint, n int, vector array<double>")
+    (best,) = attribution.best_passages(sentence, passage, 0.7005, per_place).collect()
+    assert (best.n, best.sim) == (want, 0.701)
+
+
 # --- evaluation ----------------------------------------------------------------------------------------------------------
 
 Q = "qid bigint, question string, relevant_sources array<string>, must_contain array<string>, tags array<string>"

@@ -56,3 +56,17 @@ def test_attribution_cites_the_last_of_many_turns(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     (row,) = entry.queries()["q40_attribution"](spark, str(tmp_path)).collect()
     assert row.cited == f"{said} [8]."
+
+
+def test_attribution_equals_its_sql_where_a_far_turn_is_hardly_more_similar(spark, tmp_path):
+    said = "The harbour bridge opened to traffic in the spring of that year"
+    near = " ".join([said] * 60) + " rivets"
+    turns = [(1, 0, "user", near)] + [(1, k, "user", f"filler number {k} about nothing much") for k in range(1, 30)] + [(1, 30, "user", said), (1, 31, "assistant", f"{said} now")]
+    turns += [(2, 0, "user", near), (2, 1, "user", said), (2, 2, "assistant", f"{said} now"), (3, 0, "user", near), (3, 1, "user", said), (3, 2, "assistant", said)]
+    spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.answer_id: r.cited for r in entry.queries()["q40_attribution"](spark, str(tmp_path)).collect()}
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = {i: cited for i, _, cited in connection.sql(entry.oracle_sql()["q40_attribution"]).fetchall()}
+    assert got == want
+    assert (got[1031][-3:], got[3002][-3:]) == ("[1]", "[2]")
